@@ -17,18 +17,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files, so that a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in a local
-    test, a temporary folder is taken.
+    Only where that is unset, as in a local test, a temporary folder is taken.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files, so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def id_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the stable split into folds. A null id is in no fold (null)."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows of ``df``, at most twice as many, spread evenly over a hash of ``keys``.
+
+    All rows if there are no more than that. Which rows are taken depends on the keys alone, not on the partitions.
+    """
+    step = max(1, df.count() // rows)
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).limit(2 * rows)

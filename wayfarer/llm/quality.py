@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import cut, hash_sample, id_bucket
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE = 8_000
@@ -183,9 +183,8 @@ def fit(
         .where(F.col("label").isin(0, 1) & (id_bucket(F.col("label_id"), FOLDS) != HELD_OUT))
         .groupBy("label_id")
         .agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("label_id"), "label_id")
-        .limit(sample)
     )
+    chosen = hash_sample(cut(chosen), sample // 2, "label_id")
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("label_id"))

@@ -12,11 +12,8 @@ from . import queries as q
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {
-        "op3_simhash": q.op3_simhash,
-        "op7_bpe": q.op7_bpe,
-        "pipeline": corpus_pipeline.run,
-    }
+    numbered = [f for name, f in vars(q).items() if name.startswith("op") and name[2].isdigit()]
+    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
