@@ -7,6 +7,7 @@ input, whatever they are called, neither reach Python nor clash with the columns
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,10 @@ def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """
     step = max(1, df.count() // rows)
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).limit(2 * rows)
+
+
+def spool(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it again: :func:`cut` for larger tables, compressed."""
+    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

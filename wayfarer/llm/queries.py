@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, licenses, pii, quality, simhash, vectors
+from . import bpe, decontaminate, html, language, licenses, pii, quality, simhash, substrings, vectors
 from .common import id_bucket, read_table
 
 
@@ -55,3 +55,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(read_table(spark, sf_dir, "documents"))
