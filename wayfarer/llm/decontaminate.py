@@ -30,7 +30,8 @@ EDITS = 0.2
 REPEATS, PLACES, STEPS = 6, 8, 13
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
 ITEMS_A_PASS = 20_000
-_SLOTS = 1 << 22
+#: Slots of a lookup table for each key in it, so that few windows go on by chance.
+_SLOTS = 64
 _EDGE = np.array([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -108,10 +109,14 @@ class Items:
 
     @staticmethod
     def _table(keys: np.ndarray) -> np.ndarray:
-        bits = np.zeros(_SLOTS, bool)
-        bits[(keys & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+        bits = np.zeros(1 << int(len(keys) * _SLOTS).bit_length(), bool)
+        bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
         return bits
 
+    @staticmethod
+    def _on(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return table[(keys & np.uint64(len(table) - 1)).astype(np.int64)]
+
     def _walk(self, flat: np.ndarray, begin: np.ndarray, r: int, tables: list | None, end: np.ndarray | None = None):
         """The keys of windows after each sampled place; with ``tables``, ``(windows left, keys)`` at the last one."""
         at, word = begin, flat[begin]
@@ -131,14 +136,14 @@ class Items:
                     if tables is None:
                         yield key
                         continue
-                    on = tables[self.places[r].index(j + 1) - 1][(key & np.uint64(_SLOTS - 1)).astype(np.int64)]
+                    on = self._on(tables[self.places[r].index(j + 1) - 1], key)
                     begin, at, end, key, word = begin[on], at[on], end[on], key[on], word[on]
         if tables is not None:
             yield begin, key
 
     def collisions(self, flat: np.ndarray, mixed: np.ndarray, end: np.ndarray) -> set[tuple[int, int, int]]:
         """``(window's first word, item, words of the item before the window)`` of all windows that collide."""
-        begin = np.flatnonzero(self.first[(mixed & np.uint64(_SLOTS - 1)).astype(np.int64)])
+        begin = np.flatnonzero(self._on(self.first, mixed))
         out: set[tuple[int, int, int]] = set()
         for r in range(REPEATS):
             windows, key = next(self._walk(flat, begin, r, self.tables[r], end[begin]))
@@ -239,8 +244,9 @@ def find_leaks(
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def rows(finder: Finder):
+    def rows(items: list):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = Finder(items)
             for b in batches:
                 found = sorted(finder(b["text"].tolist()).items())
                 yield pd.DataFrame(
@@ -256,13 +262,13 @@ def find_leaks(
         return run
 
     out = texts.sparkSession.createDataFrame([], SCHEMA)
-    for finder in _passes(benchmark, item_col, item_text_col):
-        out = out.union(texts.mapInPandas(rows(finder), SCHEMA))
+    for items in _passes(benchmark, item_col, item_text_col):
+        out = out.union(texts.mapInPandas(rows(items), SCHEMA))
     return out
 
 
-def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Finder]:
-    """A finder for each run of up to ``ITEMS_A_PASS`` items or so, dealt by a hash."""
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list]:
+    """Runs of up to ``ITEMS_A_PASS`` items or so with their words, dealt by a hash."""
     cutter = Words()
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item"))
     items = items.where("item is not null").distinct()
@@ -272,7 +278,7 @@ def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
         pairs = [(r["item_id"], cutter.hashes(r["item"].encode("utf-8", "surrogatepass"))) for r in part]
         pairs = sorted(((k, w) for k, w in pairs if len(w)), key=lambda x: (x[0] is None, x[0] or 0, x[1].tolist()))
         if pairs:
-            yield Finder(pairs)
+            yield pairs
 
 
 def drop_leaks(
@@ -284,14 +290,15 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of ``docs`` that hold no passage of a benchmark item, judged where they are read, without a shuffle."""
 
-    def clean(finder: Finder):
+    def clean(items: list):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            finder = Finder(items)
             for b in batches:
                 hit = {r for r, _ in finder(b[text_col].tolist())}
                 yield b[[i not in hit for i in range(len(b))]]
 
         return run
 
-    for finder in _passes(benchmark, item_col, item_text_col):
-        docs = docs.mapInPandas(clean(finder), docs.schema)
+    for items in _passes(benchmark, item_col, item_text_col):
+        docs = docs.mapInPandas(clean(items), docs.schema)
     return docs
