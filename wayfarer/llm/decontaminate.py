@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,14 +292,14 @@ def drop_leaks(
     """The rows of ``docs`` that hold no passage of a benchmark item, judged where they are read, without a shuffle."""
 
     def clean(items: list):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for b in batches:
-                hit = {r for r, _ in finder(b[text_col].tolist())}
-                yield b[[i not in hit for i in range(len(b))]]
+                hit = {r for r, _ in finder(b.column(text_col).to_pylist())}
+                yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 
         return run
 
     for items in _passes(benchmark, item_col, item_text_col):
-        docs = docs.mapInPandas(clean(items), docs.schema)
+        docs = docs.mapInArrow(clean(items), docs.schema)
     return docs

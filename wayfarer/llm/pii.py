@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -426,11 +427,11 @@ def mask(docs: DataFrame, model: SpanTagger, text_col: str = "text") -> DataFram
             at = max(at, b)
         return "".join([*out, text[at:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b[text_col].tolist()
+            at, texts = b.schema.get_field_index(text_col), b.column(text_col).to_pylist()
             found = _spans_of(shared.value, [t or "" for t in texts])
-            b[text_col] = [None if t is None else hidden(t, s) for t, (_, s) in zip(texts, found, strict=True)]
-            yield b
+            new = [None if t is None else hidden(t, s) for t, (_, s) in zip(texts, found, strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -127,24 +127,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = cut(near_duplicates(docs, id_col, text_col))
     kept = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"))
+        found.where("doc_id is not null and doc_id = component_id")
+        .groupBy(F.col("doc_id").alias("kept_id"))
         .agg(F.count("*").alias("kept_rows"))
     )
-    single = kept.where("kept_id is not null").groupBy("kept_id").agg(F.sum("kept_rows").alias("kept_rows"))
-    rows = docs.join(single, docs[id_col].cast("long") == single["kept_id"])
-    once = rows.where("kept_rows = 1").select(docs.columns)
-    again = rows.where("kept_rows > 1").select(docs.columns).dropDuplicates([id_col])
-    no_id = docs.where(docs[id_col].isNull())
+    # The row travels as one column, so no name of it meets a name used here.
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("row_text"))
+    rows = boxed.join(kept, F.col("row_id") == F.col("kept_id"))
+    again = rows.where("kept_rows > 1").dropDuplicates(["row_id"])
+    no_id = boxed.where("row_id is null").withColumn("row_text", F.coalesce("row_text", F.lit("")))
     lone = found.where("component_id is null").select("fp").distinct()
-    nameless = fingerprints_with_text(no_id, text_col).join(lone, "fp").groupBy("fp").agg(F.min("text").alias("kept_text"))
-    texts = nameless.select(F.coalesce("kept_text", F.lit("")).alias("kept_text")).distinct()
-    extra = (
-        no_id.join(texts, F.coalesce(no_id[text_col], F.lit("")) == texts["kept_text"], "left_semi")
-        .select(docs.columns)
-        .dropDuplicates([text_col])
-    )
-    return once.unionByName(again).unionByName(extra)
+    texts = fingerprints_with_text(no_id, "row_text").join(lone, "fp").groupBy("fp").agg(F.min("text").alias("kept_text")).select("kept_text")
+    extra = no_id.join(texts, F.col("row_text") == F.col("kept_text"), "left_semi").dropDuplicates(["row_text"])
+    out = rows.where("kept_rows = 1").select("row").union(again.select("row")).union(extra.select("row"))
+    return out.select("row.*")
 
 
 def fingerprints_with_text(docs: DataFrame, text_col: str) -> DataFrame:

@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import spool
 
@@ -160,9 +162,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _TEXT = "doc long, print long, data binary"
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return docs.select(
+        *others,
         F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("doc"), F.xxhash64(data).alias("print"), data.alias("data")
     )
 
@@ -338,18 +341,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of the text; bytes that no longer form a character become U+FFFD."""
-    found = find_repeats(docs, id_col, text_col).select(F.col("doc").alias("found_doc"), F.col("print").alias("found_print"), F.col("spans").alias("found_spans"))
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.join(
-        found, (F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("found_doc")) & (F.xxhash64(data) == F.col("found_print")), "left"
-    )
+    found = find_repeats(docs, id_col, text_col)
+    # The row travels as one column, so no name of it meets a name used here.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    boxed = _texts(docs.select(row.alias("row"), F.col(id_col).alias("row_id"), F.col(text_col).alias("row_text")), "row_id", "row_text", "row", "row_text")
+    joined = boxed.join(found, ["doc", "print"], "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b[text_col] = [
-                t if spans is None else _kept(t.encode("utf-8", "surrogatepass"), merged([(x["from"], x["to"]) for x in spans])).decode("utf-8", "replace")
-                for t, spans in zip(b[text_col], b["found_spans"], strict=True)
-            ]
-            yield b[docs.columns]
+            rest = []
+            for text, data, spans in zip(*(b.column(c).to_pylist() for c in ("row_text", "data", "spans")), strict=True):
+                rest.append(text if spans is None else _kept(data, merged([(x["from"], x["to"]) for x in spans])).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(rest, pa.string())], ["row", "rest"])
 
-    return rows.select(*docs.columns, "found_spans").mapInPandas(run, docs.schema)
+    kept = joined.select("row", "row_text", "data", "spans").mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("rest", T.StringType())]))
+    return kept.select(*(F.col("rest").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
