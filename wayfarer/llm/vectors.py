@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spool
 from .components import connected_components
 
 COSINE = 0.9
 BLOCKS, GRID = 4, 2
 #: Vectors in a chunk, about, and chunks that one key of the join brings together on one side.
-CHUNK, ROUND = 512, 8
+CHUNK, ROUND = 1024, 4
 
 
 def rotation(size: int, seed: int = 0) -> np.ndarray:
@@ -56,28 +56,31 @@ def _bounds(size: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
+def _screens(turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's coordinates with their squared norms, so that one product gives all distances: ``(left, right)``."""
+    lo, hi = _bounds(turned.shape[1])[block]
+    p = turned[:, lo:hi].astype(np.float32)
+    half, one = -0.5 * (p * p).sum(1, keepdims=True), np.ones((len(p), 1), np.float32)
+    return np.hstack([p, half, one]), np.hstack([p, one, half])
+
+
 def _linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, block: int, same: bool, cosine: float):
-    """``(rows of a, rows of b)`` of the links that are found in this block and in none before it."""
+    """``(rows of a, rows of b)`` of the links that are found in this block and in none before it.
+
+    Single precision screens with a margin; what it lets through is held against the budget and the cosine in double.
+    """
     bounds, size = _bounds(a.shape[1]), a.shape[1]
-    near = None
-    for k in range(block + 1):
-        lo, hi = bounds[k]
-        share = (2 - 2 * cosine) * (hi - lo) / size
-        if k < block:
-            continue
-        p, q = turned_a[:, lo:hi], turned_b[:, lo:hi]
-        d = (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T
-        near = np.nonzero(np.triu(d <= share + 1e-9, 1) if same else d <= share + 1e-9)
-    i, j = near
-    if not len(i):
-        return i, j
+    share = [(2 - 2 * cosine) * (hi - lo) / size + 1e-9 for lo, hi in bounds]
+    close = _screens(turned_a, block)[0] @ _screens(turned_b, block)[1].T >= -0.5 * share[block] - 1e-5
+    i, j = np.divmod(np.flatnonzero(close), len(b))
+    if same:
+        i, j = i[i < j], j[i < j]
     hit = (a[i] * b[j]).sum(1) >= cosine
     i, j = i[hit], j[hit]
-    for k in range(block):  # counted in an earlier block
+    for k in range(block + 1):
         lo, hi = bounds[k]
-        d = ((turned_a[i, lo:hi] - turned_b[j, lo:hi]) ** 2).sum(1)
-        later = d > (2 - 2 * cosine) * (hi - lo) / size + 1e-9
-        i, j = i[later], j[later]
+        near = ((turned_a[i, lo:hi] - turned_b[j, lo:hi]) ** 2).sum(1) <= share[k]
+        i, j = (i[near], j[near]) if k == block else (i[~near], j[~near])  # else counted in the earlier block
     return i, j
 
 
@@ -147,33 +150,46 @@ def near_duplicates(
     counts = placed.groupBy("block", "cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     sizes = cut(counts)
     dealt = placed.join(F.broadcast(sizes), ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
-    chunks = cut(
-        dealt.groupBy("block", "cell", "chunk").agg(F.collect_list(F.struct("cid", "members", "unit")).alias("rows"))
-    )
+    grouped_rows = dealt.groupBy("block", "cell", "chunk").agg(F.collect_list(F.struct("cid", "members", "unit")).alias("rows"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            packed = [
+                (
+                    np.array([e["cid"] for e in rows], np.int64).tobytes(),
+                    np.array([e["members"] for e in rows], np.int64).tobytes(),
+                    b"".join(e["unit"] for e in rows),
+                )
+                for rows in b["rows"]
+            ]
+            yield pd.concat([b[["block", "cell", "chunk"]], pd.DataFrame(packed, columns=["cids", "members", "units"])], axis=1)
+
+    chunks = spool(grouped_rows.mapInPandas(pack, "block int, cell array<int>, chunk long, cids binary, members binary, units binary"))
 
     # Each chunk goes to the rounds of chunks of its own and of the adjacent cells that come after it.
     steps = np.stack(np.meshgrid(*[[-1, 0, 1]] * axes, indexing="ij"), -1).reshape(-1, axes).tolist()
     ahead = [s for s in steps if s >= [0] * axes]
+    side = ("cids", "members", "units")
     near = F.explode(F.array(*(F.array(*(F.lit(x) for x in s)) for s in ahead))).alias("step")
-    a = chunks.select("block", F.col("cell").alias("cell_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"), near)
+    a = chunks.select("block", F.col("cell").alias("cell_a"), F.col("chunk").alias("chunk_a"), *(F.col(c).alias(f"{c}_a") for c in side), near)
     a = a.withColumn("cell", F.zip_with("cell_a", "step", lambda x, y: x + y)).drop("step")
     a = a.join(F.broadcast(sizes), ["block", "cell"])
     a = a.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("chunks") / ROUND) - 1)))
-    b = chunks.select("block", "cell", (F.floor(F.col("chunk") / ROUND)).alias("round"), F.col("chunk").alias("chunk_b"), F.col("rows").alias("rows_b"))
+    b = chunks.select("block", "cell", (F.floor(F.col("chunk") / ROUND)).alias("round"), F.col("chunk").alias("chunk_b"), *(F.col(c).alias(f"{c}_b") for c in side))
     pairs = a.join(b, ["block", "cell", "round"]).where("cell_a <> cell or chunk_a <= chunk_b")
-    pairs = pairs.select("block", (F.col("cell_a") == F.col("cell")).alias("one_cell"), "chunk_a", "chunk_b", "rows_a", "rows_b")
+    pairs = pairs.select("block", (F.col("cell_a") == F.col("cell")).alias("one_cell"), "chunk_a", "chunk_b", *(f"{c}_{x}" for x in "ab" for c in side))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = rotation(size)
         for batch in batches:
             for r in batch.itertuples(index=False):
                 same = bool(r.one_cell and r.chunk_a == r.chunk_b)
-                x, y = (np.stack([np.frombuffer(e["unit"], float) for e in side]) for side in (r.rows_a, r.rows_b))
+                x, y = np.frombuffer(r.units_a).reshape(-1, size), np.frombuffer(r.units_b).reshape(-1, size)
                 i, j = _linked(x, y, x @ turn, y @ turn, int(r.block), same, cosine)
                 if not len(i):
                     continue
-                ca, cb = (np.array([e["cid"] for e in side], np.int64) for side in (r.rows_a, r.rows_b))
-                ma, mb = (np.array([e["members"] for e in side], np.int64) for side in (r.rows_a, r.rows_b))
+                ca, cb = np.frombuffer(r.cids_a, np.int64), np.frombuffer(r.cids_b, np.int64)
+                ma, mb = np.frombuffer(r.members_a, np.int64), np.frombuffer(r.members_b, np.int64)
                 na, nb = np.bincount(i, mb[j], len(ca)).astype(np.int64), np.bincount(j, ma[i], len(cb)).astype(np.int64)
                 forest = _forest(ca[i], cb[j])
                 yield pd.DataFrame(
