@@ -105,7 +105,7 @@ def mixture(signals: DataFrame, k: int = 2, rounds: int = 5, on: str = "store_id
     spark = signals.sparkSession
     ks = spark.range(k).select(F.col("id").cast("int").alias("k"))
     states = cut(s.select(F.col(on).alias("state")).distinct())
-    u = lambda *c: 1 + F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000).cast("long")) / 1000
+    u = lambda *c: 0.05 + F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000).cast("long")) / 1000
     a = ks.join(states.toDF("src")).join(states.toDF("dst")).withColumn("p", u("k", "src", "dst"))
     a = cut(a.select("k", "src", "dst", (F.col("p") / F.sum("p").over(Window.partitionBy("k", "src"))).alias("p")))
     b = ks.join(states).select("k", "state", (F.lit(1.0) / F.count("*").over(Window.partitionBy("k"))).alias("b"))

@@ -624,7 +624,7 @@ def modularity_as_written(spark, d):
 
 @query
 def louvain(spark, d):
-    return graphs.louvain(_store_edges(spark, d), 4)
+    return graphs.louvain(_store_edges(spark, d))
 
 
 @query
