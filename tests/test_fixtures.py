@@ -98,7 +98,7 @@ def test_markov_chain(f1):
 def test_hidden_and_mixed_chains(spark):
     s = None
     for k in range(12):
-        stores = ["B1", "B2"] * 10 if k % 2 else ["B3", "B4"] * 10
+        stores = ["B1", "B2", "B3"] * 7 if k % 2 else ["B1", "B3", "B2"] * 7
         one = track(spark, [(i, 0, 0, b) for i, b in enumerate(stores)], f"d{k}")
         s = one if s is None else s.union(one)
     own = {r["mac_address"]: r["label"] for r in markov.hidden_states(s, 2, 8).collect()}
