@@ -196,13 +196,24 @@ def fit(
     return fit_rules(data[names].to_numpy(float), data["label"].to_numpy(float), names)
 
 
-def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``: one projection over whole texts. A null text counts as empty.
+def _scored(docs: DataFrame, model: RuleEnsemble, text_col: str) -> DataFrame:
+    """``(row, score)``; the row travels as one column, so no name of it meets a name used here."""
+    stats = F.struct(*(c.cast("double").alias(k) for k, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    # Taken out of an array of one, the statistics are a column of their own: a filter on the score is not pushed below
+    # it, where each rule would compute its statistics again.
+    return docs.select(row.alias("row"), F.explode(F.array(stats)).alias("stats")).select("row", model.score().alias("score"))
 
-    Repeated rows each give a row and an empty table gives none. A column of that name in ``docs`` is replaced.
+
+def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, score)`` of every row: one projection over whole texts. A null text counts as empty.
+
+    Repeated rows each give a row, a null id stays null, and an empty table gives no rows.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "quality_score"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stats = F.struct(*(c.cast("double").alias(k) for k, c in statistics(text).items()))
-    boxed = docs.select(F.struct(*columns).alias("row"), stats.alias("stats"))
-    return boxed.select("row.*", model.score().alias("quality_score"))
+    scored = _scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model, "text")
+    return scored.select("row.doc_id", "score")
+
+
+def accept(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more."""
+    return _scored(docs, model, text_col).where(F.col("score") >= least).select("row.*")

@@ -23,15 +23,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model)
-    return scored.select(
-        "doc_id",
-        (id_bucket(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
-        F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
-    )
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    held = id_bucket(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
