@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,28 +180,31 @@ def near_duplicates(
     pairs = a.join(b, ["block", "cell", "round"]).where("cell_a <> cell or chunk_a <= chunk_b")
     pairs = pairs.select("block", (F.col("cell_a") == F.col("cell")).alias("one_cell"), "chunk_a", "chunk_b", *(f"{c}_{x}" for x in "ab" for c in side))
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(size)
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                same = bool(r.one_cell and r.chunk_a == r.chunk_b)
-                x, y = np.frombuffer(r.units_a).reshape(-1, size), np.frombuffer(r.units_b).reshape(-1, size)
-                i, j = _linked(x, y, x @ turn, y @ turn, int(r.block), same, cosine)
+        for batch in batches:  # chunks are read where they lie in the batch
+            part = lambda c, i: np.frombuffer(batch.column(c)[i].as_buffer(), np.float64 if c[0] == "u" else np.int64)  # noqa: B023, E731
+            head = batch.select(["block", "one_cell", "chunk_a", "chunk_b"]).to_pylist()
+            for row, r in enumerate(head):
+                same = r["one_cell"] and r["chunk_a"] == r["chunk_b"]
+                x, y = part("units_a", row).reshape(-1, size), part("units_b", row).reshape(-1, size)
+                i, j = _linked(x, y, x @ turn, y @ turn, r["block"], same, cosine)
                 if not len(i):
                     continue
-                ca, cb = np.frombuffer(r.cids_a, np.int64), np.frombuffer(r.cids_b, np.int64)
-                ma, mb = np.frombuffer(r.members_a, np.int64), np.frombuffer(r.members_b, np.int64)
+                ca, cb, ma, mb = (part(c, row) for c in ("cids_a", "cids_b", "members_a", "members_b"))
                 na, nb = np.bincount(i, mb[j], len(ca)).astype(np.int64), np.bincount(j, ma[i], len(cb)).astype(np.int64)
-                forest = _forest(ca[i], cb[j])
-                yield pd.DataFrame(
-                    {
-                        "u": [*ca[na > 0], *cb[nb > 0], *(e[0] for e in forest)],
-                        "v": pd.array([None] * int((na > 0).sum() + (nb > 0).sum()) + [e[1] for e in forest], "Int64"),
-                        "n": [*na[na > 0], *nb[nb > 0], *[0] * len(forest)],
-                    }
+                forest = np.array(_forest(ca[i], cb[j]), np.int64).reshape(-1, 2)
+                counted = np.concatenate([ca[na > 0], cb[nb > 0]])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([counted, forest[:, 0]])),
+                        pa.array(np.concatenate([np.zeros(len(counted), np.int64), forest[:, 1]]), mask=np.arange(len(counted) + len(forest)) < len(counted)),
+                        pa.array(np.concatenate([na[na > 0], nb[nb > 0], np.zeros(len(forest), np.int64)])),
+                    ],
+                    ["u", "v", "n"],
                 )
 
-    met = cut(pairs.mapInPandas(meet, "u long, v long, n long"))
+    met = cut(pairs.mapInArrow(meet, "u long, v long, n long"))
     links = met.where("v is null").groupBy(F.col("u").alias("link_cid")).agg(F.sum("n").alias("outer_links"))
     linked = connected_components(met.where("v is not null").select("u", "v"))
     of_class = (
