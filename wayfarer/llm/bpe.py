@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Strings and words that a Python worker remembers between batches, and pairs of tokens it has judged; they save time.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 500_000
 PAIRS_KEPT = 1_000_000
 #: How byte-level BPE cuts a text into words (fixed value).
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -183,7 +183,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Characters of text that are cut into words at once.
-PIECE = 2_000_000
+PIECE = 4_000_000
 
 
 def pieces(sizes: list[int], most: int = PIECE) -> Iterator[slice]:
