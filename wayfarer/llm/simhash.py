@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut
 from .components import connected_components
 
@@ -122,10 +123,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept: that of the smallest id.
 
-    If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
+    Groups are those of :func:`jaccard.groups`: sets of five-word shingles with a similarity of 0.8 or more. If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
     then one of them does.
     """
-    found = cut(near_duplicates(docs, id_col, text_col))
+    found = cut(jaccard.groups(docs, id_col, text_col))
     kept = (
         found.where("doc_id is not null and doc_id = component_id")
         .groupBy(F.col("doc_id").alias("kept_id"))
@@ -136,7 +137,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = boxed.join(kept, F.col("row_id") == F.col("kept_id"))
     again = rows.where("kept_rows > 1").dropDuplicates(["row_id"])
     no_id = boxed.where("row_id is null").withColumn("row_text", F.coalesce("row_text", F.lit("")))
-    lone = found.where("component_id is null").select("fp").distinct()
+    lone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
     texts = fingerprints_with_text(no_id, "row_text").join(lone, "fp").groupBy("fp").agg(F.min("text").alias("kept_text")).select("kept_text")
     extra = no_id.join(texts, F.col("row_text") == F.col("kept_text"), "left_semi").dropDuplicates(["row_text"])
     out = rows.where("kept_rows = 1").select("row").union(again.select("row")).union(extra.select("row"))
@@ -144,10 +145,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def fingerprints_with_text(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(text, fp)`` of rows that have no id to join on."""
+    """``(text, fp)`` of rows that have no id to join on; ``fp`` names the text's set of shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"text": b["text"], "fp": [fingerprint(t) for t in b["text"]]})
+            yield pd.DataFrame({"text": b["text"], "fp": [jaccard.set_key(jaccard.shingles(t)) for t in b["text"]]})
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "text string, fp long")
