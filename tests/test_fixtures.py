@@ -81,9 +81,11 @@ def test_frames_of_sliding_windows(spark):
 
 def test_similarity(spark):
     s = track(spark, [(0, 0, 0, "B1"), (1, 0, 0, "B2")]).union(track(spark, [(i, 0, 0, f"B{i}") for i in (2, 3, 4)], "b"))
-    p = graphs.visits(s)
+    p = graphs.visits(s.union(track(spark, [(5, 0, 0, "B2"), (6, 0, 0, "B1"), (7, 0, 0, "B1")], "c")))
+    assert {(r["mac_address"], r["class"]) for r in graphs.store_classes(p).collect()} == {("a", "a"), ("b", "b"), ("c", "a")}
     col, row = ({(r["a"], r["b"]): r["value"] for r in graphs.similarity(p, n).collect()} for n in ("col", "row"))
-    assert col == pytest.approx({("a", "b"): 1 / 3, ("b", "a"): 1 / 2}) and row == pytest.approx({("a", "b"): 1 / 2, ("b", "a"): 1 / 3})
+    own = {("a", "a"): 1.0, ("b", "b"): 1.0}
+    assert col == pytest.approx(own | {("a", "b"): 1 / 3, ("b", "a"): 1 / 2}) and row == pytest.approx(own | {("a", "b"): 1 / 2, ("b", "a"): 1 / 3})
 
 
 def test_markov_chain(f1):
@@ -165,13 +167,51 @@ def test_density_clusters(spark):
 def test_communities(spark):
     ring = lambda names: [(a, b, 1.0) for a in names for b in names if a != b]
     e = spark.createDataFrame([*ring("abcd"), *ring("wxyz"), ("a", "w", 1.0), ("w", "a", 1.0)], "src string, dst string, weight double")
-    for found in (graphs.louvain(e, 4, 2), graphs.girvan_newman(e)):
+    for found in (graphs.louvain(e), graphs.girvan_newman(e)):
         of = {r["node"]: r["community"] for r in found.collect()}
         assert len({of[n] for n in "abcd"}) == 1 and len({of[n] for n in "wxyz"}) == 1 and of["a"] != of["w"]
     c = spark.createDataFrame([(n, int(n in "wxyz")) for n in "abcdwxyz"], "node string, community int")
     assert 0.3 < graphs.modularity(e, c, directed=False).first()["q"] < 0.5
 
 
+def _modularity(e, of):
+    m = sum(w for *_, w in e)
+    degree = {}
+    for a, _, w in e:
+        degree[of[a]] = degree.get(of[a], 0) + w
+    return sum(w for a, b, w in e if of[a] == of[b]) / m - sum(d * d for d in degree.values()) / m / m
+
+
+def _greedy(e):
+    """Node by node moves to the best neighbouring community until none gains."""
+    nodes = sorted({a for a, *_ in e})
+    of, moved = {n: n for n in nodes}, True
+    while moved:
+        moved = False
+        for n in nodes:
+            best = max(sorted({of[b] for a, b, _ in e if a == n} | {of[n]}), key=lambda c: _modularity(e, of | {n: c}))
+            if _modularity(e, of | {n: best}) > _modularity(e, of) + 1e-12:
+                of[n], moved = best, True
+    return of
+
+
+def test_communities_of_a_random_graph(spark):
+    import random
+
+    rng = random.Random(5)
+    half = [(f"n{i:02}", f"n{j:02}", float(rng.randint(1, 4))) for i in range(24) for j in range(i) if rng.random() < (0.6 if i % 4 == j % 4 else 0.06)]
+    e = [*half, *((b, a, w) for a, b, w in half)]
+    found = graphs.louvain(spark.createDataFrame(e, "src string, dst string, weight double"))
+    assert _modularity(e, {r["node"]: r["community"] for r in found.collect()}) >= _modularity(e, _greedy(e)) - 1e-9
+
+
+def test_betweenness_by_hand(spark):
+    """A square with a tail: a-b-c-d-a, d-e."""
+    half = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("d", "e")]
+    got = {(r["src"], r["dst"]): r["betweenness"] for r in graphs.betweenness(spark.createDataFrame(half, "src string, dst string")).collect()}
+    assert got == pytest.approx({("a", "b"): 2.5, ("b", "c"): 2.5, ("c", "d"): 3.5, ("a", "d"): 3.5, ("d", "e"): 4.0})
+
+
 def test_points_in_polygons(spark):
     box = lambda n, x, y, w: [(n, x, y, x + w, y), (n, x + w, y, x + w, y + w), (n, x + w, y + w, x, y + w), (n, x, y + w, x, y)]
     e = spark.createDataFrame([*box("p", 0.0, 0.0, 60.0), *box("q", 40.0, 40.0, 60.0)], "name string, x1 double, y1 double, x2 double, y2 double")

@@ -107,16 +107,16 @@ def recursive(devices: DataFrame, features: list[str], prior: tuple[float, float
 
     Devices seen out of hours train the stationary class; what is found leaves the rest. Rounds are checkpointed.
     """
-    from ..plans.session import cut
+    from ..plans.session import spool
 
     found, rest = None, devices
     for i in range(rounds):
         n = naive(rest, features, prior[0])
-        hit = cut(n.where(S.ratio("stationary", F.col("stationary") + F.col("shopper")) > confidence).select("mac_address", F.lit(i).alias("round")))
+        hit = spool(n.where(S.ratio("stationary", F.col("stationary") + F.col("shopper")) > confidence).select("mac_address", F.lit(i).alias("round")))
         found = hit if found is None else found.union(hit)
         if hit.isEmpty():
             break
-        rest = cut(rest.join(hit, "mac_address", "left_anti"))
+        rest = spool(rest.join(hit, "mac_address", "left_anti"))
         if rest.where("is_out_of_hours = 1").limit(2).count() <= 1:
             break
     return found

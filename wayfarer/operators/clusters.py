@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import cut
+from ..plans.session import spool
 
 
 def eps_pairs(points: DataFrame, columns: list[str], eps: float) -> DataFrame:
@@ -38,14 +38,14 @@ def core_points(points: DataFrame, columns: list[str], eps: float, least: int) -
 
 def dbscan(points: DataFrame, columns: list[str], eps: float, least: int) -> DataFrame:
     """``(id, label)``: -1 for noise; clusters are numbered by their least core id, and a border point is in the least of them."""
-    pairs = cut(eps_pairs(points, columns, eps))
+    pairs = spool(eps_pairs(points, columns, eps))
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("c"))
-    links = cut(pairs.join(core, F.col("a") == F.col("c"), "left_semi").join(core, F.col("b") == F.col("c"), "left_semi"))
-    label = cut(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")))
+    links = spool(pairs.join(core, F.col("a") == F.col("c"), "left_semi").join(core, F.col("b") == F.col("c"), "left_semi"))
+    label = spool(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")))
     while True:  # a label jumps to its root's label, so rounds grow with the logarithm of a cluster's width
         least_near = links.join(label.toDF("b", "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("root"))
         jump = least_near.join(label.toDF("root", "next"), "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"))
-        new = cut(jump)
+        new = spool(jump)
         changed = new.join(label.toDF("id", "old"), "id").where("root <> old").limit(1).count()
         label = new
         if not changed:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.session import cut
+from ..plans.session import spool
 
 
 def counts(signals: DataFrame, on: str = "store_id", returns: bool = True) -> DataFrame:
@@ -41,20 +41,20 @@ def step(pi: DataFrame, a: DataFrame) -> DataFrame:
 
 def steady_state(pi: DataFrame, a: DataFrame, repeats: int = 10) -> DataFrame:
     """``(store_id, p)`` after ``repeats`` moves."""
-    a = cut(a)
+    a = spool(a)
     for i in range(repeats):
         pi = step(pi, a)
         if i % 5 == 4:
-            pi = cut(pi)
+            pi = spool(pi)
     return pi
 
 
 def residuals(pi: DataFrame, a: DataFrame, repeats: int = 10) -> DataFrame:
     """``(step, residual)``: the squared change of each move."""
     spark, rows = pi.sparkSession, []
-    a = cut(a)
+    a = spool(a)
     for i in range(repeats):
-        new = cut(step(pi, a))
+        new = spool(step(pi, a))
         j = new.select("store_id", F.col("p").alias("q")).join(pi.select("store_id", "p"), "store_id", "full")
         change = F.coalesce("q", F.lit(0.0)) - F.coalesce("p", F.lit(0.0))
         rows.append((i, j.agg(F.sum(change * change)).first()[0] or 0.0))
@@ -85,7 +85,7 @@ def mixture_step(own: DataFrame, weights: DataFrame, start: DataFrame, a: DataFr
     ll = ll.select("mac_address", "k", (F.log("w") + F.log("b") + F.coalesce("ll", F.lit(0.0))).alias("ll"))
     w = Window.partitionBy("mac_address")
     e = F.exp(F.col("ll") - F.max("ll").over(w))
-    gamma = cut(ll.select("mac_address", "k", (e / F.sum(e).over(w)).alias("gamma")))
+    gamma = spool(ll.select("mac_address", "k", (e / F.sum(e).over(w)).alias("gamma")))
     new_w = gamma.groupBy("k").agg(F.sum("gamma").alias("s")).select("k", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("w"))
     s = gamma.join(first, "mac_address").groupBy("k", "state").agg(F.sum("gamma").alias("s"))
     new_b = s.select("k", "state", ((F.col("s") + 1e-9) / F.sum(F.col("s") + 1e-9).over(Window.partitionBy("k"))).alias("b"))
@@ -101,18 +101,18 @@ def mixture(signals: DataFrame, k: int = 2, rounds: int = 5, on: str = "store_id
     chains' matrices are small tables; counts stay by device."""
     s = signals.where(F.col(on).isNotNull())
     first = s.groupBy("mac_address").agg(F.min_by(on, F.struct("date_time", "event_id")).alias("first"))
-    own = cut(counts(signals, on).join(first, "mac_address"))
+    own = spool(counts(signals, on).join(first, "mac_address"))
     spark = signals.sparkSession
     ks = spark.range(k).select(F.col("id").cast("int").alias("k"))
-    states = cut(s.select(F.col(on).alias("state")).distinct())
+    states = spool(s.select(F.col(on).alias("state")).distinct())
     u = lambda *c: 0.05 + F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1000).cast("long")) / 1000
     a = ks.join(states.toDF("src")).join(states.toDF("dst")).withColumn("p", u("k", "src", "dst"))
-    a = cut(a.select("k", "src", "dst", (F.col("p") / F.sum("p").over(Window.partitionBy("k", "src"))).alias("p")))
+    a = spool(a.select("k", "src", "dst", (F.col("p") / F.sum("p").over(Window.partitionBy("k", "src"))).alias("p")))
     b = ks.join(states).select("k", "state", (F.lit(1.0) / F.count("*").over(Window.partitionBy("k"))).alias("b"))
     w = ks.select("k", F.lit(1.0 / k).alias("w"))
     for _ in range(rounds):
         gamma, w, b, a = mixture_step(own, w, b, a)
-        w, b, a = cut(w), cut(b), cut(a)
+        w, b, a = spool(w), spool(b), spool(a)
     return gamma
 
 
@@ -160,7 +160,7 @@ def hidden_states(signals: DataFrame, k: int = 2, rounds: int = 5, on: str = "st
         return signals.sparkSession.createDataFrame([], "mac_address string, label int, states array<int>")
     code = F.array_position(F.array(*map(F.lit, names)), F.col(on)).cast("int") - 1
     seq = s.groupBy("mac_address").agg(F.sort_array(F.collect_list(F.struct("date_time", "event_id", code.alias("c")))).alias("q"))
-    seq = cut(seq.select("mac_address", F.transform("q", lambda q: q["c"]).alias("codes")))
+    seq = spool(seq.select("mac_address", F.transform("q", lambda q: q["c"]).alias("codes")))
     rng, m = np.random.default_rng(seed), len(names)
     pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k)
     for _ in range(rounds):

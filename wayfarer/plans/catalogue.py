@@ -583,6 +583,11 @@ def visit_pivot_long(spark, d):
     return graphs.visits(signals(spark, d))
 
 
+@query
+def store_classes(spark, d):
+    return graphs.store_classes(graphs.visits(signals(spark, d)))
+
+
 @query
 def common_stores(spark, d):
     c = graphs.common_stores(graphs.visits(signals(spark, d)))
@@ -629,8 +634,7 @@ def louvain(spark, d):
 
 @query
 def girvan_newman(spark, d):
-    e = _store_edges(spark, d)
-    return graphs.girvan_newman(e.where(F.col("weight") > e.agg(F.avg("weight")).first()[0]), 2, 2)
+    return graphs.girvan_newman(_store_edges(spark, d))
 
 
 @query

@@ -117,6 +117,10 @@ ta AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) p FROM tc),
 i0 AS (SELECT st, count(*) n FROM (SELECT mac_address, arg_min(store_id, (date_time, event_id)) st FROM s WHERE store_id IS NOT NULL GROUP BY 1) GROUP BY 1),
 ini AS (SELECT a.store_id, coalesce(n, 0) n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER () p FROM (SELECT DISTINCT store_id FROM s WHERE store_id IS NOT NULL) a LEFT JOIN i0 ON st = store_id)"""
 _PIVOT = "v AS (SELECT mac_address, store_id, count(*) n FROM s WHERE store_id LIKE '%B%' GROUP BY ALL)"
+_CLASSES = (
+    "st AS (SELECT mac_address, string_agg(store_id, ',' ORDER BY store_id) stores FROM v GROUP BY 1), "
+    "cls AS (SELECT stores, min(mac_address) AS class FROM st GROUP BY 1), p AS (SELECT cls.class, v.store_id FROM cls JOIN v ON v.mac_address = cls.class)"
+)
 _Z = """z AS (SELECT mac_address id, (radius_of_gyration - avg(radius_of_gyration) OVER ()) / stddev_pop(radius_of_gyration) OVER () u,
  (av_path_length - avg(av_path_length) OVER ()) / stddev_pop(av_path_length) OVER () v FROM f)"""
 _PATHS = """dp AS (SELECT store_id, CAST(date_time AS DATE) AS dd, round(avg(x), 6) x, round(avg(y), 6) y FROM s WHERE store_id IS NOT NULL GROUP BY ALL),
@@ -282,9 +286,10 @@ SELECT {_round('corr(coalesce(a.weight, 0), coalesce(b.weight, 0))')} r FROM a F
     + f" SELECT store_id, {_round('p')} p FROM m5",
     "ingoing_probability": f"WITH {_SIGNALS}, {_TRANS} SELECT dst store_id, {_round('sum(p)')} ingoing FROM ta GROUP BY ALL",
     "visit_pivot_long": f"WITH {_SIGNALS}, {_PIVOT} SELECT * FROM v",
-    "common_stores": f"WITH {_SIGNALS}, {_PIVOT} SELECT a.mac_address a, b.mac_address b, count(*) common, string_agg(a.store_id, ',' ORDER BY a.store_id) stores FROM v a JOIN v b USING (store_id) WHERE a.mac_address <> b.mac_address GROUP BY ALL",
-    "similarity_col": f"WITH {_SIGNALS}, {_PIVOT}, n AS (SELECT mac_address, count(*) n FROM v GROUP BY 1) SELECT a.mac_address a, b.mac_address b, {_round('count(*) / any_value(n.n)')} AS value FROM v a JOIN v b USING (store_id) JOIN n ON n.mac_address = b.mac_address WHERE a.mac_address <> b.mac_address GROUP BY ALL",
-    "similarity_row": f"WITH {_SIGNALS}, {_PIVOT}, n AS (SELECT mac_address, count(*) n FROM v GROUP BY 1) SELECT a.mac_address a, b.mac_address b, {_round('count(*) / any_value(n.n)')} AS value FROM v a JOIN v b USING (store_id) JOIN n ON n.mac_address = a.mac_address WHERE a.mac_address <> b.mac_address GROUP BY ALL",
+    "store_classes": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES} SELECT mac_address, class FROM st JOIN cls USING (stores)",
+    "common_stores": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES} SELECT a.class a, b.class b, count(*) common, string_agg(a.store_id, ',' ORDER BY a.store_id) stores FROM p a JOIN p b USING (store_id) GROUP BY ALL",
+    "similarity_col": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES}, n AS (SELECT class, count(*) n FROM p GROUP BY 1) SELECT a.class a, b.class b, {_round('count(*) / any_value(n.n)')} AS value FROM p a JOIN p b USING (store_id) JOIN n ON n.class = b.class GROUP BY ALL",
+    "similarity_row": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES}, n AS (SELECT class, count(*) n FROM p GROUP BY 1) SELECT a.class a, b.class b, {_round('count(*) / any_value(n.n)')} AS value FROM p a JOIN p b USING (store_id) JOIN n ON n.class = a.class GROUP BY ALL",
     "list_overlap": f"WITH {_SIGNALS}, {_PIVOT} SELECT a.mac_address a, b.mac_address b, CAST(sum(a.n * b.n) AS BIGINT) overlap FROM v a JOIN v b USING (store_id) WHERE a.mac_address <= b.mac_address GROUP BY ALL",
     "trajectory_paths": f"""WITH {_SIGNALS} SELECT mac_address, CAST(count(*) AS INTEGER) n, arg_min(x, (date_time, event_id)) x0, arg_min(y, (date_time, event_id)) y0, arg_max(x, (date_time, event_id)) x1, arg_max(y, (date_time, event_id)) y1 FROM s GROUP BY ALL""",
     "hausdorff_directed": f"WITH {_SIGNALS}, {_PATHS} SELECT a, b, {_round('distance')} distance FROM hd",
