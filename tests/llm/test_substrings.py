@@ -54,14 +54,23 @@ def test_repeated_rows_null_ids_and_overlaps(spark):
     assert run(spark, texts, ids) == want(texts, ids)
 
 
-@pytest.mark.parametrize("largest", [1, 1 << 19])
-def test_groups_too_large_to_sort_are_counted(spark, monkeypatch, largest):
-    monkeypatch.setattr(substrings, "LARGEST", largest)
+@pytest.mark.parametrize("most", [1, 3000, 1 << 20])
+def test_groups_too_large_to_sort_are_cut_up(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "SORTED", most)
     a = prose(5, 300)
     texts = [a[:k] + "X" * (k % 3) + a[k:] for k in range(100, 1500, 100)]
+    hot = prose(6, 200)[:430]
+    texts += [f"{i} " * (i % 5) + hot[: 380 + 3 * i] + f" {i}" * 90 for i in range(20)] + [hot, hot]
     assert run(spark, texts) == want(texts, range(len(texts)))
 
 
+def test_cells_are_halves():
+    for cell in range(1, 64):
+        lo, hi = substrings._range(cell)
+        a, b = substrings._range(2 * cell), substrings._range(2 * cell + 1)
+        assert a[0] == lo and b[1] == hi and a[1] + 1 == b[0]
+
+
 def test_text_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 1 << 12)
     a = prose(5, 3000)

@@ -10,8 +10,12 @@ small, and lose nothing:
 * What is left are different blocks that share an anchor. Equal strings have equal anchors, so these groups are dealt out
   by anchor, and each task sorts the suffixes of its groups by the difference-cover algorithm: it sorts the triples at
   two of three places, recurses on their names, and merges the remaining suffixes. Neighbours in that order are compared
-  over ``LENGTH`` bytes.
-* A group too large for one task is not sorted: its strings are fingerprinted and counted by Spark instead.
+  byte by byte over ``LENGTH`` bytes.
+* A group that doesn't fit in a task is cut up until its parts do. The strings of a block differ in how far before the
+  anchor they begin; cut in two by that, each half shares a longer gram around the anchor, and equal strings fall into
+  the same half with the same gram. Halves with an equal gram are counted and, where they differ, sorted like blocks, or
+  cut again, until a gram is the string itself. Each cut makes two rows of one at most, and a hot passage's rows end as
+  soon as their grams reach out of it.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from pyspark.sql import types as T
 from .common import spool
 
 #: Bytes of a repeated string, and of the grams that anchors are chosen from.
-LENGTH, GRAM = 400, 32
-#: Bytes of blocks that a task sorts at once, and of one anchor's blocks before they are counted instead.
-SORTED, LARGEST = 1 << 20, 1 << 19
+LENGTH, GRAM = 400, 160
+#: Bytes of blocks that a task sorts at once; groups of more are cut up.
+SORTED = 1 << 20
 #: Bytes of a text that are read at once; pieces overlap by a string less a byte.
 PIECE = 1 << 20
 _WINDOW = LENGTH - GRAM + 1
@@ -118,7 +122,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(blocks: list[tuple[bytes, int]], cutter: Anchors) -> list[np.ndarray]:
+def repeated(blocks: list[tuple[bytes, int]]) -> list[np.ndarray]:
     """For each block, ``(bytes, strings)``, which of its strings stand twice among the strings of all these blocks."""
     sizes = np.array([len(b) for b, _ in blocks])
     starts = np.cumsum(sizes) - sizes
@@ -129,10 +133,11 @@ def repeated(blocks: list[tuple[bytes, int]], cutter: Anchors) -> list[np.ndarra
     valid[places] = True
     order = suffix_array(raw.astype(np.int64) + 1)
     order = order[valid[order]]
-    prints = np.zeros(len(raw), np.uint64)
-    prints[: len(raw) - LENGTH + 1] = cutter.grams(raw, LENGTH)
-    near = prints[order]
-    same = near[1:] == near[:-1]
+    strings = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    same = np.empty(max(0, len(order) - 1), bool)
+    for i in range(0, len(same), 4096):
+        part = order[i : i + 4097]
+        same[i : i + 4096] = (strings[part[1:]] == strings[part[:-1]]).all(1)
     twice = np.zeros(len(raw), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -180,18 +185,26 @@ def _occurrences(texts: DataFrame) -> DataFrame:
             for doc, print_, data in zip(b["doc"].tolist(), b["print"].tolist(), b["data"].tolist(), strict=True):
                 view = memoryview(data)
                 for first, count, offset, anchor in cutter.blocks(data):
-                    block = xxhash.xxh3_64_intdigest(view[first : first + count + LENGTH - 1], offset)
-                    rows.append((anchor, block - (1 << 64) if block >> 63 else block, doc, print_, first << 20 | count << 10 | offset))
+                    block = xxhash.xxh3_128_digest(view[first : first + count + LENGTH - 1], offset)
+                    rows.append((anchor, block, doc, print_, first << 20 | count << 10 | offset))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["anchor", "block", "doc", "print", "place"])
                     rows = []
             yield pd.DataFrame(rows, columns=["anchor", "block", "doc", "print", "place"])
 
-    return texts.where(F.length("data") >= LENGTH).mapInPandas(run, "anchor long, block long, doc long, print long, place long")
+    return texts.where(F.length("data") >= LENGTH).mapInPandas(run, "anchor long, block binary, doc long, print long, place long")
+
+
+#: A piece of a text: ``strings`` from ``first`` on whose bytes are ``data``, all with one anchor, which the first of
+#: them has ``offset`` bytes after its start. ``cell`` numbers the range of offsets it was cut to, and the pieces of a
+#: cell with an equal ``gram`` are a group. Strings of a piece that isn't ``open`` are known to be repeated.
+_PIECE = "cell int, gram long, kind binary, doc long, print long, first long, strings int, offset int, open boolean, data binary"
+_COLUMNS = [c.split()[0] for c in _PIECE.split(", ")]
+_GROUP = ["cell", "gram"]
 
 
 def _block_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of ``wanted`` blocks ``(doc, print, anchor, block, place, open)``, each once."""
+    """The pieces of ``wanted`` blocks ``(doc, print, anchor, block, place, open)``: each block once, in cell 1."""
     lists = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("anchor", "block", "place", "open")).alias("blocks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,31 +212,56 @@ def _block_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for doc, print_, data, blocks in zip(b["doc"].tolist(), b["print"].tolist(), b["data"].tolist(), b["blocks"].tolist(), strict=True):
                 for x in blocks:
-                    first, count = x["place"] >> 20, x["place"] >> 10 & 1023
-                    rows.append((x["anchor"], x["block"], doc, print_, first, count, x["open"], data[first : first + count + LENGTH - 1]))
-            yield pd.DataFrame(rows, columns=["anchor", "block", "doc", "print", "first", "count", "open", "data"])
-
-    return (
-        texts.join(lists, ["doc", "print"])
-        .mapInPandas(run, "anchor long, block long, doc long, print long, first long, count int, open boolean, data binary")
-        .groupBy("anchor", "block")
-        .agg(*(F.first(c).alias(c) for c in ("doc", "print", "first", "count", "open", "data")))
-    )
+                    first, count, offset = x["place"] >> 20, x["place"] >> 10 & 1023, x["place"] & 1023
+                    rows.append((1, x["anchor"], x["block"], doc, print_, first, count, offset, x["open"], data[first : first + count + LENGTH - 1]))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    # A text that stands under its id several times gives its blocks as often.
+    return texts.join(lists, ["doc", "print"]).mapInPandas(run, _PIECE).dropDuplicates(["cell", "gram", "kind"])
+
+
+def _range(cell: int) -> tuple[int, int]:
+    """The offsets of a cell: 1 has all, and the halves of ``c`` are ``2 c`` and ``2 c + 1``."""
+    lo, hi = 0, _WINDOW - 1
+    for bit in bin(cell)[3:]:
+        middle = (lo + hi) // 2
+        lo, hi = (middle + 1, hi) if bit == "1" else (lo, middle)
+    return lo, hi
+
+
+def _halves(pieces: DataFrame) -> DataFrame:
+    """Each piece cut in two by the offsets of its strings; a half's gram is what all strings of its cell have in common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                for cell in (2 * r.cell, 2 * r.cell + 1):
+                    lo, hi = _range(cell)
+                    a, z = max(0, r.offset - hi), min(r.strings, r.offset - lo + 1)
+                    if lo <= hi and a < z:
+                        data, offset = r.data[a : z + LENGTH - 1], r.offset - a
+                        gram = xxhash.xxh3_64_intdigest(r.data[r.offset - lo : r.offset - hi + LENGTH])
+                        gram -= (gram >> 63) << 64
+                        rows.append((cell, gram, xxhash.xxh3_128_digest(data, offset), r.doc, r[4], r.first + a, z - a, offset, r.open, data))
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return pieces.mapInPandas(run, _PIECE)
 
 
 _SPAN = "doc long, print long, from long, to long"
 
 
-def _sorted_spans(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Spans of open blocks by sorting suffixes, a bounded number of anchors' blocks in a task."""
+def _sorted_spans(pieces: DataFrame, buckets: int) -> DataFrame:
+    """Spans of open pieces by sorting suffixes, a bounded number of groups in a task."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        cutter, out = Anchors(), []
-        b = b.sort_values(["anchor", "block"])
-        group = (b["anchor"] != b["anchor"].shift()).cumsum().to_numpy()
+        out = []
+        b = b.sort_values([*_GROUP, "kind"])
+        group = ((b["gram"] != b["gram"].shift()) | (b["cell"] != b["cell"].shift())).cumsum().to_numpy()
         ends = np.cumsum(b["data"].str.len().to_numpy())
         at = 0
-        while at < len(b):  # whole anchors, as many as can be sorted at once
+        while at < len(b):  # whole groups, as many as can be sorted at once
             base = ends[at - 1] if at else 0
             z = int(np.searchsorted(ends, base + SORTED, "right"))
             if z < len(b):
@@ -232,39 +270,40 @@ def _sorted_spans(blocks: DataFrame, buckets: int) -> DataFrame:
                 if z == at:
                     z = int(np.searchsorted(group, group[at], "right"))
             part = b.iloc[at:z]
-            found = repeated(list(zip(part["data"], part["count"], strict=True)), cutter)
+            found = repeated(list(zip(part["data"], part["strings"], strict=True)))
             for doc, print_, first, is_open, on in zip(part["doc"], part["print"], part["first"], part["open"], found, strict=True):
                 if is_open:
                     out += [(doc, print_, first + a, first + z_) for a, z_ in _runs(on)]
             at = z
         return pd.DataFrame(out, columns=["doc", "print", "from", "to"])
 
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    return blocks.select("*", bucket).groupBy("bucket").applyInPandas(run, _SPAN)
-
-
-def _counted_spans(blocks: DataFrame) -> DataFrame:
-    """Spans of open blocks by counting their strings' fingerprints, for anchors with very many blocks."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                view, n = memoryview(r.data), int(r.strings)
-                yield pd.DataFrame(
-                    {
-                        "string": [xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(n)],
-                        "doc": r.doc,
-                        "print": r.print,
-                        "from": np.arange(r.first, r.first + n),
-                        "open": r.open,
-                    }
-                )
-
-    strings = blocks.select("doc", "print", "first", F.col("count").alias("strings"), "open", "data").mapInPandas(
-        run, "string binary, doc long, print long, from long, open boolean"
-    )
-    twice = strings.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
-    return strings.where("open").join(twice, "string").select("doc", "print", "from", (F.col("from") + LENGTH).alias("to"))
+    bucket = F.pmod(F.xxhash64(*_GROUP), F.lit(buckets)).alias("bucket")
+    return pieces.select("*", bucket).groupBy("bucket").applyInPandas(run, _SPAN)
+
+
+def _spans(pieces: DataFrame) -> list[DataFrame]:
+    """Tables of spans that together cover the repeated strings of the open ones among ``pieces``, each a different one."""
+    size, found = F.sum(F.length("data")), []
+    while True:
+        sizes = spool(pieces.groupBy(*_GROUP).agg(size.alias("bytes")))
+        total, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+        if not total:
+            return found
+        fit = sizes.where(F.col("bytes") <= SORTED).select(*_GROUP)
+        found.append(_sorted_spans(pieces.join(fit, _GROUP, "left_semi"), 1 + total // SORTED))
+        if most <= SORTED:
+            return found
+        halves = spool(_halves(pieces.join(fit, _GROUP, "left_anti")))
+        kinds = halves.groupBy(*_GROUP, "kind").agg(F.count("*").alias("times"), F.max("open").alias("open"))
+        # A half that stands twice is repeated as a whole; one is kept for what differs from it in part.
+        twice = kinds.where("times > 1").select(*_GROUP, "kind")
+        end = F.col("first") + F.col("strings") + LENGTH - 1
+        found.append(halves.where("open").join(twice, [*_GROUP, "kind"], "left_semi").select("doc", "print", F.col("first").alias("from"), end.alias("to")))
+        undecided = kinds.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.max(F.col("open") & (F.col("times") == 1)).alias("open"))
+        undecided = undecided.where("n > 1 and open").select(*_GROUP)
+        one = halves.join(undecided, _GROUP, "left_semi").dropDuplicates([*_GROUP, "kind"])
+        one = one.join(twice.withColumn("done", F.lit(True)), [*_GROUP, "kind"], "left")
+        pieces = spool(one.withColumn("open", F.col("open") & F.col("done").isNull()).select(*_COLUMNS))
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,28 +313,23 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = places.groupBy("anchor", "block").agg(
         F.count("*").alias("times"), F.min(F.struct("doc", "print", "place")).alias("at")
     )
-    shared = blocks.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    once = F.col("times") == 1
+    shared = blocks.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max(once).alias("some_open"))
     known = spool(
         blocks.join(shared, "anchor")
         .where("times > 1 or kinds > 1")
-        .select("anchor", "block", "at.*", "kinds", (F.col("times") == 1).alias("open"))
+        .select("anchor", "block", "at.*", ((F.col("kinds") > 1) & F.col("some_open")).alias("mixed"), once.alias("open"))
     )
     whole = (
         places.join(known.where("not open").select("anchor", "block"), ["anchor", "block"])
         .select("doc", "print", F.shiftright("place", 20).alias("from"), F.shiftright("place", 10).bitwiseAND(F.lit(1023).cast("long")).alias("n"))
         .select("doc", "print", "from", (F.col("from") + F.col("n") + LENGTH - 1).alias("to"))
     )
-    data = spool(_block_bytes(texts, known.where("kinds > 1").drop("kinds")))
-    size = F.sum(F.length("data"))
-    per_anchor = data.groupBy("anchor").agg(size.alias("bytes"))
-    large = per_anchor.where(F.col("bytes") > LARGEST).select("anchor")
-    total = data.agg(F.coalesce(size, F.lit(0))).first()[0]
-    spans = (
-        whole.union(_sorted_spans(data.join(large, "anchor", "left_anti"), 1 + total // SORTED))
-        .union(_counted_spans(data.join(large, "anchor", "left_semi")))
-    )
-    # The spans of a text are of one row each block at most, so their number follows the text's length.
-    return spool(spans.groupBy("doc", "print").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
+    pieces = spool(_block_bytes(texts, known.where("mixed").drop("mixed")))
+    for found in _spans(pieces):
+        whole = whole.union(found)
+    # The spans of a text are of one row each piece at most, so their number follows the text's length.
+    return spool(whole.groupBy("doc", "print").agg(F.collect_set(F.struct("from", "to")).alias("spans")))
 
 
 def _kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
