@@ -1,12 +1,12 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The model reads characters and tags each as outside, or as the beginning or inside of a kind of span. It is trained in
-numpy from labelled spans: examples are cut from a bounded sample of the corpus, with the spans that the base patterns
-find there and with generated values of every kind put between the corpus's own words.
+The model reads every character of a text and tags each as outside, or as the beginning or inside of a kind of span. It
+is trained in numpy from labelled spans: examples are cut from a bounded sample of the corpus, with the spans that the base
+patterns find there and with generated values of every kind put between the corpus's own words.
 
-Every value of these kinds holds a digit or an ``@``, so only the neighbourhood of such characters is read. Long
-neighbourhoods are cut into windows that overlap; each window is decoded by itself, a character's tag is taken from the
-window in which it stands farthest from an edge, and the spans are read off the text's tags as a whole.
+Texts are cut into windows that overlap; each window is decoded by itself, a character's tag is taken from the window that
+has it in its middle, and the spans are read off the text's tags as a whole, so a value may cross windows. A window need not
+be decoded step by step if no tag but "outside" can be worth its score and transitions anywhere in it.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as R
+from .bpe import pieces
 from .common import hash_sample
 
 #: Kinds in the order in which they are listed; the first four have base patterns.
@@ -33,11 +34,13 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Characters around a digit or an @ that are read with it, and the size and overlap of windows.
-AROUND, WINDOW, OVERLAP = 24, 128, 64
+#: Characters of a window, and of its overlap with the next one.
+WINDOW, OVERLAP = 256, 64
+#: Windows that are read at once.
+READ = 1024
 #: Documents that training examples are cut from, characters of each, and examples.
-SAMPLE, EXCERPT, EXAMPLES = 500, 5_000, 3_500
-UNITS, WIDTH = 24, 12
+SAMPLE, EXCERPT, EXAMPLES = 500, 5_000, 5_000
+UNITS, WIDTH = 14, 10
 _SIGN = re.compile(r"[0-9@]")
 
 
@@ -57,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(a, b, "email") for a, b in _emails(text)]
     if _DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
                 out.append((m.start(), m.end(), "ip"))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -126,7 +129,7 @@ class SpanTagger:
         h = R.both_ways(R.lstm, self.p, "lstm", x, mask, keep)
         return x, h, h @ self.p["out"] + self.p["bias"]
 
-    def train(self, examples: list[tuple[np.ndarray, np.ndarray]], epochs: int = 3, rate: float = 0.015, seed: int = 0) -> None:
+    def train(self, examples: list[tuple[np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.015, seed: int = 0) -> None:
         """Gradient steps on the CRF likelihood of ``(codes, tags)`` examples."""
         rng, adam = np.random.default_rng(seed), R.Adam(self.p, rate)
         steps = epochs * -(-len(examples) // 64)
@@ -172,25 +175,51 @@ class SpanTagger:
         np.add.at(grads["embed"], codes, dx * mask[:, :, None])
         return grads
 
-    def tag(self, batch: list[np.ndarray]) -> list[np.ndarray]:
-        """The likeliest tags of each window."""
-        codes, mask = padded(batch)
-        _, _, e = self._emit(codes, mask)
+    def tags(self, codes: np.ndarray, sizes: np.ndarray) -> dict[int, np.ndarray]:
+        """The likeliest tags of windows ``codes`` (time, window) of ``sizes``; windows all outside are left out."""
+        fore, back = R.read_both_ways(R.lstm_read, self.p, "lstm", self.p["embed"], codes, sizes)
+        out, n = np.ascontiguousarray(self.p["out"].T), UNITS
+        e = np.matmul(out[:, :n], fore)
+        e += np.matmul(out[:, n:], back)
+        e += self.p["bias"][:, None]
+        e[0] += self.first[:, None]
         move = self.p["move"] + self.barred
-        best, back = e[:, 0] + self.first, np.zeros(e.shape, np.int8)
-        for i in range(1, e.shape[1]):
+        inside = np.arange(len(codes))[:, None] < sizes
+        rows = np.flatnonzero(self._may_hold(e, move, inside))
+        if not len(rows):
+            return {}
+        e, mask = e[:, :, rows].transpose(0, 2, 1), inside[:, rows]
+        best, links = e[0], np.zeros(e.shape, np.int8)
+        for i in range(1, len(e)):
             step = best[:, :, None] + move
-            back[:, i] = step.argmax(1)
-            new = step.max(1) + e[:, i]
-            on = mask[:, i, None] > 0
-            back[:, i] = np.where(on, back[:, i], np.arange(e.shape[2]))
-            best = np.where(on, new, best)
-        at, out = best.argmax(1), np.zeros(codes.shape, np.int64)
-        rows = np.arange(len(at))
-        for i in range(e.shape[1] - 1, -1, -1):
-            out[:, i] = at
-            at = back[rows, i, at]
-        return [o[: len(c)] for o, c in zip(out, batch, strict=True)]
+            on = mask[i][:, None]
+            links[i] = np.where(on, step.argmax(1), np.arange(e.shape[2]))
+            best = np.where(on, step.max(1) + e[i], best)
+        at, found, every = best.argmax(1), np.zeros(e.shape[:2], np.int8), np.arange(len(rows))
+        for i in range(len(e) - 1, -1, -1):
+            found[i] = at
+            at = links[i, every, at]
+        return {int(r): found[: sizes[r], k] for k, r in enumerate(rows)}
+
+    @staticmethod
+    def _may_hold(e: np.ndarray, move: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Which windows have a span that could be worth more than staying outside; for the others nothing is.
+
+        A span's worth over "outside" is that of its beginning, of each further character and of leaving it, with the best
+        transition there is in place of the one taken. The largest sum of a run of characters is found in one pass.
+        """
+        stay, begins, insides = move[0, 0], np.arange(1, e.shape[1], 2), np.arange(2, e.shape[1], 2)
+        enter = e[:, begins] + (move[:, begins].max(0) - stay)[:, None] - e[:, :1]
+        on = e[:, insides] + (np.maximum(move[begins, insides], move[insides, insides]) - stay)[:, None] - e[:, :1]
+        enter[~np.broadcast_to(inside[:, None], enter.shape)] = -1e9
+        leave = np.maximum(0, np.maximum(move[begins, 0], move[insides, 0]) - stay)
+        run = np.full(enter.shape[1:], -1e9, np.float32)
+        best = run.copy()
+        for t in range(len(e)):
+            run += on[t]
+            np.maximum(run, enter[t], out=run)
+            np.maximum(best, run, out=best)
+        return (best + leave[:, None] > -1e-3).any(0)
 
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,26 +239,33 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 # --- labelled examples -------------------------------------------------------------------------------------------------
 
 
-def _value(rng: np.random.Generator, kind: str) -> str:
-    """A generated value of a kind, in one of several spellings."""
+def _value(rng: np.random.Generator, kind: str) -> tuple[str, str]:
+    """What leads to a generated value of a kind, and the value, in one of several spellings."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     pick = lambda *a: a[rng.integers(len(a))]
     if kind == "email":
         name = letters(rng.integers(2, 10)) + pick("", "." + letters(rng.integers(2, 8)), "_" + digits(2), "." + digits(2))
         host = letters(rng.integers(3, 9)) + pick("", digits(1)) + pick("", "." + letters(rng.integers(3, 9)))
-        return f"{name}@{host}.{pick('com', 'org', 'net', 'de', 'fr', 'es', 'co.uk')}"
+        return "", f"{name}@{host}.{pick('com', 'org', 'net', 'de', 'fr', 'es', 'co.uk')}"
     if kind == "ip":
-        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        return "", ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "card":
-        sep = pick("", "", "-", " ")
-        return sep.join([pick("4", "5", "37", "6011")[:4].ljust(4, "0") if sep else "4" + digits(3), digits(4), digits(4), digits(4)])
+        sep, n = pick("", "", "-", " "), int(pick(16, 16, 15, 13))
+        value = [int(x) for x in digits(n)]
+        value[-1] = next(d for d in range(10) if _luhn("".join(map(str, [*value[:-1], d]))))
+        text = "".join(map(str, value))
+        return "", sep.join(text[i : i + 4] for i in range(0, n, 4))
     if kind == "phone":
         a, b, c = digits(3), digits(3), digits(4)
-        return pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+{digits(11)}", f"({a}) {b}.{c}")
-    hexes = "".join(rng.choice(list("0123456789abcdef"), rng.integers(16, 41)))
-    upper = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
-    return pick(f'token = "{hexes}"', f"password={hexes[:18]}", f"AKIA{upper}", f"api_key={hexes}", f'secret: "{hexes}"')
+        return "", pick(f"+1 ({a}) {b}-{c}", f"+{digits(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"+1-{a}-{b}-{c}", f"+{digits(11)}", f"({a}) {b}.{c}")
+    alphabet = pick("0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    value = "".join(rng.choice(list(alphabet), rng.integers(12, 49)))
+    name = pick("token", "password", "api_key", "secret", "key", "passwd", "access_token", "auth")
+    name = pick(name, name, name.upper(), name.title())
+    if rng.random() < 0.2:
+        return "", "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16))
+    return pick(f'{name} = "', f"{name} = ", f"{name}=", f'{name}: "', f"{name}: ", f'"{name}": "', f"{name} '"), value
 
 
 def _harmless(rng: np.random.Generator) -> str:
@@ -243,40 +279,54 @@ def _harmless(rng: np.random.Generator) -> str:
     )
 
 
+#: A long word with digits that no base pattern tells: it may be a secret or not, so no example is made of it.
+_UNSURE = re.compile(r"(?=[^\s]*[0-9])[^\s]{10,}|[0-9][0-9 ().-]{6,}[0-9]|\S*@\S*\.\S*")
+
+
+def _excerpt(text: str, rng: np.random.Generator, size: int) -> str:
+    at = int(rng.integers(0, max(1, len(text) - size + 1)))
+    return text[at : at + size]
+
+
 def examples(texts: list[str], count: int = EXAMPLES, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``(codes, tags)``: windows of the texts around base spans and other signs, and windows with values put in."""
+    """``(codes, tags)``: excerpts of the texts with their base spans, and excerpts with generated values put in."""
     rng = np.random.default_rng(seed)
     texts = [t for t in texts if t and t.strip()] or ["text"]
     out = []
-    for t in texts:
-        spans = base_spans(t)
-        for a, b in neighbourhoods(t)[:4]:
-            if len(out) < count // 4:
-                out.append(_labelled(t[a : min(b, a + WINDOW)], [(s - a, e - a, k) for s, e, k in spans if s >= a and e <= min(b, a + WINDOW)]))
-    for _ in range(count - len(out)):
-        t = texts[rng.integers(len(texts))]
-        words = t[(i := int(rng.integers(0, max(1, len(t) - 200)))) : i + 200].split()
-        parts, spans, at = [], [], 0
-        for w in words[: rng.integers(2, 9)]:
-            parts.append(_SIGN.sub("x", w))
-        made = rng.integers(0, 3)
-        for _ in range(made):
+    for _ in range(count * 2 // 5):
+        text = _excerpt(texts[rng.integers(len(texts))], rng, int(rng.integers(40, 200)))
+        spans = base_spans(text)
+        rest = list(text)
+        for a, b, _ in spans:
+            rest[a:b] = " " * (b - a)
+        if not _UNSURE.search("".join(rest)):
+            out.append(_labelled(text, spans))
+    while len(out) < count:
+        t = _excerpt(texts[rng.integers(len(texts))], rng, 200)
+        if rng.random() < 0.1:
+            t = t.upper()
+        words = [_SIGN.sub("x", w) for w in t.split()[1 : rng.integers(2, 14)]]
+        parts: list = list(words) or ["x"]
+        for _ in range(rng.integers(0, 4)):
             parts.insert(int(rng.integers(0, len(parts) + 1)), (KINDS[rng.integers(len(KINDS))], None))
-        if rng.random() < 0.6:
+        for _ in range(rng.integers(0, 3)):
             parts.insert(int(rng.integers(0, len(parts) + 1)), _harmless(rng))
-        text = ""
+        for _ in range(rng.integers(0, 3)):  # long words are no values either
+            long = "".join(words[i] for i in rng.integers(0, len(words), rng.integers(2, 5))) if words else "x"
+            parts.insert(int(rng.integers(0, len(parts) + 1)), re.sub(r"[^\w]", "", long)[:30])
+        text, spans = "", []
+        if rng.random() < 0.04:  # nor is a word said over and over
+            parts = [str(rng.choice(words or ["x"]))] * int(rng.integers(10, 40))
         for part in parts:
-            gap = "" if not text else (" " if rng.random() < 0.9 else "\n")
-            text += gap
-            at = len(text)
+            text += "" if not text else (" " if rng.random() < 0.9 else str(rng.choice(["\n", "  ", "\t"])))
             if isinstance(part, tuple):
-                value = _value(rng, part[0])
-                spans.append((at, at + len(value), part[0]))
-                text += value + ("" if rng.random() < 0.75 else str(rng.choice(list(".,;:!?)"))))
+                before, value = _value(rng, part[0])
+                text += before
+                spans.append((len(text), len(text) + len(value), part[0]))
+                text += value + ("" if rng.random() < 0.6 else str(rng.choice(['"', ".", ",", ";", ":", "!", "?", ")", "!!", "###", "$$$", "%%%", "***", "&&&"])))
             else:
                 text += part
-        if text:
-            out.append(_labelled(text, spans))
+        out.append(_labelled(text, spans))
     return out
 
 
@@ -291,80 +341,61 @@ def _labelled(text: str, spans: list[tuple[int, int, str]]) -> tuple[np.ndarray,
 # --- decoding ----------------------------------------------------------------------------------------------------------
 
 
-def neighbourhoods(text: str) -> list[tuple[int, int]]:
-    """The runs of text around digits and @ signs, widened to whole words and joined where they touch."""
-    out: list[list[int]] = []
-    for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _windows(n: int) -> list[tuple[int, int]]:
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = [*range(0, n - WINDOW, WINDOW - OVERLAP), n - WINDOW]
-    return [(a, a + WINDOW) for a in starts]
-
-
-def model_spans(model: SpanTagger, texts: list[str], most: int = 512) -> list[list[tuple[int, int, str]]]:
-    """``(start, end, kind)`` of the spans that the model tags in each text."""
-    jobs: list[tuple[int, int, int, np.ndarray]] = []  # text, where a window begins, neighbourhood, codes
-    runs: list[tuple[int, int, int]] = []
-    for i, t in enumerate(texts):
-        for a, b in neighbourhoods(t):
-            codes = _codes(t[a:b])
-            jobs += [(len(runs), x, y, codes[x:y]) for x, y in _windows(b - a)]
-            runs.append((i, a, b))
-    tags = [np.zeros(b - a, np.int64) for _, a, b in runs]
-    depth = [np.full(b - a, -1) for _, a, b in runs]
-    jobs.sort(key=lambda j: len(j[3]))
-    for i in range(0, len(jobs), most):
-        part = jobs[i : i + most]
-        for (run, x, y, _), found in zip(part, model.tag([c for *_, c in part]), strict=True):
-            inner = np.minimum(np.arange(y - x) + (WINDOW if x == 0 else 0), np.arange(y - x)[::-1] + (WINDOW if y == len(tags[run]) else 0))
-            better = inner > depth[run][x:y]
-            tags[run][x:y][better] = found[better]
-            depth[run][x:y][better] = inner[better]
+def model_spans(model: SpanTagger, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """``(start, end, kind)`` of the spans that the model tags in each text, in order."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes, base = _codes("".join(texts)), np.cumsum(sizes) - sizes
+    text, start, begin, end = R.windows(sizes, WINDOW, OVERLAP)
+    length = np.minimum(sizes[text], WINDOW)
+    tags = np.zeros(len(codes), np.int8)
+    order = np.argsort(-length, kind="stable")
+    for i in range(0, len(order), READ):
+        part = order[i : i + READ]
+        at = base[text[part]] + start[part]
+        place = np.minimum(at + np.arange(length[part[0]])[:, None], len(codes) - 1)
+        for k, found in model.tags(codes[place], length[part]).items():
+            w = part[k]
+            a = base[text[w]]
+            tags[a + begin[w] : a + end[w]] = found[begin[w] - start[w] : end[w] - start[w]]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for (i, a, _), found in zip(runs, tags, strict=True):
-        at = 0
-        while at < len(found):
-            if found[at] == _OUTSIDE:
-                at += 1
-                continue
-            kind, end = _TAGS[found[at]][2:], at + 1
-            while end < len(found) and _TAGS[found[end]] == f"I-{kind}":
-                end += 1
-            out[i].append((a + at, a + end, kind))
-            at = end
+    on = np.flatnonzero(tags)
+    owner = np.searchsorted(base, on, "right") - 1
+    open_kind, last, last_text = None, -2, -1
+    for at, i in zip(on.tolist(), owner.tolist(), strict=True):
+        tag = _TAGS[tags[at]]
+        if tag[0] == "I" and at == last + 1 and i == last_text and tag[2:] == open_kind:
+            a, _, kind = out[i][-1]
+            out[i][-1] = (a, at + 1 - int(base[i]), kind)
+        else:
+            open_kind = tag[2:]
+            out[i].append((at - int(base[i]), at + 1 - int(base[i]), open_kind))
+        last, last_text = at, i
     return out
 
 
-#: A span that the model adds has to look like a value of its kind as a whole.
-_SHAPE = {
-    "email": re.compile(r"[^\s@]+@[^\s@]+\.[^\s@]+"),
-    "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
-    "card": re.compile(r"(?:[0-9][ -]?){12,19}"),
-    "phone": re.compile(r"\(?\+?[0-9(][0-9 ().-]{7,}[0-9]"),
-    "secret": re.compile(r"(?=.*[0-9]).{12,}", re.S),
-}
+#: The rest of a word, from one of its characters on.
+_TAIL = re.compile(r"[^\W_]+|.", re.S)
 
 
 def all_spans(text: str, base: list[tuple[int, int, str]], tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The base spans, and those of the model that overlap none of them and have their kind's shape."""
-    out = list(base)
+    """The base spans, and those of the model that overlap none of them, widened to whole words.
+
+    A card number has to pass its own check sum.
+    """
+    out, k, reach, starts = list(base), 0, 0, sorted(base)
     for a, b, kind in tagged:
-        while b > a and text[b - 1] in " \n\t.,;:!?":
+        while b > a and text[b - 1] in " \n\t.,;:!?\"'":
             b -= 1
-        while a < b and text[a] in " \n\t":
+        while a < b and text[a] in " \n\t\"'":
             a += 1
-        if b > a and not any(x < b and a < y for x, y, _ in base) and _SHAPE[kind].fullmatch(text[a:b]):
-            if kind != "card" or _luhn(re.sub("[ -]", "", text[a:b])):
-                out.append((a, b, kind))
+        if b > a:
+            b = _TAIL.match(text, b - 1).end()
+            while a > reach and text[a].isalnum() and text[a - 1].isalnum():
+                a -= 1
+        while k < len(starts) and starts[k][0] < b:  # both lists go by start: what begins before the span ends
+            reach, k = max(reach, starts[k][1]), k + 1
+        if b > a >= reach and (kind != "card" or _luhn(re.sub("[^0-9]", "", text[a:b]))):
+            out.append((a, b, kind))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -383,9 +414,11 @@ def _shared(docs: DataFrame, model: SpanTagger) -> Broadcast:
 
 
 def _spans_of(model: SpanTagger, texts: list[str]) -> list[tuple[list, list]]:
-    base = [base_spans(t) for t in texts]
-    tagged = model_spans(model, texts)
-    return [(b, all_spans(t, b, m)) for t, b, m in zip(texts, base, tagged, strict=True)]
+    out = []
+    for s in pieces([len(t) for t in texts]):
+        tagged = model_spans(model, texts[s])
+        out += [((base := base_spans(t)), all_spans(t, base, m)) for t, m in zip(texts[s], tagged, strict=True)]
+    return out
 
 
 def _written(spans: list[tuple[int, int, str]]) -> str:
