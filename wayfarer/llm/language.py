@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes in both directions and gives every position probabilities over the languages; a
-document's probabilities are the mean over all its positions. State is carried through a word, not from one word to the
-next, so equal words have equal outputs, and a worker reads each distinct word once and remembers what its positions sum
-to. The network is trained in numpy by backpropagation through time on a bounded labelled sample.
+The network reads a document's bytes in both directions, in windows that overlap, and gives every position probabilities
+over the languages with what stands before and after it in view; a document's probabilities are the mean over all its
+positions, each taken from the window that has it in its middle. The network is trained in numpy by backpropagation through
+time on windows of a bounded labelled sample.
 """
 
 from __future__ import annotations
@@ -22,13 +22,11 @@ from .common import hash_sample, id_bucket
 
 #: One fold in five is held out.
 FOLDS, HELD_OUT = 5, 0
-#: Labelled documents that the network is trained on, about; characters of each; words in training.
-SAMPLE, EXCERPT, WORDS = 3_000, 1_500, 24_000
+#: Labelled documents that the network is trained on, about; characters of each; windows in training and their bytes.
+SAMPLE, EXCERPT, WINDOWS, TRAINED = 3_000, 1_500, 4_000, 96
 UNITS, WIDTH = 12, 10
-#: Bytes that state is carried through, at most; longer words are read in pieces of this size.
-REACH = 32
-#: Distinct words that a worker remembers.
-KEPT = 600_000
+#: Bytes of a window, and of its overlap with the next one; windows that are read at once.
+WINDOW, OVERLAP, READ = 256, 48, 1024
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,12 +50,12 @@ class ByteTagger:
         e = np.exp(z)
         return x, h, e / e.sum(2, keepdims=True)
 
-    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = 4, rate: float = 0.02, seed: int = 0) -> None:
+    def train(self, words: list[bytes], labels: np.ndarray, epochs: int = 3, rate: float = 0.02, seed: int = 0) -> None:
         rng, adam = np.random.default_rng(seed), R.Adam(self.p, rate)
-        steps, done = epochs * -(-len(words) // 128), 0
+        steps, done = epochs * -(-len(words) // 64), 0
         for _ in range(epochs):
-            order = sorted(rng.permutation(len(words)), key=lambda i: len(words[i]) // 3)
-            batches = [order[i : i + 128] for i in range(0, len(order), 128)]
+            order = sorted(rng.permutation(len(words)), key=lambda i: len(words[i]) // 8)
+            batches = [order[i : i + 64] for i in range(0, len(order), 64)]
             for k in rng.permutation(len(batches)):
                 codes, mask = _padded([words[i] for i in batches[k]])
                 keep = ([], [])
@@ -73,16 +71,27 @@ class ByteTagger:
                 done += 1
                 adam.step(grads)
 
-    def sums(self, words: list[bytes], most: int = 4096) -> np.ndarray:
-        """For each word the sum of its positions' probabilities; they add up to the word's length."""
-        parts = [(i, w[a : a + REACH]) for i, w in enumerate(words) for a in range(0, len(w), REACH)]
-        parts.sort(key=lambda x: len(x[1]))
-        out = np.zeros((len(words), len(self.languages)))
-        for a in range(0, len(parts), most):
-            part = parts[a : a + most]
-            codes, mask = _padded([w for _, w in part])
-            prob = self.forward(codes, mask)[2]
-            np.add.at(out, [i for i, _ in part], (prob * mask[:, :, None]).sum(1, dtype=np.float64))
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sum of its positions' probabilities; they add up to the text's length."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        codes, base = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64), np.cumsum(sizes) - sizes
+        text, start, begin, end = R.windows(sizes, WINDOW, OVERLAP)
+        length = np.minimum(sizes[text], WINDOW)
+        out, weights = np.zeros((len(texts), len(self.languages))), np.ascontiguousarray(self.p["out"].T)
+        order = np.argsort(-length, kind="stable")
+        for i in range(0, len(order), READ):
+            part = order[i : i + READ]
+            step = np.arange(length[part[0]])[:, None]
+            at = np.minimum(base[text[part]] + start[part] + step, len(codes) - 1)
+            fore, back = R.read_both_ways(R.gru_read, self.p, "gru", self.p["embed"], codes[at], length[part])
+            z = np.matmul(weights[:, :UNITS], fore)
+            z += np.matmul(weights[:, UNITS:], back)
+            z += self.p["bias"][:, None]
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            mine = (step >= begin[part] - start[part]) & (step < end[part] - start[part])
+            np.add.at(out, text[part], np.einsum("tnb,tb->bn", z, mine.astype(np.float32), dtype=np.float64))
         return out
 
 
@@ -94,40 +103,20 @@ def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, mask.astype(np.float32)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The lower-cased runs of letters of a text; none if no character of it is a letter."""
-    words = _WORD.findall((text or "").lower())
-    return words if any(c.isalpha() for w in words for c in w) else []
-
-
-class Reader:
-    """Document probabilities of batches of texts, with a memory of words."""
-
-    def __init__(self, model: ByteTagger):
-        self.model = model
-        self.place: dict[str, int] = {}
-        self.sums = np.zeros((0, len(model.languages)))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        out: list[np.ndarray | None] = []
-        for s in pieces([len(t or "") for t in texts], 2_000_000):
-            cut = [words_of(t) for t in texts[s]]
-            distinct = set().union(*cut)
-            if len(self.place) + len(distinct) > KEPT:
-                self.place, self.sums = {}, self.sums[:0]
-            new = [w for w in distinct if w not in self.place]
-            new.sort()
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            if new:
-                self.sums = np.concatenate([self.sums, self.model.sums([w.encode("utf-8", "surrogatepass") for w in new])])
-            get = self.place.__getitem__
-            for words in cut:
-                if words:
-                    total = self.sums[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
-                    out.append(total / total.sum())
-                else:
-                    out.append(None)
-        return out
+def bytes_of(text: str | None) -> bytes:
+    """The bytes of a text in lower case that the network reads; none if no character of it is a letter."""
+    text = (text or "").lower()
+    letters = any(c.isalpha() for m in _WORD.finditer(text) for c in m[0])
+    return text.encode("utf-8", "surrogatepass") if letters else b""
+
+
+def probabilities(model: ByteTagger, texts: list[str | None]) -> list[np.ndarray | None]:
+    """Each text's probabilities over the model's languages; None for a text without letters."""
+    out: list[np.ndarray | None] = []
+    for s in pieces([len(t or "") for t in texts], 2_000_000):
+        data = [bytes_of(t) for t in texts[s]]
+        out += [total / total.sum() if d else None for d, total in zip(data, model.sums(data), strict=True)]
+    return out
 
 
 def fit(
@@ -145,16 +134,19 @@ def fit(
     languages = sorted({lang for lang, _ in rows}) or [UNKNOWN]
     by: list[list[bytes]] = [[] for _ in languages]
     for lang, text in rows:
-        by[languages.index(lang)] += [w.encode("utf-8", "surrogatepass")[:REACH] for w in words_of(text)]
+        by[languages.index(lang)].append(bytes_of(text))
     rng = np.random.default_rng(0)
-    words, labels = [], []
-    for k, own in enumerate(by):  # as many words of each language
-        if own:
-            words += [own[i] for i in rng.integers(0, len(own), WORDS // len(languages))]
-            labels += [k] * (WORDS // len(languages))
+    windows, labels = [], []
+    for k, own in enumerate(by):  # as many windows of each language, and as many of each document of it
+        own = [d for d in own if d]
+        for i in range(WINDOWS // len(languages) if own else 0):
+            d = own[i % len(own)]
+            at = int(rng.integers(0, max(1, len(d) - TRAINED + 1)))
+            windows.append(d[at : at + TRAINED])
+            labels.append(k)
     model = ByteTagger(languages)
-    if len(languages) > 1 and words:
-        model.train(words, np.array(labels))
+    if len(languages) > 1 and windows:
+        model.train(windows, np.array(labels))
     return model
 
 
@@ -167,10 +159,9 @@ def predict(docs: DataFrame, model: ByteTagger, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers whatever the corpus
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value)
+        names = shared.value.languages
         for b in batches:
-            found = reader(b["text"].tolist())
-            names = reader.model.languages
+            found = probabilities(shared.value, b["text"].tolist())
             yield pd.DataFrame(
                 {
                     "doc_id": b["doc_id"].astype("Int64").to_numpy(),
