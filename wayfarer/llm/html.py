@@ -43,27 +43,67 @@ ASIDE = re.compile(
     r"breadcrumb\w*|header|masthead|footer|comment\w*|replies|respond|share|social|related|recommend\w*|widget|newsletter|"
     r"subscribe|signup|login|search|popup|modal|pagination|copyright|legal)(?:$|[-_ ])"
 )
+_ARTICLE = re.compile(r"(?:^|[-_ ])(?:article|content|post|story|entry|main|body)(?:$|[-_ ])")
+_NO_ARTICLE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "select", "dialog", "head"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+class Element:
+    """An open element: a step of the path, linked to the one around it, so that paths share what they have in common.
+
+    ``bits`` are the slots of all names and marks down to here. ``aside`` and ``inside`` say whether any element down to
+    here is no part of an article, or holds one: for the labels of training.
+    """
+
+    __slots__ = ("parent", "name", "marks", "bits", "aside", "inside")
+
+    def __init__(self, parent: Element | None, name: str, marks: str = ""):
+        self.parent, self.name, self.marks = parent, name, marks
+        self.bits, self.aside, self.inside = parent and (parent.bits, parent.aside, parent.inside) or (0, False, False)
+        for key in [name, *(k for k in re.split(r"[^a-z]+", marks) if k)] if name else ():
+            self.bits |= 1 << _slot(key)
+        self.aside |= name in _NO_ARTICLE or bool(marks and ASIDE.search(marks))
+        self.inside |= name in ("article", "main") or bool(marks and _ARTICLE.search(marks))
+
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self
+        while at.parent is not None:
+            out.append(f"{at.name}.{at.marks}" if at.marks else at.name)
+            at = at.parent
+        return tuple(reversed(out))
+
+    def slots(self) -> int:
+        """The path's slots; the last two steps count apart as well."""
+        out, at = self.bits, self
+        for depth in range(2):
+            if at.parent is not None:
+                out |= 1 << _slot(f"{depth}:{at.name}")
+                at = at.parent
+        return out
+
+
 @dataclass
 class Block:
-    """A run of text: its path of ``tag`` and ``tag.mark`` steps, and how many of its characters are in links."""
+    """A run of text: the element it stands in, and how many of its characters are in links."""
 
-    path: tuple[str, ...]
+    element: Element
     text: str
     linked: int
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order; broken, unclosed and cut-off markup is read as far as it goes."""
+    """The blocks of a page in order; broken, unclosed and cut-off markup is read as far as it goes.
+
+    Each step is of constant cost, however deep the page is nested.
+    """
     page = page or ""
     out: list[Block] = []
-    path: list[str] = []  # steps of open elements
-    names: list[str] = []
+    stack = [Element(None, "")]  # open elements
+    where: dict[str, list[int]] = {}  # of each name, where in the stack it stands
+    outer: list[int] = [0]  # where in the stack block-level elements stand
     parts: list[str] = []
     linked, at, links = 0, 0, 0
 
@@ -71,7 +111,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(tuple(path), text, linked))
+            out.append(Block(stack[-1], text, linked))
         parts.clear()
         linked = 0
 
@@ -83,6 +123,14 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text)
 
+    def pop() -> None:
+        nonlocal links
+        name = stack.pop().name
+        where[name].pop()
+        links -= name == "a"
+        if outer[-1] == len(stack):
+            outer.pop()
+
     while True:
         lt = page.find("<", at)
         m = _TOKEN.match(page, lt) if lt >= 0 else None
@@ -101,28 +149,23 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if closing:
-            if name in names:
-                if name in BLOCKS:
-                    end()
-                i = len(names) - 1 - names[::-1].index(name)
-                # An inline element doesn't close the blocks around it.
-                if name in BLOCKS or not any(n in BLOCKS for n in names[i:]):
-                    links -= sum(n == "a" for n in names[i:])
-                    del names[i:], path[i:]
-            elif name in BLOCKS:
+            if name in BLOCKS:
                 end()
+            if where.get(name):
+                i = where[name][-1]
+                # An inline element doesn't close the blocks around it.
+                if name in BLOCKS or outer[-1] < i:
+                    while len(stack) > i:
+                        pop()
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             end()
-            shut = CLOSES.get(name, {"p"} if name in BLOCKS else set())
-            i = len(names) - 1
-            while i >= 0 and (names[i] not in BLOCKS or names[i] in shut):
-                i -= 1
-            links -= sum(n == "a" for n in names[i + 1 :])
-            del names[i + 1 :], path[i + 1 :]
+            shut = CLOSES.get(name, {"p"})
+            while len(stack) > 1 and (stack[-1].name not in BLOCKS or stack[-1].name in shut):
+                pop()
         if name in VOID or m[3].endswith("/"):
             continue
         if name in RAW:
@@ -130,22 +173,18 @@ def blocks(page: str | None) -> list[Block]:
             at = close.end() if close else len(page)
             continue
         marks = " ".join(x for found in _MARK.findall(m[3]) for x in found if x) if m[3] else ""
-        names.append(name)
-        path.append(f"{name}.{marks.lower()}" if marks else name)
+        where.setdefault(name, []).append(len(stack))
+        if name in BLOCKS:
+            outer.append(len(stack))
+        stack.append(Element(stack[-1], name, marks.lower()))
         links += name == "a"
     end()
     return out
 
 
-def structural_label(path: tuple[str, ...]) -> int:
+def structural_label(element: Element) -> int:
     """1 if the elements around a block say that it is article text: for training only."""
-    inside = False
-    for step in path:
-        name, _, marks = step.partition(".")
-        if name in ("nav", "header", "footer", "aside", "form", "menu", "select", "dialog", "head") or (marks and ASIDE.search(marks)):
-            return 0
-        inside |= name in ("article", "main") or bool(re.search(r"(?:^|[-_ ])(?:article|content|post|story|entry|main|body)(?:$|[-_ ])", marks))
-    return int(inside)
+    return int(element.inside and not element.aside)
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------
@@ -162,43 +201,35 @@ def _word_slot(word: str) -> int:
     return got
 
 
-def _path_slots(path: tuple[str, ...]) -> list[int]:
-    """Slots of the elements' names and marks; the last two steps count apart as well."""
-    out = []
-    for depth, step in enumerate(reversed(path)):
-        name, _, marks = step.partition(".")
-        keys = [name, *re.split(r"[^a-z]+", marks)]
-        out += [zlib.crc32(k.encode("utf-8", "surrogatepass")) % PATH_SLOTS for k in keys if k]
-        if depth < 2:
-            out.append(zlib.crc32(f"{depth}:{name}".encode("utf-8", "surrogatepass")) % PATH_SLOTS)
-    return out
+def _slot(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % PATH_SLOTS
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+_PATHS: dict[int, np.ndarray] = {}
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    got = _PATHS.get(path)
+def _path_vector(slots: int) -> np.ndarray:
+    got = _PATHS.get(slots)
     if got is None:
         if len(_PATHS) > 20_000:
             _PATHS.clear()
-        got = np.zeros(PATH_SLOTS, np.float32)
-        got[_path_slots(path)] = 1
-        _PATHS[path] = got
+        raw = np.frombuffer(slots.to_bytes(PATH_SLOTS // 8, "little"), np.uint8)
+        got = _PATHS[slots] = np.unpackbits(raw, bitorder="little").astype(np.float32)
     return got
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One vector for each block: path, hashed words, and a few numbers on size, links and place."""
-    n = len(page)
-    out = np.zeros((n, PATH_SLOTS + WORD_SLOTS + NUMBERS), np.float32)
-    for i, b in enumerate(page):
-        out[i, :PATH_SLOTS] = _path_vector(b.path)
+def vectors(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """One vector for each block from ``first`` to ``last``: path, hashed words, and numbers on size, links and place."""
+    n, part = len(page), page[first:last]
+    out = np.zeros((len(part), PATH_SLOTS + WORD_SLOTS + NUMBERS), np.float32)
+    for k, b in enumerate(part):
+        i = first + k
+        out[k, :PATH_SLOTS] = _path_vector(b.element.slots())
         words = b.text.split()
         counts = np.bincount([_word_slot(w) for w in words], minlength=WORD_SLOTS)
-        out[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = counts / len(words)
+        out[k, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = counts / len(words)
         size = len(b.text)
-        out[i, -NUMBERS:] = (np.log1p(len(words)) / 5, b.linked / size, i / n, 1 / (1 + i), 1 / (n - i), sum(map(b.text.count, ".,")) / (1 + len(words)))
+        out[k, -NUMBERS:] = (np.log1p(len(words)) / 5, b.linked / size, i / n, 1 / (1 + i), 1 / (n - i), sum(map(b.text.count, ".,")) / (1 + len(words)))
     return out
 
 
@@ -237,11 +268,15 @@ class BlockLabeller:
                 adam.step(grads)
 
     def label(self, pages: list[list[Block]], most: int = 4_000) -> list[np.ndarray]:
-        """For each page which blocks are article text; pages of like length are read together."""
+        """For each page which blocks are article text; pages of like length are read together.
+
+        A page of more than ``most`` blocks is read in parts with the state carried from one to the next, so what is held
+        at once is bounded and every block still has the whole page in view.
+        """
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         out = [np.zeros(0, bool)] * len(pages)
         a = 0
-        while a < len(order):
+        while a < len(order) and len(pages[order[a]]) <= most:
             z = a + 1
             while z < len(order) and len(pages[order[z]]) * (z + 1 - a) <= most:
                 z += 1
@@ -249,8 +284,24 @@ class BlockLabeller:
             for i, prob in zip(order[a:z], self._forward(x, mask)[1], strict=True):
                 out[i] = prob[: len(pages[i])] >= 0.5
             a = z
+        for i in order[a:]:
+            out[i] = self._in_parts(pages[i], most)
         return out
 
+    def _in_parts(self, page: list[Block], most: int) -> np.ndarray:
+        spans = [(a, min(len(page), a + most)) for a in range(0, len(page), most)]
+        h, state = np.empty((len(page), 2 * UNITS), np.float32), {}
+        for a, z in spans:
+            x = vectors(page, a, z)[None]
+            h[a:z, :UNITS] = R.lstm(self.p, "lstm.f", x, np.ones(x.shape[:2], np.float32), state=state)[0]
+        state, on = {}, np.empty(len(page), bool)
+        for a, z in reversed(spans):
+            x = vectors(page, a, z)[None]
+            h[a:z, UNITS:] = R.lstm(self.p, "lstm.r", x[:, ::-1], np.ones(x.shape[:2], np.float32), state=state)[0, ::-1]
+            score = np.concatenate([h[a:z], x[0]], 1) @ self.p["out"] + self.p["bias"]
+            on[a:z] = R.sigmoid(score)[:, 0] >= 0.5
+        return on
+
 
 def _stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     n = max(len(r) for r in rows)
@@ -309,7 +360,7 @@ def train_labeller(pages: list[str], seed: int = 0) -> BlockLabeller:
         for text in (page, _further_parts(page, words, rng)):
             found = blocks(text)[:400]
             if found:
-                made.append((vectors(found), np.array([structural_label(b.path) for b in found], np.float32)))
+                made.append((vectors(found), np.array([structural_label(b.element) for b in found], np.float32)))
     if made:
         model.train(made)
     return model
