@@ -138,6 +138,7 @@ def scan_text(text: str | None, automaton: ahocorasick.Automaton) -> tuple:
     words = words_of(text)
     line = " " + b" ".join(words).decode("latin1") + " "
     base, starts, labels, score, tagged = set(), [], set(), 0.0, False
+    seen, spaces = 0, 0  # spaces before a place, counted once over the line
     for end, (phrase, label) in automaton.iter(line):
         at = end - len(phrase) - 1  # the space before the phrase
         if phrase == TAG:
@@ -146,7 +147,11 @@ def scan_text(text: str | None, automaton: ahocorasick.Automaton) -> tuple:
         labels.add(label)
         if phrase in BASE:
             base.add(label)
-            starts.append(line.count(" ", 0, at))
+            if at >= seen:
+                seen, spaces = at, spaces + line.count(" ", seen, at)
+                starts.append(spaces)
+            else:  # a longer phrase that began before the last one
+                starts.append(spaces - line.count(" ", at, seen))
         before = line[max(0, at - 40) : at + 1]
         score = max(score, 1.0 if any(f" {g} " in before for g in GRANTS) else 0.5)
     freedom = [FREEDOM[x] for x in labels]
