@@ -6,36 +6,19 @@ input, whatever they are called, neither reach Python nor clash with the columns
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.plans.session import forget, shared_folder, spool
+
+__all__ = ["forget", "hash_sample", "id_bucket", "read_table", "shared_folder", "spool"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in a local test, a temporary folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def id_bucket(column: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``: the stable split into folds. A null id is in no fold (null)."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
@@ -48,10 +31,3 @@ def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """
     step = max(1, df.count() // rows)
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).limit(2 * rows)
-
-
-def spool(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again: :func:`cut` for larger tables, compressed."""
-    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

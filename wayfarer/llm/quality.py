@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample, id_bucket
+from .common import hash_sample, id_bucket, spool
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the id.
 SAMPLE = 8_000
@@ -184,7 +184,7 @@ def fit(
         .groupBy("label_id")
         .agg(F.min("label").alias("label"))
     )
-    chosen = hash_sample(cut(chosen), sample // 2, "label_id")
+    chosen = hash_sample(spool(chosen), sample // 2, "label_id")
     rows = (
         docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         .join(F.broadcast(chosen), F.col("id") == F.col("label_id"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut
+from .common import spool
 from .components import connected_components
 
 SHINGLE = 3
@@ -108,8 +108,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     any other. Repeated rows each give a row. A row with a null id has the group's smallest id, or null if none of the
     group has an id. An empty table gives an empty result.
     """
-    fps = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = spool(fingerprints(docs, id_col, text_col))
+    classes = spool(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_pairs(classes))
     groups = (
         classes.join(linked, classes["fp"] == linked["node"], "left")
@@ -126,7 +126,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Groups are those of :func:`jaccard.groups`: sets of five-word shingles with a similarity of 0.8 or more. If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
     then one of them does.
     """
-    found = cut(jaccard.groups(docs, id_col, text_col))
+    found = spool(jaccard.groups(docs, id_col, text_col))
     kept = (
         found.where("doc_id is not null and doc_id = component_id")
         .groupBy(F.col("doc_id").alias("kept_id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spool
+from .common import spool
 from .components import connected_components
 
 COSINE = 0.9
@@ -129,8 +129,8 @@ def near_duplicates(
             yield pd.DataFrame({"id": b["id"].to_numpy()[keep], "unit": [np.ascontiguousarray(x[i]).tobytes() for i in keep]})
 
     # Equal vectors are one class: its members link with each other and have the same links otherwise.
-    units = cut(rows.where("id is not null").mapInPandas(classes, "id long, unit binary").distinct())
-    grouped = cut(units.groupBy("unit").agg(F.min("id").alias("cid"), F.count("*").alias("members")))
+    units = spool(rows.where("id is not null").mapInPandas(classes, "id long, unit binary").distinct())
+    grouped = spool(units.groupBy("unit").agg(F.min("id").alias("cid"), F.count("*").alias("members")))
 
     bounds, width = _bounds(size), [((2 - 2 * cosine) * (b - a) / size) ** 0.5 for a, b in _bounds(size)]
     axes = min(GRID, min(b - a for a, b in bounds))
@@ -149,7 +149,7 @@ def near_duplicates(
     placed = grouped.mapInPandas(place, "cid long, members long, unit binary, block int, cell array<int>")
     # Cells are as wide as the reach of a block in vectors of length 1, so their number is bounded whatever the table.
     counts = placed.groupBy("block", "cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    sizes = cut(counts)
+    sizes = spool(counts)
     dealt = placed.join(F.broadcast(sizes), ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
     grouped_rows = dealt.groupBy("block", "cell", "chunk").agg(F.collect_list(F.struct("cid", "members", "unit")).alias("rows"))
 
@@ -204,7 +204,7 @@ def near_duplicates(
                     ["u", "v", "n"],
                 )
 
-    met = cut(pairs.mapInArrow(meet, "u long, v long, n long"))
+    met = spool(pairs.mapInArrow(meet, "u long, v long, n long"))
     links = met.where("v is null").groupBy(F.col("u").alias("link_cid")).agg(F.sum("n").alias("outer_links"))
     linked = connected_components(met.where("v is not null").select("u", "v"))
     of_class = (
