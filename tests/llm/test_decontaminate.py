@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from wayfarer.llm import decontaminate as D
 
 from .tables import documents, hard_texts, prose
@@ -50,6 +52,28 @@ def test_leaks_against_every_window(spark):
     assert len(got) >= 0.97 * len(want)  # the target recall
 
 
+@pytest.mark.parametrize("words", [4, 5, 8, 12, 15, 20, 31, 59, 130])
+def test_recall_at_all_edits_allowed(words):
+    """Passages with as many edits as their length allows, of each length."""
+    rng, cut = random.Random(words), D.Words()
+    items = [prose(words * 1000 + i, words) for i in range(60)]
+    texts = []
+    for i, x in enumerate(items):
+        w = x.split()
+        for n in range(int(D.EDITS * words)):
+            j = rng.randrange(len(w))
+            w[j : j + rng.randint(0, 1)] = [f"q{i}x{n}"] * rng.randint(0, 1)
+        texts.append(f"{prose(i, 40)} {' '.join(w)} {prose(500 + i, 40)}")
+    found = D.Finder([(i, cut.hashes(x.encode())) for i, x in enumerate(items)])(texts)
+    assert sum((i, i) in found for i in range(60)) >= 54
+
+
+def test_window_sizes():
+    for n in range(5, 400):
+        assert 0.8 * (n - int(D.EDITS * n)) <= D.window_size(n) <= n - int(D.EDITS * n)
+        assert all(max(D.late_places(r, D.window_size(n))) >= D.window_size(n) for r in range(D.REPEATS))
+
+
 def test_clean_rows_stay(spark):
     item = prose(5, 30)
     bench = spark.createDataFrame([(None, item), (2, None)], "item_id long, text string")

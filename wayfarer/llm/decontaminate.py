@@ -7,10 +7,11 @@ apart at an edit falls into step again. Hashing some randomly sampled places of
 makes windows collide that differ by few edits; several walks with several samples each reach the target recall. What
 collides is verified by an exact edit distance between the item and the passage around the window.
 
-Windows begin at every word of a document and of an item, and a walk reads no further than the item is long. The first
-sampled place of each repetition is the window's first word, and a walk is only carried on while the words sampled so far
-are the beginning of some item's sample: the result is that of hashing every window in full, but most windows are left
-after a word or two.
+Windows are of the size of the items: a passage within the edits allowed is at least as long as its item less those
+edits, so items are put into classes of window sizes up to that, and windows of that size begin at every word of an item
+and of a document. Samples are spread over the whole walk. Some sampled places of each repetition are among the first steps,
+which all classes share: a walk is only carried on while the words sampled so far are the beginning of some item's
+sample. The result is that of hashing every window in full, but most windows are left after a word or two.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ from .bpe import pieces
 
 #: Edits of words that a passage may have, as a share of the item's words.
 EDITS = 0.2
-#: Repetitions of walk and sample, sampled places in each, and how far into the window samples reach (steps).
-REPEATS, PLACES, STEPS = 6, 8, 13
+#: Repetitions of walk and sample, and sampled places in each: some in the first steps, one of the late ones in those up to
+#: ``NEAR``, the others in equal parts of the rest. Of passages with as many edits as allowed over nine in ten are found so.
+REPEATS, EARLY, LATE, FIRST, NEAR = 10, 3, 3, 4, 16
+#: Window sizes grow by this factor from class to class.
+GROWTH = 1.15
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
-ITEMS_A_PASS = 20_000
-#: Slots of a lookup table for each key in it, so that few windows go on by chance.
-_SLOTS = 64
+ITEMS_A_PASS = 10_000
+#: Bits of a lookup table for each key in it, so that few windows go on by chance.
+_BITS = 64
 _EDGE = np.array([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -81,79 +85,148 @@ class Words:
             return _mixed(sums * _MIX + (end - start).astype(np.uint64))
 
 
-class Items:
-    """Benchmark items of one reach as word hashes, with the tables that windows are looked up in.
+class Table:
+    """A set of keys with false hits, as bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.mask = np.uint64((1 << int(max(8, len(keys) * _BITS)).bit_length()) - 1)
+        at = (keys & self.mask).astype(np.int64)
+        self.bits = np.zeros(int(self.mask) // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def on(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys & self.mask).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _salt(r: int, step: int) -> np.uint64:
+    return _mixed(np.array([(r << 32) + step + 1], np.uint64))[0] | np.uint64(1)
+
+
+def _joined(key: np.ndarray, word: np.ndarray, step: int) -> np.ndarray:
+    return _mixed((key ^ word) * _MIX + np.uint64(step + 1))
+
+
+def early_places(r: int) -> list[int]:
+    """The sampled places of a repetition in the first steps, which all window sizes share."""
+    return sorted(np.random.default_rng([7, r]).choice(FIRST, EARLY, replace=False).tolist())
+
+
+def late_places(r: int, reach: int) -> list[int]:
+    """The other sampled places of windows of ``reach`` words, whose walks have twice as many steps."""
+    rng, steps = np.random.default_rng([7, r, reach]), 2 * reach
+    near = min(NEAR, steps)
+    edges = [FIRST, near, *np.linspace(near, steps, LATE).astype(int)[1:].tolist()]
+    return sorted({int(rng.integers(a, z)) for a, z in zip(edges[:-1], edges[1:], strict=True) if z > a})
+
 
-    ``reach`` is how many steps samples go into a window; no item has fewer words, so no walk leaves its window.
+def start_walks(flat: np.ndarray, begin: np.ndarray, r: int, tables: list[Table] | None = None):
+    """``(begin, pointer, keys)`` of windows after the first steps of a repetition, with the keys after each early place.
+
+    With ``tables`` of those keys, only the windows that go on, and their last key.
+    """
+    at, key, keys, places = begin, np.zeros(len(begin), np.uint64), [], early_places(r)
+    with np.errstate(over="ignore"):
+        for j in range(FIRST):
+            word = flat[at]
+            if j in places:
+                key = _joined(key, word, j)
+                keys.append(key)
+                if tables is not None:
+                    on = tables[places.index(j)].on(key)
+                    begin, at, key, word = begin[on], at[on], key[on], word[on]
+            at = at + ((word * _salt(r, j)) >> np.uint64(63)).astype(np.int64)
+    return begin, at, keys if tables is None else key
+
+
+def walk_on(flat: np.ndarray, begin: np.ndarray, at: np.ndarray, key: np.ndarray, r: int, reach: int, tables: list[Table] | None = None):
+    """``(begin, keys)``: the keys after each later place, or with ``tables`` only the last one's of the windows that go on.
+
+    A walk that has come to its window's end reads the same nothing from there on.
     """
+    keys, places = [], late_places(r, reach)
+    with np.errstate(over="ignore"):
+        for j in range(FIRST, (places or [0])[-1] + 1):
+            if not len(begin):
+                break
+            inside = at < begin + reach
+            word = np.where(inside, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
+            if j in places:
+                key = _joined(key, word, j)
+                if tables is None:
+                    keys.append(key)
+                else:
+                    on = tables[places.index(j)].on(key)
+                    begin, at, key, word = begin[on], at[on], key[on], word[on]
+            at = at + ((word * _salt(r, j)) >> np.uint64(63)).astype(np.int64)
+    return begin, keys if tables is None else key
+
+
+def _matches(keys: np.ndarray, order: np.ndarray, windows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and the item windows whose key is theirs; ``keys`` are sorted, ``order`` is where they were."""
+    low = np.searchsorted(keys, key, "left")
+    n = np.searchsorted(keys, key, "right") - low
+    return np.repeat(windows, n), order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
 
-    def __init__(self, numbers: np.ndarray, words: list[np.ndarray], reach: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.salt = rng.integers(1, 1 << 63, (REPEATS, STEPS), dtype=np.uint64) | np.uint64(1)
-        self.places = [
-            [0, *sorted(rng.choice(np.arange(1, reach), min(PLACES - 1, reach - 1), replace=False).tolist())]
-            for _ in range(REPEATS)
-        ]
+class Items:
+    """Benchmark items with windows of ``reach`` words, and the tables in which a document's windows are looked up."""
+
+    def __init__(self, numbers: np.ndarray, words: list[np.ndarray], reach: int):
+        self.reach = reach
         sizes = np.array([len(w) for w in words])
         flat = np.concatenate(words)
         lead = np.concatenate([np.arange(n) for n in sizes])
         fits = lead + reach <= np.repeat(sizes, sizes)
-        begin, self.lead = np.flatnonzero(fits), lead[fits]
-        self.owner = np.repeat(numbers, sizes)[fits]
-        self.first = self._table(_mixed(flat[begin]))
-        self.tables, self.keys = [], []
+        begin, self.lead, self.owner = np.flatnonzero(fits), lead[fits], np.repeat(numbers, sizes)[fits]
+        self.early, self.tables, self.keys = [], [], []
         for r in range(REPEATS):
-            keys = list(self._walk(flat, begin, r, None))
-            order = np.argsort(keys[-1], kind="stable")
-            self.tables.append([self._table(k) for k in keys[1:]])
-            self.keys.append((keys[-1][order], order))
-
-    @staticmethod
-    def _table(keys: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << int(len(keys) * _SLOTS).bit_length(), bool)
-        bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = True
-        return bits
-
-    @staticmethod
-    def _on(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return table[(keys & np.uint64(len(table) - 1)).astype(np.int64)]
-
-    def _walk(self, flat: np.ndarray, begin: np.ndarray, r: int, tables: list | None, end: np.ndarray | None = None):
-        """The keys of windows after each sampled place; with ``tables``, ``(windows left, keys)`` at the last one."""
-        at, word = begin, flat[begin]
+            _, at, early = start_walks(flat, begin, r)
+            late = walk_on(flat, begin, at, early[-1], r, reach)[1]
+            last = late[-1] if late else early[-1]
+            order = np.argsort(last, kind="stable")
+            self.early.append(early)
+            self.tables.append([Table(early[-1]), *(Table(k) for k in late)])
+            self.keys.append((last[order], order))
+
+    def collisions(self, flat: np.ndarray, end: np.ndarray, r: int, begin: np.ndarray, at: np.ndarray, key: np.ndarray) -> set:
+        """``(window's first word, item, words of the item before the window)`` of windows that collide in repetition r."""
+        on = (begin + self.reach <= end[begin]) & self.tables[r][0].on(key)
+        begin, key = walk_on(flat, begin[on], at[on], key[on], r, self.reach, self.tables[r][1:])
+        windows, hit = _matches(*self.keys[r], begin, key)
+        return set(zip(windows.tolist(), self.owner[hit].tolist(), self.lead[hit].tolist(), strict=True))
+
+
+class ShortItems:
+    """Items so short that no edit is allowed: their words have to stand as they are."""
+
+    def __init__(self, numbers: np.ndarray, words: list[np.ndarray], size: int):
+        self.size, self.owner = size, numbers
+        keys = self._keys(np.concatenate(words), np.arange(len(words)) * size)
+        order = np.argsort(keys, kind="stable")
+        self.table, self.keys = Table(keys), (keys[order], order)
+
+    def _keys(self, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(begin), np.uint64)
         with np.errstate(over="ignore"):
-            key = _mixed(word * _MIX)
-            if tables is None:
-                yield key
-            for j in range(self.places[r][-1]):
-                at = at + ((word * self.salt[r, j]) >> np.uint64(63)).astype(np.int64)
-                if end is not None:  # no item reaches past the end of a text
-                    inside = at < end
-                    if not inside.all():
-                        begin, at, end, key = begin[inside], at[inside], end[inside], key[inside]
-                word = flat[at]
-                if j + 1 in self.places[r]:
-                    key = _mixed((key ^ word) * _MIX + np.uint64(j + 1))
-                    if tables is None:
-                        yield key
-                        continue
-                    on = self._on(tables[self.places[r].index(j + 1) - 1], key)
-                    begin, at, end, key, word = begin[on], at[on], end[on], key[on], word[on]
-        if tables is not None:
-            yield begin, key
-
-    def collisions(self, flat: np.ndarray, mixed: np.ndarray, end: np.ndarray) -> set[tuple[int, int, int]]:
-        """``(window's first word, item, words of the item before the window)`` of all windows that collide."""
-        begin = np.flatnonzero(self._on(self.first, mixed))
-        out: set[tuple[int, int, int]] = set()
-        for r in range(REPEATS):
-            windows, key = next(self._walk(flat, begin, r, self.tables[r], end[begin]))
-            keys, order = self.keys[r]
-            low = np.searchsorted(keys, key, "left")
-            n = np.searchsorted(keys, key, "right") - low
-            hit = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            out.update(zip(np.repeat(windows, n).tolist(), self.owner[hit].tolist(), self.lead[hit].tolist(), strict=True))
-        return out
+            for i in range(self.size):
+                key = _joined(key, flat[begin + i], i)
+        return key
+
+    def collisions(self, flat: np.ndarray, end: np.ndarray) -> set:
+        begin = np.flatnonzero(np.arange(len(flat)) + self.size <= end)
+        key = self._keys(flat, begin)
+        on = self.table.on(key)
+        windows, hit = _matches(*self.keys, begin[on], key[on])
+        return {(w, k, 0) for w, k in zip(windows.tolist(), self.owner[hit].tolist(), strict=True)}
+
+
+def window_size(words: int) -> int:
+    """The window size of items of so many words: the largest of its class that no passage allowed falls short of."""
+    least, size = words - int(EDITS * words), float(FIRST)
+    while int(size * GROWTH + 1) <= least:
+        size = int(size * GROWTH + 1)
+    return int(size)
 
 
 def passage_distance(item: list, words: list) -> tuple[int, int]:
@@ -189,26 +262,38 @@ class Finder:
         self.ids = [k for k, _ in items]
         self.words = [w.tolist() for _, w in items]
         self.cutter = Words()
-        reach = np.array([min(STEPS, len(w)) for w in self.words])
-        self.groups = [
-            Items(np.flatnonzero(reach == n), [items[i][1] for i in np.flatnonzero(reach == n)], int(n))
-            for n in np.unique(reach)
-        ]
+        size = np.array([len(w) for w in self.words])
+        short = int(1 / EDITS)  # below this many words no edit is allowed
+        sizes = np.array([window_size(n) if n >= short else -n for n in size])
+        part = lambda n: (np.flatnonzero(sizes == n), [items[i][1] for i in np.flatnonzero(sizes == n)], abs(int(n)))
+        self.short = [ShortItems(*part(n)) for n in np.unique(sizes) if n < 0]
+        self.groups = [Items(*part(n)) for n in np.unique(sizes) if n > 0]
+        self.early = [[Table(np.concatenate(k)) for k in zip(*(g.early[r] for g in self.groups), strict=True)] for r in range(REPEATS if self.groups else 0)]
+
+    def _collisions(self, flat: np.ndarray, end: np.ndarray) -> list[set]:
+        """For each class of items what collides, over all repetitions."""
+        found = [g.collisions(flat, end) for g in self.short] + [set() for _ in self.groups]
+        every = np.flatnonzero(np.arange(len(flat)) + FIRST <= end)
+        for r in range(REPEATS if self.groups else 0):
+            begin, at, key = start_walks(flat, every, r, self.early[r])
+            for n, g in enumerate(self.groups, len(self.short)):
+                found[n] |= g.collisions(flat, end, r, begin, at, key)
+        return found
 
     def __call__(self, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int]]:
         """``(row, item): (least edits, the passage's last word)`` of all that is found in ``texts``."""
         found: dict[tuple[int, int], tuple[int, int]] = {}
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        for s in pieces([len(d) for d in data], 2_000_000):
+        for s in pieces([len(d) for d in data], 4_000_000):
             cut = [self.cutter.hashes(d) for d in data[s]]
             ends = np.cumsum([len(c) for c in cut])
             flat = np.concatenate(cut)
             if not len(flat):
                 continue
-            mixed, end = _mixed(flat), np.repeat(ends, np.diff(ends, prepend=0))
-            for group in self.groups:
+            end = np.repeat(ends, np.diff(ends, prepend=0))
+            for collisions in self._collisions(flat, end):
                 tried: set[tuple[int, int]] = set()
-                for start, k, lead in sorted(group.collisions(flat, mixed, end)):
+                for start, k, lead in sorted(collisions):
                     item = self.words[k]
                     most = int(EDITS * len(item))
                     row = int(np.searchsorted(ends, start, "right"))
