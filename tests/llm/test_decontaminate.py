@@ -69,9 +69,10 @@ def test_recall_at_all_edits_allowed(words):
 
 
 def test_window_sizes():
-    for n in range(5, 400):
-        assert 0.8 * (n - int(D.EDITS * n)) <= D.window_size(n) <= n - int(D.EDITS * n)
-        assert all(max(D.late_places(r, D.window_size(n))) >= D.window_size(n) for r in range(D.REPEATS))
+    for n in range(6, 400):
+        size = D.window_size(n)
+        assert 0.8 * (n - int(D.EDITS * n)) <= size <= n - int(D.EDITS * n)
+        assert 2 * size <= D.NEAR or all(max(D.late_places(r, size)) >= size for r in range(D.REPEATS))
 
 
 def test_clean_rows_stay(spark):

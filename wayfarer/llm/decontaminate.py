@@ -30,7 +30,7 @@ from .bpe import pieces
 EDITS = 0.2
 #: Repetitions of walk and sample, and sampled places in each: some in the first steps, one of the late ones in those up to
 #: ``NEAR``, the others in equal parts of the rest. Of passages with as many edits as allowed over nine in ten are found so.
-REPEATS, EARLY, LATE, FIRST, NEAR = 10, 3, 3, 4, 16
+REPEATS, EARLY, LATE, FIRST, NEAR = 9, 3, 3, 5, 16
 #: Window sizes grow by this factor from class to class.
 GROWTH = 1.15
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
@@ -222,7 +222,7 @@ class ShortItems:
 
 
 def window_size(words: int) -> int:
-    """The window size of items of so many words: the largest of its class that no passage allowed falls short of."""
+    """The window size of items of so many words: of the classes the largest that no passage allowed falls short of, 5 at least."""
     least, size = words - int(EDITS * words), float(FIRST)
     while int(size * GROWTH + 1) <= least:
         size = int(size * GROWTH + 1)
