@@ -43,3 +43,30 @@ def test_ties_nulls_and_no_rows(spark):
     assert got == ["(1, 1, 1, True)", "(1, 1, 1, True)", "(2, 1, 1, False)", "(None, 0, None, True)"]
     assert vectors.near_duplicates(df.limit(0)).count() == 0
     assert vectors.near_duplicates(spark.createDataFrame([(1, None)], schema)).count() == 1
+
+
+def test_planted_links_in_64_dimensions(spark):
+    """Chains, pairs about the threshold to the last digits, a vector of another size in front, several blocks and chunks."""
+    rng, rows = np.random.default_rng(4), [(-1, [1.0, 2.0])]
+    for k in range(40):
+        v = rng.standard_normal(64)
+        v /= np.linalg.norm(v)
+        rows.append((len(rows), v.tolist()))
+        for cos in (0.9, 0.9 + 1e-9, 0.9 - 1e-9, 0.9 + 1e-5, 0.9 - 1e-5, 0.95, 0.85):
+            w = rng.standard_normal(64)
+            w -= (w @ v) * v
+            w /= np.linalg.norm(w)
+            rows.append((len(rows), ((cos * v + (1 - cos * cos) ** 0.5 * w) * rng.uniform(0.1, 9)).tolist()))
+    found = {r["vec_id"]: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows[1:]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T
+    np.fill_diagonal(link, 0)
+    far = np.abs(link - 0.9) > 1e-13  # of what is nearer, rounding decides
+    near, sure = (link >= 0.9).sum(1), (~far).sum(1)
+    assert all(abs(found[i + 1]["n_links"] - near[i]) <= sure[i] for i in range(len(x))) and found[-1]["n_links"] == 0
+    label = np.arange(1, len(x) + 1)
+    for _ in range(20):
+        label = np.minimum(label, np.where((link >= 0.9) & far, label[None], 999).min(1))
+    sure_row = np.array([len({found[i + 1]["component_id"], label[i]}) == 1 for i in range(len(x))])
+    assert sure_row.mean() > 0.85

@@ -2,10 +2,14 @@
 
 For unit vectors a cosine of at least ``c`` is a squared distance of at most ``2 - 2c``. Vectors are rotated at random and
 cut into blocks of dimensions; the squared distance is the sum of the blocks' distances, so a near pair is within its
-proportional share of that budget in one block at least. Each block is a range join: its first coordinates fall into a
-grid whose cells are as wide as the block's reach, a pair within reach lies in the same or in adjacent cells, and what
-meets there is held against the block's budget in double precision. A pair is verified with its exact cosine in the first
-block that lets it through, so the union over blocks holds each pair once.
+proportional share of that budget in one block at least. Each block is a range join: its first coordinate falls into
+cells as wide as the block's reach, a pair within reach lies in the same or in adjacent cells, and what meets there is held
+against the block's budget. A pair is verified in the first block that lets it through, so the union over blocks holds each
+pair once.
+
+Vectors travel rotated and in single precision, each rotated once, so every block judges the same numbers. A cosine that
+is farther from the threshold than the rounding of single precision is decided by that; the few pairs in doubt are joined
+with their vectors and decided in double precision.
 
 Cells are dealt into chunks of bounded size by a hash of the id, and chunks meet chunks, so no task holds a whole cell,
 however many vectors fall into it. A task returns how many links it found for each vector and a spanning forest of them,
@@ -26,7 +30,9 @@ from .common import spool
 from .components import connected_components
 
 COSINE = 0.9
-BLOCKS, GRID = 4, 2
+BLOCKS, GRID = 4, 1
+#: How far from the threshold single precision may be off (twice the bound of 64 roundings), and from a block's budget.
+DOUBT, SLACK = 2e-5, 2e-5
 #: Vectors in a chunk, about, and chunks that one key of the join brings together on one side.
 CHUNK, ROUND = 1024, 4
 
@@ -57,32 +63,27 @@ def _bounds(size: int) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-def _screens(turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's coordinates with their squared norms, so that one product gives all distances: ``(left, right)``."""
-    lo, hi = _bounds(turned.shape[1])[block]
-    p = turned[:, lo:hi].astype(np.float32)
-    half, one = -0.5 * (p * p).sum(1, keepdims=True), np.ones((len(p), 1), np.float32)
-    return np.hstack([p, half, one]), np.hstack([p, one, half])
-
-
-def _linked(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, block: int, same: bool, cosine: float):
-    """``(rows of a, rows of b)`` of the links that are found in this block and in none before it.
+def _linked(a: np.ndarray, b: np.ndarray, block: int, same: bool, cosine: float):
+    """``(rows of a, rows of b, sure)`` of the pairs that are found in this block and in none before it.
 
-    Single precision screens with a margin; what it lets through is held against the budget and the cosine in double.
+    ``sure`` pairs are links; the others are too near the threshold for single precision to tell.
     """
-    bounds, size = _bounds(a.shape[1]), a.shape[1]
-    share = [(2 - 2 * cosine) * (hi - lo) / size + 1e-9 for lo, hi in bounds]
-    close = _screens(turned_a, block)[0] @ _screens(turned_b, block)[1].T >= -0.5 * share[block] - 1e-5
-    i, j = np.divmod(np.flatnonzero(close), len(b))
+    size = a.shape[1]
+    bounds = _bounds(size)
+    reach = [(2 - 2 * cosine) * (hi - lo) / size + SLACK for lo, hi in bounds]
+    distance = lambda x, y, k: ((x[:, slice(*bounds[k])] - y[:, slice(*bounds[k])]) ** 2).sum(1)
+    lo, hi = bounds[block]
+    p, q = a[:, lo:hi], b[:, lo:hi]
+    half = 0.5 * ((p * p).sum(1)[:, None] + (q * q).sum(1)[None] - reach[block]) - SLACK
+    i, j = np.divmod(np.flatnonzero(p @ q.T >= half), len(b))
     if same:
         i, j = i[i < j], j[i < j]
-    hit = (a[i] * b[j]).sum(1) >= cosine
-    i, j = i[hit], j[hit]
+    cos = (a[i] * b[j]).sum(1)
+    i, j, cos = (x[cos >= cosine - DOUBT] for x in (i, j, cos))
     for k in range(block + 1):
-        lo, hi = bounds[k]
-        near = ((turned_a[i, lo:hi] - turned_b[j, lo:hi]) ** 2).sum(1) <= share[k]
-        i, j = (i[near], j[near]) if k == block else (i[~near], j[~near])  # else counted in the earlier block
-    return i, j
+        near = distance(a[i], b[j], k) <= reach[k]
+        i, j, cos = (x[near if k == block else ~near] for x in (i, j, cos))  # else counted in the earlier block
+    return i, j, cos >= cosine + DOUBT
 
 
 def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
@@ -109,15 +110,15 @@ def near_duplicates(
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row: rows are linked at a cosine of ``cosine`` or more.
 
-    ``size`` is the vectors' number of components, by default that of the first vector found. Vectors that are null, of
+    ``size`` is the vectors' number of components, by default that of most vectors (of several such the largest). Vectors that are null, of
     another size, zero, or hold a null or non-finite component link with nothing. Rows with the same id are one vector if
     they are equal, and else each a vector of its own whose links count together. A row with a null id links with nothing
     and has a null component. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     if size is None:
-        first = rows.where("v is not null and size(v) > 0").select(F.size("v").alias("n")).first()
-        size = first["n"] if first else 0
+        sizes = rows.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"))
+        size = sizes.agg(F.max(F.struct("rows", "n"))["n"]).first()[0] or 0
     ids = rows.select("id")
     if not size:
         return ids.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -133,7 +134,7 @@ def near_duplicates(
     grouped = spool(units.groupBy("unit").agg(F.min("id").alias("cid"), F.count("*").alias("members")))
 
     bounds, width = _bounds(size), [((2 - 2 * cosine) * (b - a) / size) ** 0.5 for a, b in _bounds(size)]
-    axes = min(GRID, min(b - a for a, b in bounds))
+    axes = GRID
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = rotation(size)
@@ -141,12 +142,13 @@ def near_duplicates(
             if not len(b):
                 continue
             x = np.stack([np.frombuffer(u, float) for u in b["unit"]])
-            t = x @ turn
+            t = (x @ turn).astype(np.float32)
+            turned = [r.tobytes() for r in t]
             for k, (lo, _) in enumerate(bounds):
-                cells = np.floor(t[:, lo : lo + axes] / (width[k] * (1 + 1e-6))).astype(np.int64)
-                yield pd.DataFrame({"cid": b["cid"], "members": b["members"], "unit": b["unit"], "block": k, "cell": cells.tolist()})
+                cells = np.floor(t[:, lo : lo + axes].astype(float) / ((width[k] ** 2 + SLACK) ** 0.5 + 1e-5)).astype(np.int64)
+                yield pd.DataFrame({"cid": b["cid"], "members": b["members"], "unit": turned, "block": k, "cell": cells.tolist()})
 
-    placed = grouped.mapInPandas(place, "cid long, members long, unit binary, block int, cell array<int>")
+    placed = spool(grouped.mapInPandas(place, "cid long, members long, unit binary, block int, cell array<int>"))
     # Cells are as wide as the reach of a block in vectors of length 1, so their number is bounded whatever the table.
     counts = placed.groupBy("block", "cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     sizes = spool(counts)
@@ -181,32 +183,44 @@ def near_duplicates(
     pairs = pairs.select("block", (F.col("cell_a") == F.col("cell")).alias("one_cell"), "chunk_a", "chunk_b", *(f"{c}_{x}" for x in "ab" for c in side))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(size)
         for batch in batches:  # chunks are read where they lie in the batch
-            part = lambda c, i: np.frombuffer(batch.column(c)[i].as_buffer(), np.float64 if c[0] == "u" else np.int64)  # noqa: B023, E731
+            part = lambda c, i: np.frombuffer(batch.column(c)[i].as_buffer(), np.float32 if c[0] == "u" else np.int64)  # noqa: B023, E731
             head = batch.select(["block", "one_cell", "chunk_a", "chunk_b"]).to_pylist()
             for row, r in enumerate(head):
                 same = r["one_cell"] and r["chunk_a"] == r["chunk_b"]
                 x, y = part("units_a", row).reshape(-1, size), part("units_b", row).reshape(-1, size)
-                i, j = _linked(x, y, x @ turn, y @ turn, r["block"], same, cosine)
+                i, j, sure = _linked(x, y, r["block"], same, cosine)
                 if not len(i):
                     continue
                 ca, cb, ma, mb = (part(c, row) for c in ("cids_a", "cids_b", "members_a", "members_b"))
+                doubt, (i, j) = (ca[i[~sure]], cb[j[~sure]]), (i[sure], j[sure])
                 na, nb = np.bincount(i, mb[j], len(ca)).astype(np.int64), np.bincount(j, ma[i], len(cb)).astype(np.int64)
                 forest = np.array(_forest(ca[i], cb[j]), np.int64).reshape(-1, 2)
                 counted = np.concatenate([ca[na > 0], cb[nb > 0]])
+                rows = (len(counted), len(forest), len(doubt[0]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([counted, forest[:, 0]])),
-                        pa.array(np.concatenate([np.zeros(len(counted), np.int64), forest[:, 1]]), mask=np.arange(len(counted) + len(forest)) < len(counted)),
-                        pa.array(np.concatenate([na[na > 0], nb[nb > 0], np.zeros(len(forest), np.int64)])),
+                        pa.array(np.concatenate([counted, forest[:, 0], doubt[0]])),
+                        pa.array(np.concatenate([np.zeros(len(counted), np.int64), forest[:, 1], doubt[1]]), mask=np.arange(sum(rows)) < len(counted)),
+                        pa.array(np.concatenate([na[na > 0], nb[nb > 0], np.zeros(rows[1] + rows[2], np.int64)])),
+                        pa.array(np.repeat(["count", "edge", "doubt"], rows)),
                     ],
-                    ["u", "v", "n"],
+                    ["u", "v", "n", "what"],
                 )
 
-    met = spool(pairs.mapInArrow(meet, "u long, v long, n long"))
-    links = met.where("v is null").groupBy(F.col("u").alias("link_cid")).agg(F.sum("n").alias("outer_links"))
-    linked = connected_components(met.where("v is not null").select("u", "v"))
+    met = spool(pairs.mapInArrow(meet, "u long, v long, n long, what string"))
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            on = [float(np.frombuffer(x) @ np.frombuffer(y)) >= cosine for x, y in zip(b["a"], b["b"], strict=True)]
+            yield b.loc[on, ["u", "v", "mu", "mv"]]
+
+    of = lambda c, x: grouped.select(F.col("cid").alias(c), F.col("unit").alias(x), F.col("members").alias(f"m{c}"))
+    doubt = met.where("what = 'doubt'").select("u", "v").join(of("u", "a"), "u").join(of("v", "b"), "v")
+    told = spool(doubt.select("u", "v", "a", "b", "mu", "mv").mapInPandas(exact, "u long, v long, mu long, mv long"))
+    counts = met.where("what = 'count'").select("u", "n").union(told.select("u", "mv")).union(told.select("v", "mu"))
+    links = counts.groupBy(F.col("u").alias("link_cid")).agg(F.sum("n").alias("outer_links"))
+    linked = connected_components(met.where("what = 'edge'").select("u", "v").union(told.select("u", "v")))
     of_class = (
         grouped.select("cid", "members", "unit")
         .join(links, F.col("cid") == F.col("link_cid"), "left")
