@@ -21,14 +21,16 @@ UNKNOWN = "Not Classified"
 def training(devices: DataFrame, features: list[str], classes: tuple[str, ...] = CLASSES, label: str = "dbscan_label") -> DataFrame:
     """One row: ``xs_<feature>_<k>`` (sample) and ``h_<feature>_<k>`` (Scott's bandwidth) for each feature and class.
 
-    Of devices with more than 10 signals. The bandwidth is that of all of them, whatever the sample.
+    Of devices with more than 10 signals. The bandwidth is that of all of them; the sample is all of them up to ``SAMPLE``,
+    and beyond about so many, by a hash of the device, taken before anything is collected.
     """
     d = devices.where("frequency > 10")
+    some = F.pmod(F.xxhash64("mac_address"), F.lit(max(1, -(-d.count() // SAMPLE)))) == 0
     cols = []
     for f in features:
         for k, name in enumerate(classes):
             v = F.when(F.col(label) == name, S.finite(F.col(f).cast("double")))
-            bounded = F.slice(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct(F.xxhash64("mac_address").alias("h"), v.alias("x"))))), 1, SAMPLE)
+            bounded = F.slice(F.sort_array(F.collect_list(F.when(some & v.isNotNull(), F.struct(F.xxhash64("mac_address").alias("h"), v.alias("x"))))), 1, SAMPLE)
             cols.append(F.transform(bounded, lambda s: s["x"]).alias(f"xs_{f}_{k}"))
             cols.append((F.stddev_samp(v) * F.pow(F.count(v).cast("double"), F.lit(-0.2))).alias(f"h_{f}_{k}"))
     return d.agg(*cols)

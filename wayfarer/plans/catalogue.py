@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import bayes, clusters, features, flows, graphs, joins, markov, simulation, statistics, text, trajectories
+from ..operators import analysis, bayes, clusters, features, flows, graphs, joins, markov, simulation, statistics, text, trajectories
 from ..operators import cleaning
 from ..schema import MALLS
 from ..sources import adapter
@@ -770,6 +770,87 @@ def dfa_exponent(spark, d):
     return rounded(statistics.dfa(signals(spark, d)))
 
 
+def _named(spark, d):
+    return joins.add_manufacturer(signals(spark, d), adapter.oui(spark, d))
+
+
+@query
+def analysis_ready(spark, d):
+    columns = ["av_speed", "av_straightness"]
+    return rounded(analysis.analysis_ready(features.device_features(signals(spark, d)), columns).select("mac_address", "frequency", *columns))
+
+
+@query
+def track_slopes(spark, d):
+    return rounded(analysis.slopes(signals(spark, d)))
+
+
+@query
+def signals_with_directory(spark, d):
+    return rounded(analysis.with_directory(signals(spark, d), stores(spark, d).select("store_id", "x", "y")).select("event_id", "x", "y", "x_actual", "y_actual"))
+
+
+@query
+def data_gaps(spark, d):
+    return analysis.gaps(_named(spark, d), "FRANCE")
+
+
+@query
+def signals_without_store(spark, d):
+    return rounded(analysis.without_store(signals(spark, d).withColumn("store_id", F.when(S.is_shop("store_id"), F.col("store_id")))))
+
+
+@query
+def duplicate_manufacturers(spark, d):
+    return analysis.manufacturers_of(_named(spark, d), cleaning.duplicate_devices(adapter.coarse_signals(spark, d)).where("moved > 0"))
+
+
+@query
+def step_speeds(spark, d):
+    return rounded(analysis.step_speeds(signals(spark, d)))
+
+
+@query
+def manufacturer_volume(spark, d):
+    return analysis.volume_by_manufacturer(_named(spark, d), 30, 60)
+
+
+@query
+def gyration_by_mall(spark, d):
+    return rounded(analysis.by_mall(signals(spark, d), features.gyration, "radius_of_gyration"))
+
+
+@query
+def class_statistics(spark, d):
+    return rounded(analysis.group_statistics(devices(spark, d), "dbscan_label", ["radius_of_gyration", "av_path_length"]))
+
+
+@query
+def largest_classes(spark, d):
+    return analysis.largest_groups(devices(spark, d), "dbscan_label", 2).select("dbscan_label", "mac_address")
+
+
+@query
+def likeliest_start(spark, d):
+    return rounded(analysis.likeliest_start(markov.initial(signals(spark, d))))
+
+
+@query
+def store_codes(spark, d):
+    return analysis.one_hot(signals(spark, d).select("event_id", "store_id"), "store_id").select("event_id", "store_id", "code", "size")
+
+
+@query
+def similarity_slice(spark, d):
+    names = graphs.store_classes(graphs.visits(signals(spark, d))).where("mac_address like '%0'").select(F.col("class").alias("name")).distinct()
+    return rounded(analysis.matrix_slice(graphs.similarity(graphs.visits(signals(spark, d)), "col"), names))
+
+
+@query
+def cleaned_malls(spark, d):
+    return rounded(analysis.clean_malls(adapter.coarse_signals(spark, d)).groupBy("location").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -286,6 +286,22 @@ SELECT {_round('corr(coalesce(a.weight, 0), coalesce(b.weight, 0))')} r FROM a F
     + f" SELECT store_id, {_round('p')} p FROM m5",
     "ingoing_probability": f"WITH {_SIGNALS}, {_TRANS} SELECT dst store_id, {_round('sum(p)')} ingoing FROM ta GROUP BY ALL",
     "visit_pivot_long": f"WITH {_SIGNALS}, {_PIVOT} SELECT * FROM v",
+    "analysis_ready": f"WITH {_SIGNALS}, {_steps()}, f AS (SELECT mac_address, count(*) frequency, {_MEASURES} FROM st GROUP BY 1) SELECT mac_address, frequency, av_speed, av_straightness FROM f WHERE frequency > 10 AND isfinite(av_speed) AND isfinite(av_straightness)",
+    "track_slopes": f"WITH {_SIGNALS} SELECT event_id, {_round('(lead(y) OVER w - y) / nullif(lead(x) OVER w - x, 0)')} slope FROM s WINDOW w AS (PARTITION BY mac_address ORDER BY date_time, event_id)",
+    "signals_with_directory": f"WITH {_SIGNALS}, {_STORES} SELECT event_id, {_round('s.x')} x, {_round('s.y')} y, {_round('stores.x')} x_actual, {_round('stores.y')} y_actual FROM s LEFT JOIN stores USING (store_id)",
+    "data_gaps": f"""WITH {_SIGNALS}, {_OUI}, m AS (SELECT s.* FROM s JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6)) WHERE manufacturer = 'FRANCE'),
+l AS (SELECT *, lead(date_time) OVER (PARTITION BY mac_address ORDER BY date_time, event_id) t1 FROM m) SELECT mac_address, event_id, {_seconds('date_time', 't1')} gap FROM l WHERE t1 IS NOT NULL""",
+    "signals_without_store": f"WITH {_SIGNALS} SELECT mac_address, event_id, {_round('x')} x, {_round('y')} y FROM s WHERE store_id IS NULL OR store_id NOT LIKE 'B%'",
+    "duplicate_manufacturers": f"""WITH {_COARSE}, {_OUI}, l AS (SELECT *, lead(date_time) OVER w t1, lead(x) OVER w x1, lead(y) OVER w y1 FROM c WINDOW w AS (PARTITION BY mac_address ORDER BY date_time, event_id)),
+d AS (SELECT DISTINCT mac_address FROM l WHERE t1 = date_time AND (x <> x1 OR y <> y1)) SELECT manufacturer, count(*) devices FROM d LEFT JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6)) GROUP BY ALL""",
+    "step_speeds": f"WITH {_SIGNALS}, {_steps()} SELECT mac_address, event_id, {_round('d / nullif(ds, 0)')} speed FROM st WHERE x1 IS NOT NULL",
+    "manufacturer_volume": f"""WITH {_SIGNALS}, {_OUI}, m AS (SELECT s.*, manufacturer FROM s JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6))),
+top AS (SELECT manufacturer, count(DISTINCT mac_address) n FROM m GROUP BY 1 ORDER BY n DESC, manufacturer LIMIT 30)
+SELECT manufacturer, {_bin('date_time', 60)} bin, count(*) signals, count(DISTINCT mac_address) devices FROM m SEMI JOIN top USING (manufacturer) GROUP BY ALL""",
+    "gyration_by_mall": f"WITH {_SIGNALS}, g AS (SELECT mac_address, location, sqrt(var_pop(x) + var_pop(y)) r FROM s GROUP BY ALL) SELECT location, count(r) n, {_round('avg(r)')} mean, {_round('stddev_samp(r)')} std FROM g GROUP BY ALL",
+    "likeliest_start": f"WITH {_SIGNALS}, {_TRANS} SELECT store_id, {_round('p')} p FROM ini ORDER BY ini.p DESC, store_id LIMIT 1",
+    "store_codes": f"WITH {_SIGNALS}, k AS (SELECT store_id, CAST(row_number() OVER (ORDER BY store_id) - 1 AS INTEGER) code FROM (SELECT DISTINCT store_id FROM s WHERE store_id IS NOT NULL)) SELECT event_id, store_id, code, CASE WHEN code IS NOT NULL THEN (SELECT count(*) FROM k) END size FROM s LEFT JOIN k USING (store_id)",
+    "similarity_slice": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES}, n AS (SELECT class, count(*) n FROM p GROUP BY 1), w AS (SELECT DISTINCT class FROM st JOIN cls USING (stores) WHERE mac_address LIKE '%0') SELECT a.class a, b.class b, {_round('count(*) / any_value(n.n)')} AS value FROM p a JOIN p b USING (store_id) JOIN n ON n.class = b.class WHERE a.class IN (FROM w) AND b.class IN (FROM w) GROUP BY ALL",
     "store_classes": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES} SELECT mac_address, class FROM st JOIN cls USING (stores)",
     "common_stores": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES} SELECT a.class a, b.class b, count(*) common, string_agg(a.store_id, ',' ORDER BY a.store_id) stores FROM p a JOIN p b USING (store_id) GROUP BY ALL",
     "similarity_col": f"WITH {_SIGNALS}, {_PIVOT}, {_CLASSES}, n AS (SELECT class, count(*) n FROM p GROUP BY 1) SELECT a.class a, b.class b, {_round('count(*) / any_value(n.n)')} AS value FROM p a JOIN p b USING (store_id) JOIN n ON n.class = b.class GROUP BY ALL",
