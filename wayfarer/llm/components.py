@@ -46,11 +46,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("z").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other that hangs on none, so that nothing is left to do."""
+    up = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = up.union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return each.where("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``(node, component)`` for every node that has an edge; ``component`` is the smallest node reachable.
 
     ``edges`` has two integer columns. Edges with a null end and loops are left out; repeated edges and either direction
-    do no harm. No edges give an empty result. The rounds end when one leaves the edges as they were.
+    do no harm. No edges give an empty result. The rounds end when every edge leads to the least node of its component.
     """
     now = spool(
         edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
@@ -58,12 +66,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    while not now.isEmpty():
-        new = spool(_small_star(spool(_large_star(now))))
-        same = new.count() == now.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
+    while not _are_stars(now):
+        large = spool(_large_star(now))
+        new = spool(_small_star(large))
         forget(now)
+        forget(large)
         now = new
-        if same:
-            break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
