@@ -148,25 +148,26 @@ class SpanTagger:
         keep = ([], [])
         x, h, e = self._emit(codes, mask, keep)
         b, t, _ = e.shape
-        move = self.p["move"] + self.barred
-        alpha = np.empty_like(e)
-        alpha[:, 0] = e[:, 0] + self.first
+        chance = np.exp((self.p["move"] + self.barred).astype(np.float64))
+        emit = np.exp((e - e.max(2, keepdims=True)).astype(np.float64))
+        # Forward and backward passes in shares of each position's sum; what rows are scaled by falls out again.
+        share = lambda v, axis=-1: v / np.maximum(v.sum(axis, keepdims=True), 1e-300)
+        on = mask > 0
+        alpha, beta = np.empty_like(emit), np.empty_like(emit)
+        alpha[:, 0] = share(emit[:, 0] * np.exp(self.first))
         for i in range(1, t):
-            new = _logsum(alpha[:, i - 1, :, None] + move, 1) + e[:, i]
-            alpha[:, i] = np.where(mask[:, i, None] > 0, new, alpha[:, i - 1])
-        total = _logsum(alpha[:, -1], 1)
-        de, dmove = np.zeros_like(e), np.zeros_like(move)
-        beta = np.zeros((b, e.shape[2]), np.float32)
-        rows = np.arange(b)
-        for i in range(t - 1, -1, -1):
-            on = mask[:, i, None]
-            de[:, i] = on * np.exp(alpha[:, i] + beta - total[:, None])
-            de[rows, i, tags[:, i]] -= mask[:, i]
-            if i:
-                pair = np.exp(alpha[:, i - 1, :, None] + move + (e[:, i] + beta)[:, None] - total[:, None, None])
-                dmove += (pair * on[:, :, None]).sum(0)
-                np.add.at(dmove, (tags[:, i - 1], tags[:, i]), -mask[:, i])
-                beta = np.where(on > 0, _logsum(move + (e[:, i] + beta)[:, None], 2), beta)
+            alpha[:, i] = np.where(on[:, i, None], share((alpha[:, i - 1] @ chance) * emit[:, i]), alpha[:, i - 1])
+        beta[:, -1] = 1
+        for i in range(t - 1, 0, -1):
+            beta[:, i - 1] = np.where(on[:, i, None], share((emit[:, i] * beta[:, i]) @ chance.T), beta[:, i])
+        de = share(alpha * beta)
+        np.put_along_axis(de, tags[:, :, None], np.take_along_axis(de, tags[:, :, None], 2) - 1, 2)
+        de = (de * mask[:, :, None]).astype(np.float32)
+        after = emit[:, 1:] * beta[:, 1:]
+        weight = on[:, 1:] / np.maximum(((alpha[:, :-1] @ chance) * after).sum(2), 1e-300)
+        k = e.shape[2]
+        dmove = chance * (alpha[:, :-1].reshape(-1, k).T @ (after * weight[:, :, None]).reshape(-1, k))
+        np.subtract.at(dmove, (tags[:, :-1][on[:, 1:]], tags[:, 1:][on[:, 1:]]), 1)
         de, dmove = de / b, dmove / b
         flat = de.reshape(-1, e.shape[2])
         grads = {"out": h.reshape(-1, h.shape[2]).T @ flat, "bias": flat.sum(0), "move": dmove.astype(np.float32)}
