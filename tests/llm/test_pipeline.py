@@ -22,4 +22,4 @@ def test_stages_in_turn(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(registry.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names

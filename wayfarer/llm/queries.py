@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, language, licenses, pii, quality, simhash, substrings, vectors
+from . import bpe, decontaminate, divergence, fim, html, language, licenses, mixing, pii, quality, simhash, substrings, vectors
 from .common import id_bucket, read_table
 
 
@@ -54,3 +54,15 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
