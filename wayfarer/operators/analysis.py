@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schema import MALLS
 from . import cleaning, features
+from .ordering import numbered
 
 
 def analysis_ready(devices: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
@@ -88,10 +89,10 @@ def likeliest_start(initial: DataFrame) -> DataFrame:
 def encode_labels(rows: DataFrame, column: str) -> DataFrame:
     """``(column, code)``: distinct values numbered from 0 in order.
 
-    The order is a prefix count over the distinct values alone; of those there are as many as labels, not as rows.
+    The order is a prefix count over stretches of the distinct values.
     """
     values = rows.where(F.col(column).isNotNull()).select(column).distinct()
-    return values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias("code"))
+    return numbered(values, [column], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def one_hot(rows: DataFrame, column: str) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import spool
+from .ordering import numbered
 
 
 def eps_pairs(points: DataFrame, columns: list[str], eps: float) -> DataFrame:
@@ -50,7 +51,7 @@ def dbscan(points: DataFrame, columns: list[str], eps: float, least: int) -> Dat
         label = new
         if not changed:
             break
-    number = label.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).alias("label"))
+    number = numbered(label.select("root").distinct(), ["root"], "label")
     cores = label.join(number, "root").select("id", "label")
     border = pairs.join(cores.toDF("b", "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))
     out = points.select("id").join(cores, "id", "left").join(border, "id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .ordering import numbered, running
 
 
 def per_bin(signals: DataFrame, minutes: int = 15) -> DataFrame:
@@ -125,17 +126,16 @@ def area_power_law(signals: DataFrame) -> DataFrame:
 
 
 def degree_rank(degrees: DataFrame) -> DataFrame:
-    """``(store_id, frequency, rank)``: 0 for the largest. Ranks one dimension table, of a row for each store."""
-    w = Window.orderBy(F.col("frequency").desc(), "store_id")
-    return degrees.select("store_id", "frequency", (F.row_number().over(w) - 1).alias("rank"))
+    """``(store_id, frequency, rank)``: 0 for the largest."""
+    return numbered(degrees.select("store_id", "frequency"), [F.col("frequency").desc(), F.col("store_id").asc()], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def rank_probability(degrees: DataFrame) -> DataFrame:
     """``(frequency, rank)``: the number of distinct degrees times the share of stores of that degree or more."""
     c = degrees.groupBy("frequency").agg(F.count("*").alias("c"))
-    every = Window.partitionBy()
-    share = F.sum("c").over(Window.orderBy(F.col("frequency").desc())) / F.sum("c").over(every)
-    return c.select("frequency", (share * F.count("*").over(every)).alias("rank"))
+    every = c.agg(F.sum("c").alias("stores"), F.count("*").alias("degrees"))
+    found = running(c, [F.col("frequency").desc()], {"above": "c"}).join(F.broadcast(every))
+    return found.select("frequency", (F.col("above") / F.col("stores") * F.col("degrees")).alias("rank"))
 
 
 def top_per_group(df: DataFrame, group: str, order: str, k: int, tie: str) -> DataFrame:

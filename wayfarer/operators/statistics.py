@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.session import spool
+from .dominance import below_left
+from .ordering import numbered, running
 
 
 def value_frequency(df: DataFrame, value: str) -> DataFrame:
@@ -58,18 +62,28 @@ def power_law_sample(spark, gamma: float, n: int, seed: int = 0) -> DataFrame:
     return spark.range(n).select(F.pow(1 / (1 - F.rand(seed)), F.lit(1 / gamma)).alias("value"))
 
 
-def ks_1d(df: DataFrame, value: str, group: str) -> DataFrame:
-    """``(d, p)``: the largest difference between the distributions of two groups (0 and 1), and its asymptotic probability.
+def ks_1d(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(d, p)``, after the columns ``by``: the largest difference between the distributions of two groups (0 and 1), and its
+    asymptotic probability.
 
-    Values are counted first, so the running sums go over distinct values.
+    Values are counted first; running sums then go over stretches of distinct values. Null values and values that are no
+    numbers are left out, a group without values gives nulls.
     """
-    v = df.select(F.col(value).alias("v"), F.col(group).alias("g")).where("v is not null and g in (0, 1)")
-    c = v.groupBy("v").agg(F.sum((F.col("g") == 0).cast("long")).alias("a"), F.sum((F.col("g") == 1).cast("long")).alias("b"))
-    run, every = Window.orderBy("v"), Window.partitionBy()
-    f = lambda n: S.ratio(F.sum(n).over(run), F.sum(n).over(every))
-    d = c.select(F.abs(f("a") - f("b")).alias("d"), F.sum("a").over(every).alias("na"), F.sum("b").over(every).alias("nb"))
-    out = d.agg(F.max("d").alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return out.select("d", ks_probability(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("d")).alias("p"))
+    v = df.select(*by, F.col(value).alias("v"), F.col(group).alias("g")).where("v is not null and not isnan(v) and g in (0, 1)")
+    c = v.groupBy(*by, "v").agg(F.sum((F.col("g") == 0).cast("long")).alias("a"), F.sum((F.col("g") == 1).cast("long")).alias("b"))
+    r = running(c, ["v"], {"below_a": "a", "below_b": "b"}, by)
+    n = c.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    j = r.join(n, list(by)) if by else r.join(F.broadcast(n))
+    d = F.max(F.abs(S.ratio(F.col("below_a"), "na") - S.ratio(F.col("below_b"), "nb")))
+    out = j.groupBy(*by).agg(d.alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return out.select(*by, "d", ks_probability(F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("d")).alias("p"))
+
+
+def ks_features(df: DataFrame, features: list[str], group: str) -> DataFrame:
+    """``(feature, d, p)`` of :func:`ks_1d` for all ``features`` at once."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features)))
+    long = df.select(each.alias("e"), F.col(group).alias("side"))
+    return ks_1d(long.select("e.feature", "e.value", "side"), "value", "side", ["feature"])
 
 
 def ks_probability(z: Column) -> Column:
@@ -80,73 +94,186 @@ def ks_probability(z: Column) -> Column:
     return F.when(z < 0.05, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)))
 
 
-def ks_2d(df: DataFrame, x: str, y: str, group: str, points: int | None = None) -> DataFrame:
-    """``(d)``: the two-sample statistic in the plane, the mean over both samples' points as origins.
+def ks_2d(df: DataFrame, x: str, y: str, group: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(d, p)``, after the columns ``by``: the two-sample statistic in the plane, the mean over both samples' points as
+    origins, and its approximate probability.
 
-    At each point of one sample its quadrants' shares in both samples are compared, after the point itself is taken from
-    the quadrant it counts in. Both samples are held against the origins in one join: for tables of a row for each device
-    or shop. ``points`` bounds the origins by a hash for larger ones.
+    At each point of one sample the shares of both samples in its quadrants are compared; the point itself is left out and
+    may then count in any quadrant, wherever it makes the difference greatest. Quadrants follow from the points below and
+    left of a point (:mod:`.dominance`) and from those left of it and below it, which are running sums. Rows with nulls and
+    values that are no numbers are left out; without points in both samples the result is null.
     """
-    v = df.select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(group).alias("g")).where("x is not null and y is not null and g in (0, 1)")
-    o = v.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("g").alias("og"), F.monotonically_increasing_id().alias("o"))
-    if points:
-        o = o.orderBy(F.xxhash64("ox", "oy", "og")).limit(points)
-    left, low = F.col("x") <= F.col("ox"), F.col("y") <= F.col("oy")
-    quads = {"q1": ~left & ~low, "q2": left & ~low, "q3": left & low, "q4": ~left & low}
-    share = lambda q, g: S.ratio(F.sum((q & (F.col("g") == g)).cast("long")), F.sum((F.col("g") == g).cast("long")))
-    s = v.join(o).groupBy("o", "og").agg(
-        *(share(q, g).alias(f"{k}_{g}") for k, q in quads.items() for g in (0, 1)),
-        F.sum((F.col("g") == F.col("og")).cast("long")).alias("n"),
-    )
-    own = lambda k, g: F.col(f"{k}_{g}") - F.when((F.col("og") == g) & (F.lit(k) == "q3"), 1 / F.col("n")).otherwise(0.0)
-    d = F.greatest(*(F.abs(own(k, 0) - own(k, 1)) for k in quads))
-    best = s.select("og", d.alias("d")).groupBy("og").agg(F.max("d").alias("d"))
-    return best.agg(F.avg("d").alias("d"))
+    by = list(by)
+    v = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(group).alias("g")).where("not isnan(x) and not isnan(y) and g in (0, 1)")
+    side = lambda g, c: F.when(F.col("g") == g, F.col(c))
+    n = v.groupBy(*by).agg(*(F.count(side(g, "x")).alias(f"n{g}") for g in (0, 1)), *(F.corr(side(g, "x"), side(g, "y")).alias(f"r{g}") for g in (0, 1)))
+    c = spool(v.groupBy(*by, "x", "y").agg(*(F.count(side(g, "x")).alias(f"w{g}") for g in (0, 1))))
+    line = lambda a: spool(running(c.groupBy(*by, a).agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")), [a], {f"{a}0": "w0", f"{a}1": "w1"}, by).drop("w0", "w1"))
+    p = spool(below_left(c, "x", "y", ["w0", "w1"], by)).join(line("x"), [*by, "x"]).join(line("y"), [*by, "y"])
+    p = p.join(n, by) if by else p.join(F.broadcast(n))
+
+    def shares(g: int) -> list[Column]:
+        """Points of sample ``g`` in the four quadrants, lower left last."""
+        n, left, low, both = (F.col(c) for c in (f"n{g}", f"x{g}", f"y{g}", f"below_w{g}"))
+        return [n - left - low + both, left - both, low - both, both]
+
+    def apart(own: int) -> Column:
+        """The greatest difference at a point of sample ``own``."""
+        n, m, every = F.col(f"n{own}"), F.col(f"n{1 - own}"), []
+        for i, (mine, theirs) in enumerate(zip(shares(own), shares(1 - own), strict=True)):
+            mine, theirs = (mine - (1 if i == 3 else 0)) / n, theirs / m
+            every += [mine + 1 / n - theirs, theirs - mine]
+        return F.when((F.col(f"w{own}") > 0) & (m > 0), F.greatest(*every))
+
+    best = p.groupBy(*by).agg(F.max(apart(0)).alias("d0"), F.max(apart(1)).alias("d1"), *(F.max(k).alias(k) for k in ("n0", "n1", "r0", "r1")))
+    size = F.sqrt(F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
+    spread = F.sqrt(1 - (F.col("r0") * F.col("r0") + F.col("r1") * F.col("r1")) / 2)
+    best = best.select(*by, ((F.col("d0") + F.col("d1")) / 2).alias("d"), size.alias("size"), spread.alias("spread"))
+    return best.select(*by, "d", ks_probability(F.col("d") * F.col("size") / (1 + F.col("spread") * (0.25 - 0.75 / F.col("size")))).alias("p"))
+
+
+def normal_points(n: int) -> Column:
+    """An array of ``n`` points ``(x, y)`` of a standard normal sample: radii by even quantiles, angles by the golden section."""
+    turn = (math.sqrt(5) - 1) / 2
+    radius = lambda k: F.sqrt(-2 * F.log((k + 0.5) / n))
+    angle = lambda k: 2 * math.pi * (k * turn - F.floor(k * turn))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((radius(k) * F.cos(angle(k))).alias("x"), (radius(k) * F.sin(angle(k))).alias("y")))
+
+
+def ks_normal(signals: DataFrame, points: int = 1_000) -> DataFrame:
+    """``(mac_address, d, p)``: each device's places, less their mean, against a fixed normal sample of ``points``."""
+    s = signals.select("mac_address", "x", "y").where("x is not null and y is not null")
+    mean = s.groupBy("mac_address").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    own = s.join(mean, "mac_address").select("mac_address", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), F.lit(0).alias("g"))
+    normal = mean.select("mac_address", F.explode(normal_points(points)).alias("p")).select("mac_address", "p.x", "p.y", F.lit(1).alias("g"))
+    return ks_2d(own.union(normal), "x", "y", "g", ["mac_address"])
+
+
+#: Points of a block of the energy statistic: two blocks' distances are what a task holds.
+BLOCK = 1_000
+
+
+def energies(df: DataFrame, columns: list[str], group: str, rounds: int = 0, seed: int = 0, logarithmic: bool = True) -> DataFrame:
+    """``(round, e)``: the energy statistic of two groups (0 and 1) of standardised points, for the real labels (round 0) and
+    for ``rounds`` random relabellings that keep the groups' sizes.
+
+    The mean of the logarithms of distances (or of distances) between the groups less half the means within each. Points
+    with a null are left out, and so are logarithms of pairs in one place. A relabelling gives group 0 to the first points in
+    the order of a seeded hash, so it doesn't depend on partitions. Blocks of points meet two by two; a meeting returns sums
+    over its pairs for all labellings at once.
+    """
+    v = df.select(*columns, group).where(F.col(group).isin(0, 1)).dropna(subset=columns)
+    c = v.groupBy(*columns, group).agg(F.count("*").alias("copies"))
+    every = c.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("id", F.xxhash64(*columns, group, "copy"))
+    z = spool(zscore(every, columns).select("id", *columns, (F.col(group) == 0).alias("real")))
+    counts = z.agg(F.count("*").alias("n"), F.sum(F.col("real").cast("long")).alias("n0")).first()
+    n, n0 = counts["n"], counts["n0"] or 0
+    turns = z.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")) if rounds else None
+    if rounds:
+        place = numbered(turns.withColumn("h", F.xxhash64("id", "round", F.lit(seed))), ["h", "id"], "place", ["round"])
+        first = place.where(F.col("place") < n0).groupBy("id").agg(F.collect_list("round").alias("first"))
+        z = z.join(first, "id", "left")
+    else:
+        z = z.withColumn("first", F.lit(None).cast("array<int>"))
+    blocks = -(-n // BLOCK) or 1
+    z = z.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)))
+    z = z.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    z = z.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy, label = pdf[columns].to_numpy(float), np.zeros((len(pdf), rounds + 1))
+        label[:, 0] = pdf["real"]
+        for i, f in enumerate(pdf["first"]):
+            if f is not None:
+                label[i, f] = 1
+        low = (pdf["block"] == pdf["low"]).to_numpy()
+        a, b = (low, ~low) if pdf["low"].iloc[0] != pdf["high"].iloc[0] else (low, low)
+        d = np.sqrt(((xy[a][:, None] - xy[b][None]) ** 2).sum(2))
+        if logarithmic:
+            d = np.log(d, out=np.zeros_like(d), where=d > 0)
+        # In a block of its own each pair is there twice.
+        d *= 0.5 if a is b else 1.0
+        la, lb = label[a], label[b]
+        both = ((d @ lb) * la).sum(0)
+        one, other, whole = d.sum(1) @ la, d.sum(0) @ lb, d.sum()
+        return pd.DataFrame({"round": np.arange(rounds + 1), "s00": both, "s01": one + other - 2 * both, "s11": whole - one - other + both})
+
+    sums = z.groupBy("low", "high").applyInPandas(meet, "round int, s00 double, s01 double, s11 double").groupBy("round").agg(*(F.sum(k).alias(k) for k in ("s00", "s01", "s11")))
+    m0, m1 = float(n0), float(n - n0)
+    return sums.select("round", (S.ratio("s01", F.lit(m0 * m1)) - S.ratio("s00", F.lit(m0 * m0)) - S.ratio("s11", F.lit(m1 * m1))).alias("e"))
 
 
 def energy_statistic(df: DataFrame, columns: list[str], group: str, logarithmic: bool = True) -> DataFrame:
-    """``(statistic)``: energy distance of two groups (0 and 1) of standardised points.
-
-    Sums over pairs within and between the groups, of points counted once with their multiplicity.
-    """
-    z = zscore(df.where(F.col(group).isin(0, 1)), columns)
-    c = z.groupBy(*columns, group).agg(F.count("*").cast("double").alias("m"))
-    a, b = c.toDF(*(f"a_{k}" for k in c.columns)), c.toDF(*(f"b_{k}" for k in c.columns))
-    d = F.sqrt(sum(F.pow(F.col(f"a_{k}") - F.col(f"b_{k}"), F.lit(2.0)) for k in columns))
-    f = F.when(d > 0, -F.log(d)).otherwise(0.0) if logarithmic else d
-    w = F.col("a_m") * F.col("b_m") * f
-    s = a.join(b).groupBy(F.col(f"a_{group}").alias("g"), F.col(f"b_{group}").alias("h")).agg(F.sum(w).alias("w"))
-    n = c.groupBy(F.col(group).alias("k")).agg(F.sum("m").alias("n"))
-    s = s.join(F.broadcast(n.toDF("g", "ng")), "g").join(F.broadcast(n.toDF("h", "nh")), "h")
-    sign = (-1.0 if logarithmic else 1.0)
-    mean = F.col("w") / (F.col("ng") * F.col("nh"))
-    return s.agg((sign * F.sum(F.when(F.col("g") == F.col("h"), -mean).otherwise(mean))).alias("statistic"))
-
-
-def energy_test(df: DataFrame, columns: list[str], group: str, rounds: int = 99, seed: int = 0) -> DataFrame:
-    """``(statistic, p)``: the energy distance and how many of ``rounds`` random relabellings reach it, round by round in parallel.
-
-    Each round relabels the whole sample, so it holds it: for tables of a row for each device, not for signals.
-    """
-    spark, points = df.sparkSession, df.select(*columns, group).dropna()
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
-        g = pdf[group].to_numpy(int)
-        if key[0]:
-            g = np.random.default_rng([seed, int(key[0])]).permutation(g)
-        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        a, b = g == 0, g == 1
-        e = 2 * dist[np.ix_(a, b)].mean() - dist[np.ix_(a, a)].mean() - dist[np.ix_(b, b)].mean()
-        return pd.DataFrame({"round": [int(key[0])], "e": [float(e)]})
-
-    turns = spark.range(rounds + 1).select(F.col("id").cast("int").alias("round"))
-    found = points.join(turns).groupBy("round").applyInPandas(one, "round int, e double")
-    real = F.max(F.when(F.col("round") == 0, F.col("e")))
-    out = found.agg(real.alias("statistic"), F.sort_array(F.collect_list(F.when(F.col("round") > 0, F.col("e")))).alias("all"))
-    reach = F.size(F.filter("all", lambda e: e >= F.col("statistic")))
-    return out.select("statistic", ((reach + 1) / (F.size("all") + 1)).alias("p"))
+    """``(statistic)`` of :func:`energies` for the real labels."""
+    return energies(df, columns, group, logarithmic=logarithmic).select(F.col("e").alias("statistic"))
+
+
+def energy_test(df: DataFrame, columns: list[str], group: str, rounds: int = 99, seed: int = 0, logarithmic: bool = True) -> DataFrame:
+    """``(statistic, p, shape, location, scale, p_fit)``: the energy statistic, the share of ``rounds`` relabellings that reach
+    it, the extreme-value distribution fitted to them, and that distribution's probability above the statistic."""
+    e = [r["e"] for r in energies(df, columns, group, rounds, seed, logarithmic).orderBy("round").collect()]
+    spark, kind = df.sparkSession, "statistic double, p double, shape double, location double, scale double, p_fit double"
+    if not e or e[0] is None:
+        return spark.createDataFrame([(None,) * 6], kind)
+    fit = extreme_value_fit(np.array(e[1:])) if rounds > 2 else None
+    p = sum(x >= e[0] for x in e[1:]) / rounds if rounds else None
+    return spark.createDataFrame([(e[0], p, *(fit or (None,) * 3), extreme_value_above(e[0], *fit) if fit else None)], kind)
+
+
+def _extreme_loss(p: np.ndarray, x: np.ndarray) -> float:
+    """Negative log-likelihood of a generalised extreme-value distribution: shape, location, logarithm of the scale."""
+    shape, location, log_scale = p
+    z = (x - location) / math.exp(log_scale)
+    if abs(shape) < 1e-9:
+        return float(len(x) * log_scale + (z + np.exp(-z)).sum())
+    t = 1 + shape * z
+    if (t <= 0).any():
+        return math.inf
+    return float(len(x) * log_scale + ((1 + 1 / shape) * np.log(t) + t ** (-1 / shape)).sum())
+
+
+def extreme_value_fit(x: np.ndarray, steps: int = 100) -> tuple[float, float, float] | None:
+    """``(shape, location, scale)`` of greatest likelihood, by damped Newton steps from the moments of a Gumbel distribution;
+    null if all values are the same. A positive shape has a heavy upper tail."""
+    spread = float(np.std(x))
+    if not spread > 0:
+        return None
+    y = (x - x.mean()) / spread
+    scale = math.sqrt(6) / math.pi
+    p, h, damp = np.array([0.0, -np.euler_gamma * scale, math.log(scale)]), 1e-4, 1e-3
+    now = _extreme_loss(p, y)
+    unit = np.eye(3) * h
+    for _ in range(steps):
+        f = lambda *moves: _extreme_loss(p + sum(moves), y)  # noqa: E731, B023
+        slope = np.array([(f(u) - f(-u)) / (2 * h) for u in unit])
+        curve = np.array([[(f(u, v) - f(u, -v) - f(-u, v) + f(-u, -v)) / (4 * h * h) for v in unit] for u in unit])
+        if not (np.isfinite(slope).all() and np.isfinite(curve).all()):
+            break
+        values, vectors = np.linalg.eigh(curve)
+        while damp < 1e12:
+            step = vectors @ ((vectors.T @ slope) / (np.abs(values) + damp))
+            new = _extreme_loss(p - step, y)
+            if new <= now:
+                break
+            damp *= 10
+        else:
+            break
+        p, moved, damp = p - step, now - new, max(damp / 10, 1e-9)
+        now = new
+        if moved < 1e-12 * max(1.0, abs(now)) and np.abs(step).max() < 1e-8:
+            break
+    return float(p[0]), float(p[1] * spread + x.mean()), float(math.exp(p[2]) * spread)
+
+
+def extreme_value_above(value: float, shape: float, location: float, scale: float) -> float:
+    """The probability of more than ``value``."""
+    z = (value - location) / scale
+    if abs(shape) < 1e-9:
+        return -math.expm1(-math.exp(-z))
+    t = 1 + shape * z
+    if t <= 0:
+        return 0.0 if shape < 0 else 1.0
+    return -math.expm1(-(t ** (-1 / shape)))
 
 
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -443,6 +443,17 @@ def ks_1d(spark, d):
     return rounded(statistics.ks_1d(devices(spark, d), "radius_of_gyration", "is_out_of_hours"))
 
 
+@query
+def ks_features(spark, d):
+    names = ["frequency", "radius_of_gyration", "av_path_length", "av_turning_angle", "total_path_length"]
+    return rounded(statistics.ks_features(devices(spark, d), names, "is_out_of_hours"))
+
+
+@query
+def ks_normal(spark, d):
+    return rounded(statistics.ks_normal(signals(spark, d)))
+
+
 @query
 def ks_2d(spark, d):
     f = devices(spark, d).select("frequency", "radius_of_gyration", "is_out_of_hours")

@@ -67,6 +67,27 @@ d AS (SELECT mac_address, count(*) frequency, sqrt(var_pop(x) + var_pop(y)) radi
 f AS (SELECT *, CASE no % 4 WHEN 0 THEN 'Stationary' WHEN 1 THEN 'Shopper' WHEN 2 THEN 'Mall Worker' ELSE 'Not Classified' END dbscan_label, no % 2 is_out_of_hours FROM d)"""
 
 
+#: Largest difference ``kd (k, d, na, nb)`` of the values ``p (k, v, g)``.
+_KS_1D = """kq AS (SELECT k, v, sum(sum(CASE WHEN g = 0 THEN 1 ELSE 0 END)) OVER w a, sum(sum(CASE WHEN g = 1 THEN 1 ELSE 0 END)) OVER w b FROM p WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY k, v WINDOW w AS (PARTITION BY k ORDER BY v)),
+kd AS (SELECT k, max(abs(a / na - b / nb)) d, any_value(na) na, any_value(nb) nb FROM kq JOIN (SELECT k, max(a) na, max(b) nb FROM kq GROUP BY 1) USING (k) GROUP BY 1)"""
+
+
+def _ks_probability(z: str) -> str:
+    return f"CASE WHEN {z} < 0.05 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda t: CASE WHEN t % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * t * t * ({z}) * ({z})))))) END"
+
+
+#: Statistic and probability ``kp (k, d, p)`` of the points ``p (k, x, y, g)``: all pairs.
+_KS_2D = f"""kn AS (SELECT k, count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1, corr(x, y) FILTER (g = 0) r0, corr(x, y) FILTER (g = 1) r1 FROM p GROUP BY 1),
+ko AS (SELECT k, x, y, g, row_number() OVER () i FROM p),
+kq AS (SELECT k, o.i, o.g og, q.g, [count(*) FILTER (q.x > o.x AND q.y > o.y), count(*) FILTER (q.x <= o.x AND q.y > o.y), count(*) FILTER (q.x > o.x AND q.y <= o.y),
+ count(*) FILTER (q.x <= o.x AND q.y <= o.y) - CASE WHEN any_value(o.g) = any_value(q.g) THEN 1 ELSE 0 END] c, count(*) n FROM ko o JOIN p q USING (k) GROUP BY k, o.i, o.g, q.g),
+km AS (SELECT k, a.og, max(list_max(list_transform(range(1, 5), lambda t: greatest((a.c[t] + 1) / a.n - b.c[t] / b.n, b.c[t] / b.n - a.c[t] / a.n)))) d
+ FROM kq a JOIN kq b USING (k, i) WHERE a.g = a.og AND b.g <> b.og GROUP BY 1, 2),
+kd AS (SELECT k, CASE WHEN count(*) = 2 THEN avg(d) END d FROM km GROUP BY 1),
+kz AS (SELECT k, d, d * sqrt(n0 * n1 / (n0 + n1)) / (1 + sqrt(1 - (r0 * r0 + r1 * r1) / 2) * (0.25 - 0.75 / sqrt(n0 * n1 / (n0 + n1)))) z FROM kd JOIN kn USING (k)),
+kp AS (SELECT k, d, {_ks_probability('z')} p FROM kz)"""
+
+
 def _kde(classes: str) -> str:
     """Likelihoods ``lk (mac_address, feature, k, l)`` of all devices with the class of ``f`` given by an expression."""
     return f"""lv AS (SELECT mac_address, frequency, {classes} k, unnest(['radius_of_gyration', 'av_path_length']) feature, unnest([radius_of_gyration, av_path_length]) v FROM f),
@@ -260,12 +281,17 @@ FROM f LEFT JOIN p2 USING (mac_address)""",
     "two_class_labels": f"""WITH {_DEVICES}, {_kde(_TWO)}, q AS (SELECT mac_address, max(l) FILTER (lk.k = 0 AND feature = 'radius_of_gyration') * max(l) FILTER (lk.k = 0 AND feature = 'av_path_length') a,
  max(l) FILTER (lk.k = 1 AND feature = 'radius_of_gyration') * max(l) FILTER (lk.k = 1 AND feature = 'av_path_length') b FROM lk JOIN f USING (mac_address) WHERE f.frequency > 10 GROUP BY ALL)
 SELECT mac_address, {_round('b / nullif(a + b, 0)')} shopper_probability, CAST(CASE WHEN b / nullif(a + b, 0) > 0.95 THEN 1 WHEN b / nullif(a + b, 0) < 0.05 THEN 0 ELSE 0.5 END AS DOUBLE) shopper_label FROM q""",
-    "ks_2d": f"""WITH {_DEVICES}, p AS (SELECT frequency x, radius_of_gyration y, is_out_of_hours g, row_number() OVER () i FROM f),
-q AS (SELECT o.i, o.g og, p.g, sum(CASE WHEN p.x > o.x AND p.y > o.y THEN 1 ELSE 0 END) / count(*) q1, sum(CASE WHEN p.x <= o.x AND p.y > o.y THEN 1 ELSE 0 END) / count(*) q2,
- (sum(CASE WHEN p.x <= o.x AND p.y <= o.y THEN 1 ELSE 0 END) - CASE WHEN any_value(o.g) = any_value(p.g) THEN 1 ELSE 0 END) / count(*) q3, sum(CASE WHEN p.x > o.x AND p.y <= o.y THEN 1 ELSE 0 END) / count(*) q4 FROM p o, p GROUP BY ALL),
-m AS (SELECT a.og, max(greatest(abs(a.q1 - b.q1), abs(a.q2 - b.q2), abs(a.q3 - b.q3), abs(a.q4 - b.q4))) d FROM q a JOIN q b ON a.i = b.i AND a.g = 0 AND b.g = 1 GROUP BY 1) SELECT {_round('avg(d)')} d FROM m""",
-    "energy_statistic": f"""WITH {_DEVICES}, z AS (SELECT is_out_of_hours g, (radius_of_gyration - avg(radius_of_gyration) OVER ()) / stddev_pop(radius_of_gyration) OVER () u, (av_path_length - avg(av_path_length) OVER ()) / stddev_pop(av_path_length) OVER () v FROM f),
-m AS (SELECT a.g ga, b.g gb, avg(CASE WHEN a.u = b.u AND a.v = b.v THEN 0.0 ELSE -ln(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2))) END) l FROM z a, z b GROUP BY ALL) SELECT {_round('sum(CASE WHEN ga = gb THEN l ELSE -l END)')} statistic FROM m""",
+    "ks_1d": f"""WITH {_DEVICES}, p AS (SELECT '' AS k, radius_of_gyration v, is_out_of_hours g FROM f), {_KS_1D} SELECT {_round('d')} d, {_round(_ks_probability('sqrt(na * nb / (na + nb)) * d'))} p FROM kd""",
+    "ks_features": f"""WITH {_DEVICES}, p AS (SELECT unnest(['frequency', 'radius_of_gyration', 'av_path_length', 'av_turning_angle', 'total_path_length']) k,
+ unnest([CAST(frequency AS DOUBLE), radius_of_gyration, av_path_length, av_turning_angle, total_path_length]) v, is_out_of_hours g FROM f), {_KS_1D}
+SELECT k feature, {_round('d')} d, {_round(_ks_probability('sqrt(na * nb / (na + nb)) * d'))} p FROM kd""",
+    "ks_2d": f"""WITH {_DEVICES}, p AS (SELECT '' AS k, CAST(frequency AS DOUBLE) x, radius_of_gyration y, is_out_of_hours g FROM f), {_KS_2D} SELECT {_round('d')} d, {_round('p')} p FROM kp""",
+    "ks_normal": f"""WITH {_SIGNALS}, t AS (SELECT mac_address k, x - avg(x) OVER (PARTITION BY mac_address) x, y - avg(y) OVER (PARTITION BY mac_address) y FROM s WHERE x IS NOT NULL AND y IS NOT NULL),
+i AS (SELECT unnest(range(1000)) i), a AS (SELECT sqrt(-2 * ln((i + 0.5::DOUBLE) / 1000)) r, 2 * pi() * (i * ((sqrt(5) - 1) / 2) - floor(i * ((sqrt(5) - 1) / 2))) w FROM i),
+p AS (SELECT k, x, y, 0 g FROM t UNION ALL SELECT k, r * cos(w), r * sin(w), 1 FROM (SELECT DISTINCT k FROM t), a), {_KS_2D} SELECT k mac_address, {_round('d')} d, {_round('p')} p FROM kp""",
+    "energy_statistic": f"""WITH {_DEVICES}, z AS (SELECT is_out_of_hours g, (radius_of_gyration - avg(radius_of_gyration) OVER ()) / stddev_pop(radius_of_gyration) OVER () u, (av_path_length - avg(av_path_length) OVER ()) / stddev_pop(av_path_length) OVER () v
+ FROM f WHERE radius_of_gyration IS NOT NULL AND av_path_length IS NOT NULL),
+m AS (SELECT a.g ga, b.g gb, avg(CASE WHEN a.u = b.u AND a.v = b.v THEN 0.0 ELSE ln(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2))) END) l FROM z a, z b GROUP BY ALL) SELECT {_round('sum(CASE WHEN ga = gb THEN -l ELSE l END) / 2')} statistic FROM m""",
     "linear_histogram": f"""WITH b AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi, count(*) total FROM orders), q AS (SELECT least(CAST(floor((o_totalprice - lo) / ((hi - lo) / 20)) AS BIGINT), 19) bucket, (hi - lo) / 20 w, total FROM orders, b)
 SELECT bucket, count(*) n, {_round('count(*) / (any_value(total) * any_value(w))', 12)} density FROM q GROUP BY 1""",
     "log_bin": f"""WITH RECURSIVE ed(i, lo, hi, w) AS (SELECT 0::BIGINT, 1.0::DOUBLE, 1.0::DOUBLE + 1000.0, 1000.0::DOUBLE UNION ALL SELECT i + 1, hi, hi + w * 1.6::DOUBLE, w * 1.6::DOUBLE FROM ed WHERE hi <= (SELECT max(o_totalprice) FROM orders))
