@@ -1,52 +1,108 @@
 """Gaussian-kernel likelihoods and sequential Bayes over them.
 
-The training sample of a feature and class is bounded (``SAMPLE`` points, spread by a hash); it is kept as one array in a
-row, so that evaluating a likelihood is a projection without a shuffle.
+Kernel densities are sums over all training values. They are held as expansions: the line is cut into cells of a quarter of
+a bandwidth, and a cell keeps ``TERMS`` coefficients of a polynomial that, times a Gaussian, is the whole sum for any place
+in the cell. With ``s`` and ``d`` the distances of a place and of a training value from the cell's centre, in bandwidths,
+``exp(-(s - d)^2 / 2) = exp(-s^2 / 2) * exp(-d^2 / 2) * exp(s * d)``, and the last factor is a power series in ``s``. A value
+adds to the cells up to ``REACH`` bandwidths away, where a double underflows, so ``|s * d| < 4.9`` and what lies beyond the
+last term is below 1e-11 of any kernel's term. Training is one aggregation whose result has the size of the value range, not of
+the table; a likelihood is a look-up.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.session import forget, spool
+from .statistics import histogram, ks_1d
 
-SAMPLE = 5_000
 CLASSES = ("Stationary", "Shopper", "Mall Worker")
 UNKNOWN = "Not Classified"
+#: Cells of a bandwidth, bandwidths that a value reaches, and coefficients of a cell.
+FINE, REACH, TERMS = 4, 38.75, 32
+
+
+def _long(rows: DataFrame, features: list[str], *columns: str | Column) -> DataFrame:
+    """A row ``(..., feature, x)`` for each row and feature; ``x`` is null if it is no finite number."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), S.finite(F.col(f).cast("double")).alias("x")) for f in features)))
+    return rows.select(*columns, each.alias("e")).select("*", "e.feature", "e.x").drop("e")
 
 
 def training(devices: DataFrame, features: list[str], classes: tuple[str, ...] = CLASSES, label: str = "dbscan_label") -> DataFrame:
-    """One row: ``xs_<feature>_<k>`` (sample) and ``h_<feature>_<k>`` (Scott's bandwidth) for each feature and class.
+    """``(feature, k, h, n, cell, terms)``: the expansions of each feature's density in class number ``k``.
 
-    Of devices with more than 10 signals. The bandwidth is that of all of them; the sample is all of them up to ``SAMPLE``,
-    and beyond about so many, by a hash of the device, taken before anything is collected.
+    Of all devices with more than 10 signals and a finite value; ``h`` is Scott's bandwidth, ``n`` the number of values. A
+    class with fewer than two values, or with equal ones, has no rows.
     """
-    d = devices.where("frequency > 10")
-    some = F.pmod(F.xxhash64("mac_address"), F.lit(max(1, -(-d.count() // SAMPLE)))) == 0
-    cols = []
-    for f in features:
-        for k, name in enumerate(classes):
-            v = F.when(F.col(label) == name, S.finite(F.col(f).cast("double")))
-            bounded = F.slice(F.sort_array(F.collect_list(F.when(some & v.isNotNull(), F.struct(F.xxhash64("mac_address").alias("h"), v.alias("x"))))), 1, SAMPLE)
-            cols.append(F.transform(bounded, lambda s: s["x"]).alias(f"xs_{f}_{k}"))
-            cols.append((F.stddev_samp(v) * F.pow(F.count(v).cast("double"), F.lit(-0.2))).alias(f"h_{f}_{k}"))
-    return d.agg(*cols)
+    k = F.coalesce(*(F.when(F.col(label) == name, i) for i, name in enumerate(classes)))
+    v = _long(devices.where("frequency > 10"), features, k.alias("k")).where("k is not null and x is not null")
+    width = v.groupBy("feature", "k").agg(F.count("*").alias("n"), (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h")).where("h > 0")
+    # One row for each feature and class.
+    u = v.join(F.broadcast(width), ["feature", "k"]).withColumn("u", F.col("x") / F.col("h") * FINE)
+    reach = int(REACH * FINE)
+    u = u.withColumn("cell", F.explode(F.sequence(F.floor("u") - reach, F.floor("u") + reach)))
+    d = (F.col("u") - F.col("cell") - 0.5) / FINE
+    weight = F.exp(-d * d / 2)
+    sums = u.withColumns({"d": d, "weight": weight}).groupBy("feature", "k", "h", "n", "cell").agg(
+        *(F.sum(F.pow("d", F.lit(float(j))) * F.col("weight") / float(math.factorial(j))).alias(f"t{j}") for j in range(TERMS))
+    )
+    return spool(sums.select("feature", "k", "h", "n", "cell", F.array(*(f"t{j}" for j in range(TERMS))).alias("terms")))
+
+
+def density(points: DataFrame, train: DataFrame) -> DataFrame:
+    """``points`` ``(..., feature, x)`` with ``k`` and ``l``: each class's density at ``x``, a row for each class that has one.
+
+    A null ``x`` has null densities; so far from all training values that a double underflows, the density is 0.
+    """
+    width = train.select("feature", "k", "h", "n").distinct()
+    asked = points.join(F.broadcast(width), "feature").withColumn("u", F.col("x") / F.col("h") * FINE).withColumn("cell", F.floor("u"))
+    found = asked.join(train.select("feature", "k", "cell", "terms"), ["feature", "k", "cell"], "left")
+    at = (F.col("u") - F.col("cell") - 0.5) / FINE
+    total = F.get("terms", F.lit(TERMS - 1))
+    for j in range(TERMS - 2, -1, -1):
+        total = total * F.col("s") + F.get("terms", F.lit(j))
+    found = found.withColumn("s", at)
+    value = F.coalesce(total * F.exp(-F.col("s") * F.col("s") / 2), F.lit(0.0)) / F.col("n") / (F.col("h") * math.sqrt(2 * math.pi))
+    return found.select(*points.columns, "k", F.when(F.col("x").isNotNull(), value).alias("l"))
 
 
-def kde(x: Column, xs: Column, h: Column) -> Column:
-    """The density at ``x``; null without a sample, a bandwidth, or ``x``."""
-    total = F.aggregate(xs, F.lit(0.0), lambda s, xi: s + F.exp(-F.pow((x - xi) / h, F.lit(2.0)) / 2))
-    return F.when((F.size(xs) > 0) & (h > 0), total / F.size(xs) / (h * math.sqrt(2 * math.pi)))
+def likelihoods(devices: DataFrame, train: DataFrame, features: list[str], classes: tuple[str, ...] = CLASSES) -> DataFrame:
+    """``devices`` with ``l_<feature>_<k>``; null where the class or the device has no value. ``mac_address`` tells rows apart."""
+    found = density(_long(devices, features, F.col("mac_address").alias("asked")), train).groupBy("asked").agg(
+        *(F.max(F.when((F.col("feature") == f) & (F.col("k") == k), F.col("l"))).alias(f"l_{f}_{k}") for f in features for k in range(len(classes)))
+    )
+    return devices.join(found, F.col("mac_address") == F.col("asked"), "left").drop("asked")
 
 
-def likelihoods(devices: DataFrame, train: DataFrame, features: list[str], classes: tuple[str, ...] = CLASSES) -> DataFrame:
-    """``devices`` with ``l_<feature>_<k>``; the training row is broadcast, its size is bounded by ``SAMPLE``."""
-    j = devices.join(F.broadcast(train))
-    new = {f"l_{f}_{k}": kde(F.col(f).cast("double"), F.col(f"xs_{f}_{k}"), F.col(f"h_{f}_{k}")) for f in features for k in range(len(classes))}
-    return j.withColumns(new).drop(*train.columns)
+def cumulative_ks(devices: DataFrame, features: list[str], classes: tuple[str, str] = ("Stationary", "Shopper"), steps: int = 100, label: str = "dbscan_label") -> DataFrame:
+    """``(feature, d, p)``: the two-sample test between the running sums of two classes' densities on ``steps`` places from 0
+    to the feature's largest value."""
+    train = training(devices, features, classes, label)
+    top = _long(devices, features).groupBy("feature").agg(F.max("x").alias("top"))
+    grid = top.select("feature", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"), "top")
+    at = density(grid.select("feature", "step", (F.col("step") * F.col("top") / (steps - 1)).alias("x")), train)
+    # A feature and class has ``steps`` rows.
+    order = Window.partitionBy("feature", "k").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ks_1d(at.withColumn("sum", F.sum("l").over(order)), "sum", "k", ["feature"])
+
+
+def density_check(devices: DataFrame, feature: str, name: str, bins: int = 25, steps: int = 1_000, label: str = "dbscan_label") -> DataFrame:
+    """``(part, place, x, density)`` of one class: the bars of a histogram (by their left edges) and the kernel density on
+    ``steps`` places from 0 to 1.2 times the largest value."""
+    own = devices.where(F.col(label) == name)
+    top = own.agg(F.max(S.finite(F.col(feature).cast("double"))).alias("top"))
+    grid = top.select(F.lit(feature).alias("feature"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("place"), "top")
+    curve = density(grid.select("feature", "place", (F.col("place") * 1.2 * F.col("top") / (steps - 1)).alias("x")), training(devices, [feature], (name,), label))
+    v = own.select(S.finite(F.col(feature).cast("double")).alias("v"))
+    range_ = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bars = histogram(v, "v", bins).join(F.broadcast(range_))
+    bars = bars.select(F.lit("histogram").alias("part"), F.col("bucket").cast("int").alias("place"), (F.col("lo") + F.col("bucket") * (F.col("hi") - F.col("lo")) / bins).alias("x"), "density")
+    return curve.select(F.lit("kernel").alias("part"), "place", "x", F.col("l").alias("density")).union(bars)
 
 
 def sequential(
@@ -104,31 +160,35 @@ def two_class(devices: DataFrame, features: list[str], prior: float = 0.5) -> Da
     return n.select("mac_address", p.alias("shopper_probability"), S.label_of(p).alias("shopper_label"))
 
 
-def recursive(devices: DataFrame, features: list[str], prior: tuple[float, float] = (0.1, 0.9), confidence: float = 0.95, rounds: int = 10) -> DataFrame:
-    """``(mac_address, round)``: devices found stationary, round by round, until a round finds none.
+def recursive(devices: DataFrame, features: list[str], prior: tuple[float, float] = (0.1, 0.9), confidence: float = 0.95, most: int = 10_000) -> DataFrame:
+    """``(mac_address, round)``: devices found stationary, round by round, until a round finds none or one device at most is
+    left that was seen out of hours.
 
-    Devices seen out of hours train the stationary class; what is found leaves the rest. Rounds are checkpointed.
+    Devices seen out of hours train the stationary class; what is found leaves the rest. A round takes a device at least, and
+    usually most of those to be found. More than ``most`` rounds are an error. Rounds are written to the shared folder.
     """
-    from ..plans.session import spool
-
-    found, rest = None, devices
-    for i in range(rounds):
+    found, rest, turn = [], spool(devices), 0
+    while True:
         n = naive(rest, features, prior[0])
-        hit = spool(n.where(S.ratio("stationary", F.col("stationary") + F.col("shopper")) > confidence).select("mac_address", F.lit(i).alias("round")))
-        found = hit if found is None else found.union(hit)
+        hit = spool(n.where(S.ratio("stationary", F.col("stationary") + F.col("shopper")) > confidence).select("mac_address", F.lit(turn).alias("round")))
+        found.append(hit)
         if hit.isEmpty():
             break
-        rest = spool(rest.join(hit, "mac_address", "left_anti"))
+        last, rest, turn = rest, spool(rest.join(hit, "mac_address", "left_anti")), turn + 1
+        forget(last)
         if rest.where("is_out_of_hours = 1").limit(2).count() <= 1:
             break
-    return found
+        if turn >= most:
+            raise RuntimeError(f"no end after {most} rounds")
+    return functools.reduce(DataFrame.union, found)
 
 
 def bootstrap(devices: DataFrame, features: list[str], rounds: int = 5, prior: tuple[float, float] = (0.1, 0.9), confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """``(mac_address, stationary, other)``: how often a device is found stationary over resampled device tables.
 
-    Drawing n of n devices with replacement and keeping the distinct ones takes each with probability 1 - 1/e, which a
-    hash of device, round and seed decides: the same on any number of partitions.
+    A stand-in for drawing n of n devices with replacement and keeping the distinct ones, which takes each with probability
+    1 - 1/e: here a hash of device, round and seed decides for each device by itself with that probability, the same on any
+    number of partitions, so the number of devices drawn varies a little more.
     """
     keep = 1 - math.exp(-1)
     parts = []

@@ -430,7 +430,7 @@ def two_class_labels(spark, d):
 
 @query
 def recursive_bayes(spark, d):
-    return bayes.recursive(devices(spark, d), _BAYES, (0.4, 0.6), 0.6, 4)
+    return bayes.recursive(devices(spark, d), _BAYES, (0.4, 0.6), 0.6)
 
 
 @query
@@ -438,6 +438,16 @@ def bayes_bootstrap(spark, d):
     return bayes.bootstrap(devices(spark, d), _BAYES, 3, (0.4, 0.6), 0.5)
 
 
+@query
+def cumulative_ks(spark, d):
+    return rounded(bayes.cumulative_ks(devices(spark, d), _BAYES))
+
+
+@query
+def density_check(spark, d):
+    return rounded(bayes.density_check(devices(spark, d), "radius_of_gyration", "Shopper"))
+
+
 @query
 def ks_1d(spark, d):
     return rounded(statistics.ks_1d(devices(spark, d), "radius_of_gyration", "is_out_of_hours"))

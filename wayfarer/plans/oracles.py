@@ -281,6 +281,14 @@ FROM f LEFT JOIN p2 USING (mac_address)""",
     "two_class_labels": f"""WITH {_DEVICES}, {_kde(_TWO)}, q AS (SELECT mac_address, max(l) FILTER (lk.k = 0 AND feature = 'radius_of_gyration') * max(l) FILTER (lk.k = 0 AND feature = 'av_path_length') a,
  max(l) FILTER (lk.k = 1 AND feature = 'radius_of_gyration') * max(l) FILTER (lk.k = 1 AND feature = 'av_path_length') b FROM lk JOIN f USING (mac_address) WHERE f.frequency > 10 GROUP BY ALL)
 SELECT mac_address, {_round('b / nullif(a + b, 0)')} shopper_probability, CAST(CASE WHEN b / nullif(a + b, 0) > 0.95 THEN 1 WHEN b / nullif(a + b, 0) < 0.05 THEN 0 ELSE 0.5 END AS DOUBLE) shopper_label FROM q""",
+    "cumulative_ks": f"""WITH {_DEVICES}, {_kde(_THREE)}, gr AS (SELECT feature, i, i * max(v) / 99 x FROM lv, (SELECT unnest(range(100)) i) GROUP BY feature, i),
+av AS (SELECT gr.feature, gr.i, h.k, sum(exp(-pow((gr.x - tr.v) / h.h, 2) / 2)) / any_value(h.n) / any_value(h.h) / sqrt(2 * pi()) l FROM gr JOIN tr ON tr.feature = gr.feature JOIN h ON h.feature = tr.feature AND h.k = tr.k WHERE h.k < 2 GROUP BY ALL),
+p AS (SELECT feature k, sum(l) OVER (PARTITION BY feature, k ORDER BY i) v, av.k g FROM av), {_KS_1D} SELECT k feature, {_round('d')} d, {_round(_ks_probability('sqrt(na * nb / (na + nb)) * d'))} p FROM kd""",
+    "density_check": f"""WITH {_DEVICES}, o AS (SELECT radius_of_gyration v, frequency FROM f WHERE dbscan_label = 'Shopper'), tr AS (SELECT v FROM o WHERE frequency > 10 AND v IS NOT NULL), h AS (SELECT count(*) n, stddev_samp(v) * pow(count(*), -0.2) h FROM tr),
+gr AS (SELECT i, i * 1.2::DOUBLE * (SELECT max(v) FROM o) / 999 x FROM (SELECT unnest(range(1000)) i)), b AS (SELECT min(v) lo, max(v) hi, count(*) total FROM o),
+q AS (SELECT least(CAST(floor((v - lo) / ((hi - lo) / 25)) AS BIGINT), 24) i, count(*) n FROM o, b GROUP BY 1)
+SELECT 'kernel' part, CAST(i AS INTEGER) place, {_round('x')} x, {_round('sum(exp(-pow((x - tr.v) / h.h, 2) / 2)) / any_value(h.n) / any_value(h.h) / sqrt(2 * pi())')} density FROM gr, tr, h GROUP BY i, x
+UNION ALL SELECT 'histogram', CAST(i AS INTEGER), {_round('lo + i * (hi - lo) / 25')}, {_round('n / (total * ((hi - lo) / 25))')} FROM q, b""",
     "ks_1d": f"""WITH {_DEVICES}, p AS (SELECT '' AS k, radius_of_gyration v, is_out_of_hours g FROM f), {_KS_1D} SELECT {_round('d')} d, {_round(_ks_probability('sqrt(na * nb / (na + nb)) * d'))} p FROM kd""",
     "ks_features": f"""WITH {_DEVICES}, p AS (SELECT unnest(['frequency', 'radius_of_gyration', 'av_path_length', 'av_turning_angle', 'total_path_length']) k,
  unnest([CAST(frequency AS DOUBLE), radius_of_gyration, av_path_length, av_turning_angle, total_path_length]) v, is_out_of_hours g FROM f), {_KS_1D}
