@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..plans.session import spool
+from ..plans.session import forget, spool
 
 
 def counts(signals: DataFrame, on: str = "store_id", returns: bool = True) -> DataFrame:
@@ -49,6 +49,49 @@ def steady_state(pi: DataFrame, a: DataFrame, repeats: int = 10) -> DataFrame:
     return pi
 
 
+def stationary(a: DataFrame, size: int = 6, tolerance: float = 1e-10, most: int = 100) -> DataFrame:
+    """``(store_id, p)``: the distribution that a move leaves as it is, the left eigenvector of the largest eigenvalue.
+
+    Arnoldi's method: each vector is a move of the last one, made orthogonal to those before; products with the matrix are
+    joins, and only the small matrix of their coefficients comes to the driver. From its eigenvector the next ``size`` vectors
+    start, until the residual is at most ``tolerance``; it is an error if it isn't after ``most`` such turns. States without moves
+    away lose what reaches them; where the chain falls apart the result is one of its distributions. No moves give no rows.
+    """
+    a = spool(a)
+    states = spool(a.select(F.col("src").alias("store_id")).union(a.select("dst")).distinct())
+    n = states.count()
+    now = spool(states.withColumn("p", F.lit(1.0 / max(1, n))))
+    for _ in range(most):
+        norm = now.agg(F.sqrt(F.sum(F.col("p") * F.col("p")))).first()[0]
+        if not norm:
+            return now
+        basis, h, k = spool(now.select("store_id", F.array(F.col("p") / norm).alias("q"))), np.zeros((size + 1, size)), 0
+        while k < size:
+            moved = step(basis.select("store_id", F.get("q", F.lit(k)).alias("p")), a).withColumnRenamed("p", "w")
+            both = spool(basis.join(moved, "store_id", "left").select("store_id", "q", F.coalesce("w", F.lit(0.0)).alias("w")))
+            # Twice, as once loses digits.
+            for _again in range(2):
+                dots = both.agg(*(F.sum(F.col("w") * F.get("q", F.lit(i))).alias(f"h{i}") for i in range(k + 1))).first()
+                h[: k + 1, k] += np.array(dots)
+                both = both.withColumn("w", sum((F.get("q", F.lit(i)) * -float(dots[i]) for i in range(k + 1)), F.col("w")))
+            h[k + 1, k] = rest = both.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
+            k += 1
+            if rest < 1e-14:
+                break
+            last, basis = basis, spool(both.select("store_id", F.concat("q", F.array(F.col("w") / rest)).alias("q")))
+            forget(last)
+        values, vectors = np.linalg.eig(h[:k, :k])
+        top = int(np.argmax(np.abs(values)))
+        y = np.real(vectors[:, top] / vectors[np.argmax(np.abs(vectors[:, top])), top])
+        residual = abs(h[k, k - 1] * y[-1]) / np.linalg.norm(y)
+        ritz = basis.select("store_id", sum((F.get("q", F.lit(i)) * float(y[i]) for i in range(1, k)), F.get("q", F.lit(0)) * float(y[0])).alias("p"))
+        total = ritz.agg(F.sum("p")).first()[0]
+        now = spool(ritz.select("store_id", (F.col("p") / (total or 1.0)).alias("p")))
+        if residual <= tolerance:
+            return now
+    raise RuntimeError(f"residual {residual} after {most} turns")
+
+
 def residuals(pi: DataFrame, a: DataFrame, repeats: int = 10) -> DataFrame:
     """``(step, residual)``: the squared change of each move."""
     spark, rows = pi.sparkSession, []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import analysis, bayes, clusters, features, flows, graphs, joins, markov, simulation, statistics, text, trajectories
+from ..operators import analysis, bayes, clusters, features, flows, graphs, joins, markov, mixtures, outliers, simulation, statistics, text, trajectories
 from ..operators import cleaning
 from ..schema import MALLS
 from ..sources import adapter
@@ -242,6 +242,22 @@ def store_neighbours(spark, d):
     return rounded(cleaning.store_neighbours(signals(spark, d), 0.02))
 
 
+@query
+def store_outliers(spark, d):
+    return rounded(outliers.density_outliers(signals(spark, d), 8.0, 10))
+
+
+@query
+def store_two_means(spark, d):
+    return rounded(outliers.two_means(signals(spark, d)))
+
+
+@query
+def store_two_means_step(spark, d):
+    p = outliers.places(signals(spark, d))
+    return rounded(outliers.two_means_step(p, outliers.two_means_start(p))).withColumnRenamed("group", "store_id")
+
+
 @query
 def stationary_devices(spark, d):
     s = signals(spark, d).withColumns({"x": F.floor(F.col("x") / 100), "y": F.floor(F.col("y") / 25)})
@@ -545,6 +561,45 @@ def gaussian_mixture(spark, d):
     return rounded(clusters.gaussian_mixture(_points(spark, d), ["u", "v"], 3).select("id", "cluster", "probability"))
 
 
+def _split(spark, d):
+    """The points and the components that a split of them by class starts with."""
+    f = devices(spark, d).select(F.col("mac_address").alias("id"), "dbscan_label")
+    p = _points(spark, d).join(f, "id")
+    return p, mixtures.split_start(p, ["u", "v"], F.col("dbscan_label") == "Mall Worker")
+
+
+@query
+def mixture_from_split(spark, d):
+    p, start = _split(spark, d)
+    return rounded(mixtures.mixture_from(p, ["u", "v"], start).select("id", "cluster", "probability"), 4)
+
+
+@query
+def mixture_step(spark, d):
+    p, start = _split(spark, d)
+    points, mean = mixtures.centred(p, ["u", "v"])
+    m, _ = mixtures.maximisation_step(points, mixtures.Gaussians(start.weights, start.means - mean, start.covariances))
+    rows = [(i, float(w), *map(float, mu + mean), float(c[0, 0]), float(c[0, 1]), float(c[1, 1])) for i, (w, mu, c) in enumerate(zip(m.weights, m.means, m.covariances, strict=True))]
+    return rounded(spark.createDataFrame(rows, "cluster int, weight double, mean_u double, mean_v double, cov_uu double, cov_uv double, cov_vv double"))
+
+
+@query
+def bayesian_mixture(spark, d):
+    return rounded(mixtures.bayesian_mixture(_points(spark, d), ["u", "v"], 3).select("id", "cluster", "probability"), 4)
+
+
+@query
+def bayesian_mixture_step(spark, d):
+    """The posterior that the classes' points lead to."""
+    f = devices(spark, d).select(F.col("mac_address").alias("id"), "dbscan_label")
+    kind = F.coalesce(*(F.when(F.col("dbscan_label") == c, i) for i, c in enumerate(bayes.CLASSES)), F.lit(3))
+    points, mean = mixtures.centred(_points(spark, d).join(f, "id").withColumn("kind", kind.cast("double")), ["u", "v", "kind"])
+    xy = points.select("x0", "x1")
+    q = mixtures.default_prior(xy, 4).update(mixtures.hard(points, F.round(F.col("x2") + float(mean[2])), 4, ["x0", "x1"]))
+    rows = [(i, *map(float, (a, b, *(m + mean[:2]), v, s[0, 0], s[0, 1], s[1, 1]))) for i, (a, b, m, v, s) in enumerate(zip(q.alpha, q.beta, q.means, q.nu, q.spread, strict=True))]
+    return rounded(spark.createDataFrame(rows, "cluster int, alpha double, beta double, mean_u double, mean_v double, nu double, spread_uu double, spread_uv double, spread_vv double"))
+
+
 @query
 def gaussian_nb(spark, d):
     f = devices(spark, d).select("mac_address", "radius_of_gyration", "av_path_length", F.col("is_out_of_hours").alias("label"))
@@ -578,6 +633,11 @@ def markov_steady_state(spark, d):
     return rounded(markov.steady_state(markov.initial(s).select("store_id", "p"), markov.transitions(s), 5))
 
 
+@query
+def markov_stationary(spark, d):
+    return rounded(markov.stationary(markov.transitions(signals(spark, d))))
+
+
 @query
 def markov_residuals(spark, d):
     s = signals(spark, d)

@@ -234,6 +234,12 @@ SELECT mac_address, n, size, {_round('total')} total FROM l WHERE t1 = date_time
     "unrealistic_speeds": f"""WITH {_SIGNALS}, {_steps()} SELECT mac_address, count(*) fast_steps FROM st WHERE (ds = 0 AND d - 2 > 0) OR (d - 2) / nullif(ds, 0) > 0.02 GROUP BY ALL HAVING count(*) > 1""",
     "store_neighbours": f"""WITH {_SIGNALS}, q AS (SELECT *, lag(store_id) OVER w bs, lead(store_id) OVER w afs FROM s WINDOW w AS (PARTITION BY mac_address ORDER BY date_time, event_id)), {_steps('q')}
 SELECT mac_address, count(*) fast_steps, {_round('avg((CAST(bs IS NULL AS INTEGER) + CAST(store_id IS NULL AS INTEGER) + CAST(afs IS NULL AS INTEGER)) / 3)')} null_share FROM st WHERE d / nullif(ds, 0) > 0.02 GROUP BY ALL""",
+    "store_outliers": f"""WITH {_SIGNALS}, p AS (SELECT store_id, x, y, count(*) signals FROM s WHERE store_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+n AS (SELECT a.store_id, a.x, a.y, any_value(a.signals) signals, sum(b.signals) >= 10 is_core FROM p a JOIN p b ON a.store_id = b.store_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 8.0::DOUBLE * 8.0::DOUBLE GROUP BY ALL)
+SELECT store_id, {_round('a.x')} x, {_round('a.y')} y, signals, is_core, NOT EXISTS (SELECT 1 FROM n b WHERE b.is_core AND a.store_id = b.store_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 8.0::DOUBLE * 8.0::DOUBLE) is_outlier FROM n a""",
+    "store_two_means_step": f"""WITH {_SIGNALS}, p AS (SELECT store_id, x, y FROM s WHERE store_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL), c AS (SELECT store_id, min((x, y)) a, max((x, y)) b FROM p GROUP BY 1),
+q AS (SELECT *, pow(x - b[1], 2) + pow(y - b[2], 2) < pow(x - a[1], 2) + pow(y - a[2], 2) far FROM p JOIN c USING (store_id))
+SELECT store_id, {_round('coalesce(avg(x) FILTER (NOT far), any_value(a[1]))')} ax, {_round('coalesce(avg(y) FILTER (NOT far), any_value(a[2]))')} ay, {_round('coalesce(avg(x) FILTER (far), any_value(b[1]))')} bx, {_round('coalesce(avg(y) FILTER (far), any_value(b[2]))')} "by" FROM q GROUP BY 1""",
     "stationary_devices": f"""WITH {_SIGNALS} SELECT mac_address, count(*) n FROM s GROUP BY ALL HAVING count(*) > 10 AND count(DISTINCT floor(x / 100)) < 5 AND count(DISTINCT floor(y / 25)) < 5""",
     "knn_store_clean": f"""WITH {_SIGNALS}, g AS (SELECT a.event_id, count(*) n FROM s a JOIN s b ON a.store_id = b.store_id AND sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) <= 1 GROUP BY ALL)
 SELECT event_id, store_id FROM s WHERE store_id IS NULL OR event_id IN (SELECT event_id FROM g WHERE n >= 3)""",
@@ -311,6 +317,18 @@ SELECT {_round('regr_slope(y, x)')} slope, {_round('regr_intercept(y, x)')} inte
 SELECT {_round('corr(coalesce(a.weight, 0), coalesce(b.weight, 0))')} r FROM a FULL JOIN b USING (src, dst)""",
     "zscore": f"WITH {_DEVICES}, {_Z} SELECT id mac_address, {_round('u')} radius_of_gyration, {_round('v')} av_path_length FROM z",
     "dbscan_core_points": f"""WITH {_DEVICES}, {_Z}, p AS (SELECT id, round(u, 9) u, round(v, 9) v FROM z) SELECT a.id, count(*) neighbours, CAST(count(*) >= 6 AS INTEGER) is_core FROM p a JOIN p b ON pow(a.u - b.u, 2) + pow(a.v - b.v, 2) <= 0.45::DOUBLE * 0.45::DOUBLE GROUP BY 1""",
+    "mixture_step": f"""WITH {_DEVICES}, {_Z}, q AS (SELECT id, round(u, 9) u, round(v, 9) v, CASE WHEN dbscan_label = 'Mall Worker' THEN 0 ELSE 1 END k FROM z JOIN f ON mac_address = id WHERE u IS NOT NULL AND v IS NOT NULL),
+g AS (SELECT k, count(*) / (SELECT count(*) FROM q) w, avg(u) mu, avg(v) mv, covar_samp(u, u) a, covar_samp(u, v) b, covar_samp(v, v) c FROM q GROUP BY 1),
+l AS (SELECT q.id, q.u, q.v, g.k, w / sqrt(a * c - b * b) * exp(-(c * pow(u - mu, 2) - 2 * b * (u - mu) * (v - mv) + a * pow(v - mv, 2)) / (2 * (a * c - b * b))) l FROM q, g),
+r AS (SELECT u, v, k, l / sum(l) OVER (PARTITION BY id) r FROM l),
+m AS (SELECT k, sum(r) n, sum(r * u) / sum(r) mu, sum(r * v) / sum(r) mv FROM r GROUP BY 1)
+SELECT CAST(k AS INTEGER) "cluster", {_round('any_value(n) / (SELECT count(*) FROM q)')} weight, {_round('any_value(mu)')} mean_u, {_round('any_value(mv)')} mean_v, {_round('sum(r * pow(u - mu, 2)) / sum(r) + 1e-6')} cov_uu,
+ {_round('sum(r * (u - mu) * (v - mv)) / sum(r)')} cov_uv, {_round('sum(r * pow(v - mv, 2)) / sum(r) + 1e-6')} cov_vv FROM r JOIN m USING (k) GROUP BY k""",
+    "bayesian_mixture_step": f"""WITH {_DEVICES}, {_Z}, q AS (SELECT round(u, 9) u, round(v, 9) v, coalesce({_THREE}, 3) k FROM z JOIN f ON mac_address = id WHERE u IS NOT NULL AND v IS NOT NULL),
+ev AS (SELECT avg(u) u0, avg(v) v0, covar_samp(u, u) + 1e-6 a, covar_samp(u, v) b, covar_samp(v, v) + 1e-6 c FROM q),
+g AS (SELECT k, count(*) n, avg(u) mu, avg(v) mv, count(*) * covar_pop(u, u) su, count(*) * covar_pop(u, v) sv, count(*) * covar_pop(v, v) sw FROM q GROUP BY 1)
+SELECT CAST(k AS INTEGER) "cluster", {_round('0.25 + n')} alpha, {_round('1.0 + n')} beta, {_round('(u0 + n * mu) / (1 + n)')} mean_u, {_round('(v0 + n * mv) / (1 + n)')} mean_v, {_round('2.0 + n')} nu,
+ {_round('a + su + n / (1 + n) * pow(mu - u0, 2)')} spread_uu, {_round('b + sv + n / (1 + n) * (mu - u0) * (mv - v0)')} spread_uv, {_round('c + sw + n / (1 + n) * pow(mv - v0, 2)')} spread_vv FROM g, ev""",
     "markov_transitions": f"WITH {_SIGNALS}, {_TRANS} SELECT src, dst, {_round('p')} p FROM ta",
     "markov_transitions_collapsed": f"WITH {_SIGNALS}, {_TRANS}, q AS (SELECT * FROM tc WHERE src <> dst) SELECT src, dst, {_round('n / sum(n) OVER (PARTITION BY src)')} p FROM q",
     "markov_initial": f"WITH {_SIGNALS}, {_TRANS} SELECT store_id, n, {_round('p')} p FROM ini",
@@ -318,6 +336,9 @@ SELECT {_round('corr(coalesce(a.weight, 0), coalesce(b.weight, 0))')} r FROM a F
     "markov_steady_state": f"""WITH {_SIGNALS}, {_TRANS}, """
     + ", ".join(f"m{i} AS (SELECT dst store_id, sum(q.p * ta.p) p FROM {'ini' if i == 1 else f'm{i - 1}'} q JOIN ta ON src = q.store_id GROUP BY ALL)" for i in range(1, 6))
     + f" SELECT store_id, {_round('p')} p FROM m5",
+    "markov_stationary": f"""WITH {_SIGNALS}, {_TRANS}, w0 AS (SELECT src, dst, p FROM ta), """
+    + ", ".join(f"w{i} AS MATERIALIZED (SELECT l.src, r.dst, sum(l.p * r.p) p FROM w{i - 1} l JOIN w{i - 1} r ON l.dst = r.src GROUP BY ALL)" for i in range(1, 11))
+    + f" SELECT dst store_id, {_round('avg(p)')} p FROM w10 GROUP BY 1",
     "ingoing_probability": f"WITH {_SIGNALS}, {_TRANS} SELECT dst store_id, {_round('sum(p)')} ingoing FROM ta GROUP BY ALL",
     "visit_pivot_long": f"WITH {_SIGNALS}, {_PIVOT} SELECT * FROM v",
     "analysis_ready": f"WITH {_SIGNALS}, {_steps()}, f AS (SELECT mac_address, count(*) frequency, {_MEASURES} FROM st GROUP BY 1) SELECT mac_address, frequency, av_speed, av_straightness FROM f WHERE frequency > 10 AND isfinite(av_speed) AND isfinite(av_straightness)",
