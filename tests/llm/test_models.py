@@ -188,6 +188,23 @@ def test_licence_expressions():
     assert licenses.evaluate(p("MIT OR GPL-3.0")) == ({"mit", "gpl"}, 1.0) and licenses.evaluate(p("MIT AND GPL-3.0"))[1] == 0.0
 
 
+def test_conditions_and_unknown_identifiers():
+    a = licenses._automaton()
+    scan = lambda t: dict(zip(("labels", "score", "freedom"), licenses.scan_text(t, a)[5:], strict=True))
+    tagged = scan("SPDX-License-Identifier: CC-BY-NC-ND-4.0")
+    assert set(tagged["labels"].split(",")) >= {"cc-by", "cc-by-nc-nd"} and (tagged["score"], tagged["freedom"]) == (1.0, 0.0)
+    got = licenses.scan_text("Shared as CC BY-NC-ND 4.0", a)
+    assert got[4] == "cc-by" and got[5] == "cc-by,cc-by-nc,cc-by-nc-nd" and got[7] == 0.0
+    assert scan("text under CC BY-SA 4.0")["freedom"] == 0.5 and scan("text under CC BY 4.0")["freedom"] == 1.0
+    assert scan("SPDX-License-Identifier: Mitre-thing") == {"labels": "", "score": 0.0, "freedom": None}
+    assert scan("SPDX-License-Identifier: MIT and then we went home") == {"labels": "mit", "score": 1.0, "freedom": 1.0}
+    for none in ("NONE", "NOASSERTION", "none AND MIT"):
+        assert scan(f"SPDX-License-Identifier: {none}") == {"labels": "", "score": 0.0, "freedom": None}
+    assert scan("SPDX-License-Identifier: LicenseRef-Own OR MIT") == {"labels": "licenseref-own,mit", "score": 1.0, "freedom": 1.0}
+    assert licenses.parse_expression("GPL-2.0 WITH Linux-syscall-note") == ["GPL-2.0", "Linux-syscall-note", "WITH"] and licenses.parse_expression("GPL-2.0 WITH MIT") == ["GPL-2.0"]
+    assert [licenses.licence_of(x) for x in ("CC-BY-4.0", "CC-BY-NC-SA-3.0", "0BSD", "GPL-2.0+", "BUSL-1.1", "mitt")] == ["cc-by", "cc-by-nc-sa", "bsd", "gpl", None, None]
+
+
 def test_licence_scan_of_very_many_phrases():
     began = time.perf_counter()
     got = licenses.scan_text("cc by " * 200_000 + "gnu lesser general public license gnu general public license", licenses._automaton())

@@ -35,6 +35,14 @@ NOTICES = {
     "boost software license": "bsl",
     "zlib license": "zlib",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
+    "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
     "creative commons zero": "cc0",
     "cc0 1 0 universal": "cc0",
     "this is free and unencumbered software": "unlicense",
@@ -46,8 +54,11 @@ GRANTS = ("licensed under", "released under", "distributed under", "available un
 #: How freely a licence lets a text be reused: 1 with notice only, 0.5 if changes stay open, 0 if the whole must.
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "bsl": 1.0, "unlicense": 1.0, "cc0": 1.0, "cc-by": 1.0,
-    "lgpl": 0.5, "mpl": 0.5, "epl": 0.5, "gpl": 0.0, "agpl": 0.0, "proprietary": 0.0,
+    "lgpl": 0.5, "mpl": 0.5, "epl": 0.5, "cc-by-sa": 0.5, "gpl": 0.0, "agpl": 0.0, "proprietary": 0.0,
+    "cc-by-nc": 0.0, "cc-by-nd": 0.0, "cc-by-nc-sa": 0.0, "cc-by-nc-nd": 0.0,
 }
+#: Licence families by the first part of an identifier.
+FAMILIES = ("mit", "apache", "bsd", "0bsd", "isc", "zlib", "bsl", "unlicense", "cc0", "lgpl", "agpl", "gpl", "mpl", "epl")
 _WORDS = bytes(c if chr(c).isdigit() and c < 128 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
@@ -59,18 +70,31 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def licence_of(identifier: str) -> str:
-    """The family of a licence identifier, itself in lower case where none is known."""
+def licence_of(identifier: str) -> str | None:
+    """The family of a licence identifier, told by whole parts between dashes; a Creative Commons family keeps its conditions.
+    A licence that is only referred to is itself, in lower case. None if the identifier is not known."""
     low = identifier.lower().rstrip("+")
-    for prefix, label in (("cc0", "cc0"), ("cc-by", "cc-by"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("gpl", "gpl"), ("apache", "apache"),
-                          ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("isc", "isc"), ("zlib", "zlib"), ("bsl", "bsl"), ("unlicense", "unlicense")):
-        if low.startswith(prefix):
-            return label
-    return low
+    parts = low.split("-")
+    if low.startswith(("licenseref-", "documentref-")):
+        return low
+    if parts[:2] == ["cc", "by"]:
+        return "-".join(["cc", "by", *(p for p in ("nc", "sa", "nd") if p in parts[2:])])
+    if parts[0] in FAMILIES:
+        return "bsd" if parts[0] == "0bsd" else parts[0]
+    return None
+
+
+def is_exception(identifier: str) -> bool:
+    """Whether an identifier stands for an exception, which may follow WITH."""
+    low = identifier.lower()
+    return "exception" in low.split("-") or low == "linux-syscall-note" or low.startswith("additionref-")
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """The expression in postfix order, as far as it reads as one from its start; None if it doesn't begin as one."""
+    """The expression in postfix order, as far as it reads as one from its start; None if it doesn't begin as one.
+
+    Operands are known licences, licences referred to, and exceptions after WITH; anything else ends the expression.
+    """
     out: list[str] = []
     operators: list[str] = []
     depth, operand = 0, True  # whether an operand is wanted next
@@ -84,7 +108,7 @@ def parse_expression(text: str) -> list[str] | None:
             depth -= 1
         elif upper in _RANK and not operand:
             operand = True
-        elif token not in "()" and upper not in _RANK and operand:
+        elif token not in "()" and upper not in _RANK and operand and (is_exception(token) if i and tokens[i - 1].upper() == "WITH" else licence_of(token)):
             operand = False
         else:
             break
@@ -121,7 +145,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
                 stack.append((a[0] | b[0], max(a[1], b[1]) if token == "OR" else min(a[1], b[1])))
         else:
             label = licence_of(token)
-            stack.append(({label}, FREEDOM.get(label, 0.0)))
+            stack.append(({label} if label else set(), FREEDOM.get(label, 0.0)))
     return stack[0]
 
 
