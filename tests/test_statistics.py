@@ -114,3 +114,30 @@ def test_ranks_of_tied_degrees(spark):
     rows = sorted(flows.degree_rank(df).collect(), key=lambda r: r["rank"])
     assert [(r["frequency"], r["store_id"]) for r in rows] == sorted(((i // 3, f"B{i}") for i in range(12)), key=lambda t: (-t[0], t[1]))
     assert {r["frequency"]: r["rank"] for r in flows.rank_probability(df).collect()} == {3: 1.0, 2: 2.0, 1: 3.0, 0: 4.0}
+
+
+def test_words_with_odd_characters_go(spark):
+    from wayfarer.operators import text
+
+    df = spark.createDataFrame([("a b_c  dé e+f\tg©h ok- x¦ ¾ fine",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.clean_words(F.col("t"))).collect()] == ["a ok- fine", "", None]
+
+
+def test_sets_of_manufacturers_and_a_class(spark):
+    from wayfarer.operators import analysis
+
+    rows = [("a", "X", "S"), ("b", "X", "T"), ("c", "Y", "S"), ("d", "Z", "S"), ("e", None, "S"), ("f", "Z", "T")]
+    df = spark.createDataFrame(rows, "mac_address string, manufacturer string, dbscan_label string")
+    assert {tuple(r) for r in analysis.manufacturers_and_class(df, ["X", "Y"], "S").collect()} == {(5, 1), (1, 1), (6, 1), (4, 2)}
+
+
+def test_significance_curve(spark):
+    from wayfarer.operators import analysis
+
+    rows = analysis.significance_curve(spark, 0.5, 2.0, 3.0).collect()
+    part = lambda p: sorted((r["x"], r["y"]) for r in rows if r["part"] == p)
+    assert [len(part(p)) for p in ("curve", "tail", "level")] == [200, 50, 1] and part("tail")[0] == part("level")[0]
+    assert [x for x, _ in part("curve")] == pytest.approx(list(np.linspace(-5, 5, 200))) and part("tail")[-1][0] == pytest.approx(5.0)
+    assert all(y == pytest.approx(math.exp(-((x - 0.5) ** 2) / 8)) for r in rows for x, y in [(r["x"], r["y"])])
+    df = spark.createDataFrame([(0.2,), (0.96,), (0.97,), (1.0,)], "p double")
+    assert sum(r["n"] for r in analysis.confident_posteriors(df, "p").collect()) == 3

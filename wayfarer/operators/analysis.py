@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schema import MALLS
-from . import cleaning, features
+from . import cleaning, features, flows, statistics
 from .ordering import numbered
 
 
@@ -115,3 +115,32 @@ def clean_malls(signals: DataFrame, largest_separation: float = 15.0, by_place:
         one = cleaning.clean_stores(one) if mall in by_place else one
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
+
+
+def manufacturers_and_class(devices: DataFrame, manufacturers: list[str], name: str, label: str = "dbscan_label") -> DataFrame:
+    """``(region, size)``: how many devices are of exactly the manufacturers, and of class ``name`` or not, that a region's bits
+    tell: a bit for each manufacturer in turn, the last one for the class."""
+    made = devices.where(F.col("manufacturer").isin(manufacturers)).select("mac_address", F.col("manufacturer").alias("group"))
+    own = devices.where(F.col(label) == name).select("mac_address", F.lit("class").alias("group"))
+    return flows.venn(made.union(own), "mac_address", "group", [*manufacturers, "class"])
+
+
+def pair_plot(devices: DataFrame, columns: list[str], hue: str = "is_out_of_hours") -> DataFrame:
+    """``(hue, x_name, y_name, x, y)``: the points of each pair of two different ``columns``, of devices that have them all."""
+    v = devices.select(hue, *(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    pairs = F.array(*(F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(a).alias("x"), F.col(b).alias("y")) for a in columns for b in columns if a != b))
+    return v.select(hue, F.explode(pairs).alias("p")).select(hue, "p.*")
+
+
+def significance_curve(spark: SparkSession, mean: float, deviation: float, level: float, low: float = -5.0, high: float = 5.0, steps: int = 200, tail: int = 50) -> DataFrame:
+    """``(part, place, x, y)``: a bell curve of height 1 on ``steps`` places (``curve``), its part from ``level`` on (``tail``) and
+    the height at ``level`` (``level``)."""
+    grid = lambda part, a, n: spark.range(n).select(F.lit(part).alias("part"), F.col("id").cast("int").alias("place"), (a + F.col("id") * ((high - a) / (n - 1))).alias("x"))
+    at = spark.range(1).select(F.lit("level"), F.lit(0), F.lit(float(level)))
+    rows = grid("curve", low, steps).union(grid("tail", level, tail)).union(at)
+    return rows.withColumn("y", F.exp(-F.pow(F.col("x") - mean, F.lit(2.0)) / (2 * deviation**2)))
+
+
+def confident_posteriors(posteriors: DataFrame, probability: str, level: float = 0.95, bins: int = 75) -> DataFrame:
+    """``(bucket, n, density)``: a histogram of the posterior probabilities above ``level``."""
+    return statistics.histogram(posteriors.where(F.col(probability) > level), probability, bins)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Characters that end a sentence (fixed values).
 SENTENCE = r"""[\[\]\n.!?,;:\t\-"()'’–]"""
+#: Characters that make a word go (fixed values).
+ODD = ("#", "@", "ä", "ó", "»", "=", "&", "_", "+", "%", "©", "ç", "é", "è", "å", "î", "¾", "î", "à", "±", "º", "¦", "â")
 #: A short list of stop words for texts without one of their own.
 STOP_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "as", "with", "be", "by", "at", "are", "an", "from", "this", "or", "which")
 
@@ -82,8 +84,8 @@ def adjoined(docs: DataFrame, id_col: str, text_col: str, stop_words: tuple[str,
 
 
 def clean_words(text: Column) -> Column:
-    """A text without words that hold signs or letters beyond the plain ones."""
-    return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: ~w.rlike(r"[#@=&%$*<>{}\\^~|äâãåàáçéèêëíìîïñóòôöõúùûüýÿß€£]")), " ")
+    """A text's words, one space between them, without those that hold one of ``ODD``."""
+    return F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda w: ~w.rlike("[" + re.escape("".join(ODD)) + "]")), " ")
 
 
 def keyword_pipeline(docs: DataFrame, id_col: str, text_col: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:

@@ -376,6 +376,28 @@ def mall_venn(spark, d):
     return flows.venn(s, "store_id", "location", list(MALLS))
 
 
+@query
+def manufacturer_venn(spark, d):
+    f = joins.add_manufacturer(devices(spark, d), adapter.oui(spark, d))
+    return analysis.manufacturers_and_class(f, ["FRANCE", "KENYA", "PERU"], "Stationary")
+
+
+@query
+def pair_plot(spark, d):
+    return rounded(analysis.pair_plot(devices(spark, d), ["radius_of_gyration", "av_path_length", "av_turning_angle"]))
+
+
+@query
+def confident_posteriors(spark, d):
+    p = bayes.sequential(devices(spark, d), _BAYES)
+    return rounded(analysis.confident_posteriors(p, "p_1", 0.5, 10), 4)
+
+
+@query
+def clean_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_words(F.col("text"))).alias("cleaned"))
+
+
 @query
 def distinct_signals(spark, d):
     s = adapter.coarse_signals(spark, d).select("mac_address", "date_time", "store_id").distinct()

@@ -271,6 +271,20 @@ SELECT frequency, {_round('sum(c) OVER (ORDER BY frequency DESC) / sum(c) OVER (
     "top_manufacturers": f"""WITH {_SIGNALS}, {_OUI}, q AS (SELECT DISTINCT mac_address FROM s) SELECT manufacturer, count(*) n FROM q LEFT JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6)) GROUP BY ALL ORDER BY n DESC, manufacturer LIMIT 10""",
     "top_lines_per_part": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey) r FROM lineitem) SELECT l_partkey, count(*) n, round(sum(l_extendedprice), 2) price FROM r WHERE r <= 3 GROUP BY ALL""",
     "mall_venn": f"""WITH {_SIGNALS}, m AS (SELECT store_id, CAST(bit_or(CASE location WHEN 'Mall of Mauritius' THEN 1 WHEN 'Phoenix Mall' THEN 2 ELSE 4 END) AS INTEGER) region FROM s WHERE store_id IS NOT NULL GROUP BY 1) SELECT region, count(*) size FROM m GROUP BY ALL""",
+    "manufacturer_venn": f"""WITH {_DEVICES}, {_OUI}, m AS (SELECT mac_address, CASE manufacturer WHEN 'FRANCE' THEN 1 WHEN 'KENYA' THEN 2 WHEN 'PERU' THEN 4 ELSE 0 END + CASE WHEN dbscan_label = 'Stationary' THEN 8 ELSE 0 END region
+ FROM f LEFT JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6))) SELECT CAST(region AS INTEGER) region, count(*) size FROM m WHERE region > 0 GROUP BY 1""",
+    "pair_plot": f"""WITH {_DEVICES}, q AS (SELECT is_out_of_hours, radius_of_gyration a, av_path_length b, av_turning_angle c FROM f WHERE radius_of_gyration IS NOT NULL AND av_path_length IS NOT NULL AND av_turning_angle IS NOT NULL)
+"""
+    + " UNION ALL ".join(
+        f"SELECT is_out_of_hours, '{names[i]}' x_name, '{names[j]}' y_name, {_round('abc'[i])} x, {_round('abc'[j])} y FROM q"
+        for names in [("radius_of_gyration", "av_path_length", "av_turning_angle")]
+        for i in range(3)
+        for j in range(3)
+        if i != j
+    ),
+    "confident_posteriors": f"""WITH {_sequential((0.05, 0.9, 0.05))}, v AS (SELECT q1 v FROM p2 WHERE q1 > 0.5), b AS (SELECT min(v) lo, max(v) hi, count(*) total FROM v),
+r AS (SELECT least(CAST(floor((v - lo) / ((hi - lo) / 10)) AS BIGINT), 9) bucket, (hi - lo) / 10 w, total FROM v, b) SELECT bucket, count(*) n, {_round('count(*) / (any_value(total) * any_value(w))', 4)} density FROM r GROUP BY 1""",
+    "clean_texts": r"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+'), lambda w: NOT regexp_matches(w, '[#@äó»=&_+%©çéèåî¾à±º¦â]')), ' ')) cleaned FROM documents""",
     "distinct_signals": f"WITH {_COARSE}, q AS (SELECT DISTINCT mac_address, date_time, store_id FROM c) SELECT mac_address, count(*) n FROM q GROUP BY ALL",
     "union_malls": f"WITH {_SIGNALS} SELECT location, store_id, count(*) n FROM s GROUP BY ALL",
     "label_difference": f"WITH {_DEVICES} SELECT mac_address FROM f WHERE frequency > 10 AND dbscan_label <> 'Not Classified'",
