@@ -141,3 +141,23 @@ def test_significance_curve(spark):
     assert all(y == pytest.approx(math.exp(-((x - 0.5) ** 2) / 8)) for r in rows for x, y in [(r["x"], r["y"])])
     df = spark.createDataFrame([(0.2,), (0.96,), (0.97,), (1.0,)], "p double")
     assert sum(r["n"] for r in analysis.confident_posteriors(df, "p").collect()) == 3
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_kth_neighbours_of_uneven_stores(spark, monkeypatch, crowd):
+    from wayfarer.operators import cleaning
+
+    monkeypatch.setattr(cleaning, "CROWD", crowd)
+    rng = random.Random(crowd)
+    rows = [("a", i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)] + [("a", 300 + i, rng.gauss(50, 0.001), rng.gauss(0, 0.001)) for i in range(200)]
+    rows += [("a", 500 + i, rng.uniform(-500, 500), rng.uniform(-500, 500)) for i in range(20)] + [("b", 600 + i, 1.0, 2.0) for i in range(7)] + [("c", 700 + i, float(i), 0.0) for i in range(4)]
+    rows += [("d", 800 + i, float(i % 3), 0.0) for i in range(9)] + [(None, 900, 0.0, 0.0), ("a", 901, None, 0.0)]
+    df = spark.createDataFrame(rows, "store_id string, point_id long, x double, y double").repartition(3)
+    got = {r["point_id"]: r["distance"] for r in cleaning.kth_neighbour(df, 5).collect()}
+    want = {}
+    for s in "abd":
+        mine = [(i, x, y) for k, i, x, y in rows if k == s and x is not None]
+        for i, x, y in mine:
+            want[i] = sorted(math.hypot(x - p, y - q) for _, p, q in mine)[4]
+    assert got == pytest.approx(want)
+    assert cleaning.kth_neighbour(df.limit(0)).count() == 0

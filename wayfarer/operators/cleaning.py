@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.session import spool
 from .features import steps
 
 
@@ -103,17 +106,55 @@ def clean_stores(signals: DataFrame, k: int = 5, tolerance: float = 1.0, shops_o
     return out.where(S.has_shop("store_id")) if shops_only else out
 
 
+#: Places in a cell where the search for neighbours begins, at most, unless they are too close to be told apart.
+CROWD = 64
+
+
 def kth_neighbour(points: DataFrame, k: int = 5) -> DataFrame:
-    """``(store_id, point_id, distance)``: to the k-th nearest point of the same store, itself the first.
+    """``(store_id, point_id, distance)``: to the k-th nearest point of the same store, itself the first. Stores with fewer points,
+    and points without a store or place, are left out.
 
-    For stores of a bounded number of points: a point is held against its whole store. :func:`clean_stores` needs no
-    distances and scales with its cells.
+    Cells begin so small that few places share one, and double from round to round. A place is done as soon as its k-th
+    neighbour among the nine cells around it is no farther than a cell's side, since nothing outside them is nearer. Places
+    that a round leaves have fewer than ``k`` neighbours within a side, so few of them are in one cell, and the pairs of a
+    round grow with the places, however dense some of them stand.
     """
-    a = points.selectExpr("store_id", "point_id", "x", "y")
-    b = points.selectExpr("store_id", "x x2", "y y2")
-    d = a.join(b, "store_id").withColumn("distance", S.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-    w = Window.partitionBy("store_id", "point_id").orderBy("distance")
-    return d.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("store_id", "point_id", "distance")
+    p = points.select("store_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("store_id is not null and x is not null and y is not null")
+    p = p.groupBy("store_id", "x", "y").agg(F.count("*").alias("here"))
+    width = p.groupBy("store_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"), F.count("*").alias("places"))
+    # A unit is a side at which a store's cells hold a place each on average.
+    unit = F.when(F.col("extent") > 0, F.col("extent") / F.sqrt(F.col("places"))).otherwise(1.0)
+    width = spool(width.select("store_id", "x0", "y0", "extent", unit.alias("unit")))
+    p = spool(p.join(width, "store_id").select("store_id", "x", "y", "here", ((F.col("x") - F.col("x0")) / F.col("unit")).alias("u"), ((F.col("y") - F.col("y0")) / F.col("unit")).alias("v"), "unit", "extent"))
+    side = 1.0
+    cells = lambda w: {"cx": F.floor(F.col("u") / w), "cy": F.floor(F.col("v") / w)}
+    while side > 2.0**-30:
+        most = p.withColumns(cells(side)).groupBy("store_id", "cx", "cy").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= CROWD:
+            break
+        side /= 2
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    rest, done = p.select("store_id", "x", "y", "u", "v", "unit", "extent"), []
+    while True:
+        asked = rest.withColumns(cells(side)).select("store_id", "x", "y", "unit", "extent", "cx", "cy", F.explode(steps).alias("s"))
+        asked = asked.select("store_id", "x", "y", "unit", "extent", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        other = p.withColumns(cells(side)).select("store_id", "cx", "cy", F.col("x").alias("x2"), F.col("y").alias("y2"), "here")
+        near = asked.join(other, ["store_id", "cx", "cy"]).withColumn("distance", S.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
+        # The k nearest places hold the k nearest points.
+        order = Window.partitionBy("store_id", "x", "y").orderBy("distance", "x2", "y2")
+        near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        near = near.withColumn("found", F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        best = near.groupBy("store_id", "x", "y", "unit", "extent").agg(F.min(F.when(F.col("found") >= k, F.col("distance"))).alias("distance"))
+        whole = F.col("unit") * side >= F.col("extent")
+        best = spool(best.withColumn("sure", F.coalesce(F.col("distance") <= F.col("unit") * side, F.lit(False)) | whole))
+        done.append(best.where("sure").select("store_id", "x", "y", "distance"))
+        rest = rest.join(best.where("not sure").select("store_id", "x", "y"), ["store_id", "x", "y"], "left_semi")
+        if best.where("not sure").isEmpty():
+            break
+        rest, side = spool(rest), side * 2
+    found = functools.reduce(DataFrame.union, done)
+    there = points.select("store_id", "point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return there.join(found.where("distance is not null"), ["store_id", "x", "y"]).select("store_id", "point_id", "distance")
 
 
 def stationary_devices(signals: DataFrame) -> DataFrame:

@@ -275,6 +275,12 @@ def kth_neighbour_distance(spark, d):
     return rounded(cleaning.kth_neighbour(p, 5))
 
 
+@query
+def kth_neighbour_signals(spark, d):
+    p = signals(spark, d).select("store_id", F.col("event_id").alias("point_id"), "x", "y")
+    return rounded(cleaning.kth_neighbour(p, 5))
+
+
 @query
 def signals_per_bin(spark, d):
     return flows.per_bin(signals(spark, d), 15)

@@ -246,6 +246,8 @@ SELECT event_id, store_id FROM s WHERE store_id IS NULL OR event_id IN (SELECT e
     "kth_neighbour_distance": f"""WITH {_SIGNALS}, {_STORES}, p AS (SELECT store_id id, round(x, 6) x, round(y, 6) y FROM stores),
 r AS (SELECT a.id, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))) r FROM p a, p b)
 SELECT 'all' store_id, id point_id, {_round('d')} distance FROM r WHERE r = 5""",
+    "kth_neighbour_signals": f"""WITH {_SIGNALS}, r AS (SELECT a.store_id, a.event_id point_id, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) d, row_number() OVER (PARTITION BY a.event_id ORDER BY sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))) r
+ FROM s a JOIN s b USING (store_id) WHERE a.x IS NOT NULL AND a.y IS NOT NULL) SELECT store_id, point_id, {_round('d')} distance FROM r WHERE r = 5""",
     "signals_per_bin": f"WITH {_SIGNALS} SELECT {_bin('date_time', 15)} bin, count(*) signals, count(DISTINCT mac_address) devices FROM s GROUP BY ALL",
     "arrivals_per_bin": f"WITH {_SIGNALS}, a AS (SELECT mac_address, min(date_time) t FROM s GROUP BY 1) SELECT {_bin('t', 30)} bin, count(DISTINCT mac_address) devices FROM a GROUP BY ALL",
     "stay_by_band": f"""WITH {_SIGNALS}, a AS (SELECT mac_address, CAST(date_time AS DATE) AS dd, min(date_time) st, max(date_time) en FROM s GROUP BY ALL),
