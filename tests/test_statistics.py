@@ -161,3 +161,25 @@ def test_kth_neighbours_of_uneven_stores(spark, monkeypatch, crowd):
             want[i] = sorted(math.hypot(x - p, y - q) for _, p, q in mine)[4]
     assert got == pytest.approx(want)
     assert cleaning.kth_neighbour(df.limit(0)).count() == 0
+
+
+def test_clusters_of_long_vectors(spark):
+    from wayfarer.operators import clusters
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 4, (4, 12))
+    x = np.vstack([centres[rng.integers(0, 4, 150)] + rng.normal(0, 0.5, (150, 12)), rng.normal(0, 8, (20, 12)), np.zeros((3, 12))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>").repartition(3)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 2.4
+    assert {(r["a"], r["b"]) for r in clusters.vector_pairs(df, 2.4).collect()} == set(zip(*map(list, np.nonzero(near)), strict=True))
+    core = near.sum(1) >= 5
+    root = {i: i for i in range(len(x)) if core[i]}
+    while True:
+        new = {i: min(root[j] for j in np.flatnonzero(near[i] & core)) for i in root}
+        if new == root:
+            break
+        root = new
+    number = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    want = {i: number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))}
+    assert {r["id"]: r["label"] for r in clusters.vector_dbscan(df, 2.4, 5).collect()} == want and len(set(want.values())) > 3
+    assert clusters.vector_dbscan(df.limit(0), 2.4, 5).count() == 0

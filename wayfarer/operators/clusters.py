@@ -30,6 +30,49 @@ def eps_pairs(points: DataFrame, columns: list[str], eps: float) -> DataFrame:
     return a.join(b, list(cell)).where(d2 <= eps * eps).select("a", "b")
 
 
+def vector_pairs(points: DataFrame, eps: float, pivots: int = 6) -> DataFrame:
+    """``(a, b)``: ordered pairs of ``id`` whose ``vector`` arrays are within ``eps``, itself included, in any number of
+    dimensions.
+
+    A vector's distances from a few pivots, vectors spread by a hash, are its place in a space of few dimensions: by the
+    triangle inequality two vectors within ``eps`` are within ``eps`` in each of these distances. Two of them, which vary most,
+    are the grid on which vectors meet; the others drop pairs before whole vectors are compared. Nothing within ``eps`` is lost.
+    """
+    p = points.where("vector is not null").select("id", "vector")
+    chosen = p.orderBy(F.xxhash64("id"), "id").limit(pivots).agg(F.collect_list("vector").alias("pivots"))
+    apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    # One row of a few vectors.
+    near = spool(p.join(F.broadcast(chosen)).select("id", "vector", F.transform("pivots", lambda q: apart(F.col("vector"), q)).alias("far")))
+    spread = near.agg(F.max(F.size("far")).alias("n"), *(F.var_pop(F.get("far", F.lit(i))).alias(f"v{i}") for i in range(pivots))).first()
+    best = sorted(range(spread["n"] or 0), key=lambda i: -(spread[f"v{i}"] or 0.0))[:2]
+    best = (best * 2)[:2] or [0, 0]
+    # The grid is a little wider than the distance, for the last digit of the pivots' distances.
+    wide = eps * (1 + 1e-9) + 1e-12
+    cell = {f"g{k}": F.floor(F.get("far", F.lit(i)) / wide) for k, i in enumerate(best)}
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    placed = near.withColumns(cell)
+    a = placed.select(F.col("id").alias("a"), F.col("vector").alias("va"), F.col("far").alias("fa"), "g0", "g1", F.explode(steps).alias("s"))
+    a = a.select("a", "va", "fa", (F.col("g0") + F.col("s.i")).alias("g0"), (F.col("g1") + F.col("s.j")).alias("g1"))
+    b = placed.select(F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("far").alias("fb"), "g0", "g1")
+    may = F.forall(F.zip_with("fa", "fb", lambda x, y: F.abs(x - y) <= wide), lambda ok: ok)
+    return a.join(b, ["g0", "g1"]).where(may).where(apart(F.col("va"), F.col("vb")) <= eps).select("a", "b")
+
+
+def _core(ids: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    n = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"))
+    return ids.join(n.withColumn("is_core", (F.col("neighbours") >= least).cast("int")), "id")
+
+
+def vector_core_points(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """``(id, neighbours, is_core)`` of all vectors."""
+    return _core(points.select("id"), vector_pairs(points, eps), least)
+
+
+def vector_dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
+    """``(id, label)`` of all vectors, as :func:`dbscan` numbers them."""
+    return _labels(points.select("id"), spool(vector_pairs(points, eps)), least)
+
+
 def core_points(points: DataFrame, columns: list[str], eps: float, least: int) -> DataFrame:
     """``(id, neighbours, is_core)`` of all points."""
     n = eps_pairs(points, columns, eps).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"))
@@ -39,7 +82,11 @@ def core_points(points: DataFrame, columns: list[str], eps: float, least: int) -
 
 def dbscan(points: DataFrame, columns: list[str], eps: float, least: int) -> DataFrame:
     """``(id, label)``: -1 for noise; clusters are numbered by their least core id, and a border point is in the least of them."""
-    pairs = spool(eps_pairs(points, columns, eps))
+    return _labels(points.select("id"), spool(eps_pairs(points, columns, eps)), least)
+
+
+def _labels(ids: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """``(id, label)`` of all ``ids`` from the spooled pairs within reach."""
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.col("a").alias("c"))
     links = spool(pairs.join(core, F.col("a") == F.col("c"), "left_semi").join(core, F.col("b") == F.col("c"), "left_semi"))
     label = spool(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")))
@@ -54,7 +101,7 @@ def dbscan(points: DataFrame, columns: list[str], eps: float, least: int) -> Dat
     number = numbered(label.select("root").distinct(), ["root"], "label")
     cores = label.join(number, "root").select("id", "label")
     border = pairs.join(cores.toDF("b", "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("border"))
-    out = points.select("id").join(cores, "id", "left").join(border, "id", "left")
+    out = ids.join(cores, "id", "left").join(border, "id", "left")
     return out.select("id", F.coalesce("label", "border", F.lit(-1)).cast("long").alias("label"))
 
 

@@ -775,6 +775,16 @@ def hausdorff_undirected(spark, d):
     return rounded(trajectories.normalised(trajectories.hausdorff(_mall_paths(spark, d))))
 
 
+@query
+def hausdorff_core_points(spark, d):
+    return clusters.vector_core_points(trajectories.standardised_rows(trajectories.hausdorff(_mall_paths(spark, d))), 3.0, 3)
+
+
+@query
+def hausdorff_clusters(spark, d):
+    return clusters.vector_dbscan(trajectories.standardised_rows(trajectories.hausdorff(_mall_paths(spark, d))), 3.0, 3)
+
+
 @query
 def hausdorff_sampled(spark, d):
     return rounded(trajectories.sampled(_mall_paths(spark, d), 8, 2))

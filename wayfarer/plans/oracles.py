@@ -381,6 +381,10 @@ SELECT manufacturer, {_bin('date_time', 60)} bin, count(*) signals, count(DISTIN
     "trajectory_paths": f"""WITH {_SIGNALS} SELECT mac_address, CAST(count(*) AS INTEGER) n, arg_min(x, (date_time, event_id)) x0, arg_min(y, (date_time, event_id)) y0, arg_max(x, (date_time, event_id)) x1, arg_max(y, (date_time, event_id)) y1 FROM s GROUP BY ALL""",
     "hausdorff_directed": f"WITH {_SIGNALS}, {_PATHS} SELECT a, b, {_round('distance')} distance FROM hd",
     "hausdorff_undirected": f"WITH {_SIGNALS}, {_PATHS}, u AS (SELECT x.a, x.b, greatest(x.distance, y.distance) d FROM hd x JOIN hd y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b) SELECT a, b, {_round('d / max(d) OVER ()')} distance FROM u",
+    "hausdorff_core_points": f"""WITH {_SIGNALS}, {_PATHS}, u AS (SELECT x.a, x.b, greatest(x.distance, y.distance) d FROM hd x JOIN hd y ON x.a = y.b AND x.b = y.a UNION ALL SELECT DISTINCT a, a, 0.0 FROM hd),
+m AS (SELECT a, b, coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0) z FROM u WINDOW w AS (PARTITION BY b)),
+n AS (SELECT i.a id, j.a other FROM m i JOIN m j USING (b) GROUP BY ALL HAVING sqrt(sum(pow(i.z - j.z, 2))) <= 3.0)
+SELECT id, count(*) neighbours, CAST(count(*) >= 3 AS INTEGER) is_core FROM n GROUP BY 1""",
     "animation_frames": f"WITH {_COARSE} SELECT date_time, count(DISTINCT mac_address) devices FROM c GROUP BY ALL",
     "store_pairs": f"""WITH {_SIGNALS}, {_STORES}, p AS (SELECT store_id, round(x, 6) x, round(y, 6) y FROM stores), q AS (SELECT a.store_id src, b.store_id dst, b.x - a.x dx, b.y - a.y dy, {_angle('a.x', 'a.y')} a1, {_angle('b.x', 'b.y')} a2 FROM p a, p b)
 SELECT src, dst, {_round('dx')} dx, {_round('dy')} dy, {_round('sqrt(dx * dx + dy * dy)')} distance, CAST(CASE {_way('a1', 'a2')} WHEN -1 THEN 0.0 WHEN 1 THEN 1.0 ELSE 0.5 END AS DOUBLE) turn FROM q""",
