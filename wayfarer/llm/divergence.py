@@ -179,7 +179,8 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     back = _held(blocks, known).join(known, "chunk").select("block", "at", "term")
     arrays = blocks.drop("chunks", "holders").withColumnRenamed("block", "of")
     found = back.groupBy("block").cogroup(arrays.groupBy("of")).applyInArrow(_count, "lang string, source string, term string, docs long, times long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    # By language and term: a term's sources stay side by side, where they compress, and what asks for a term's sums finds them.
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
