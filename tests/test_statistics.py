@@ -183,3 +183,20 @@ def test_clusters_of_long_vectors(spark):
     want = {i: number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))}
     assert {r["id"]: r["label"] for r in clusters.vector_dbscan(df, 2.4, 5).collect()} == want and len(set(want.values())) > 3
     assert clusters.vector_dbscan(df.limit(0), 2.4, 5).count() == 0
+
+
+def test_circles_share_the_common_devices(spark):
+    from wayfarer.operators import analysis
+
+    rows = [(f"x{i}", "X", "S" if i < 4 else "T") for i in range(10)] + [(f"y{i}", "Y", "T") for i in range(3)] + [(f"z{i}", "Z", "S") for i in range(5)] + [(f"o{i}", None, "S") for i in range(20)]
+    df = spark.createDataFrame(rows, "mac_address string, manufacturer string, dbscan_label string")
+    got = {r["manufacturer"]: r for r in analysis.circles(df, ["X", "Y", "Z", "none"], "S").collect()}
+    big = math.sqrt(29 / math.pi)
+    assert set(got) == {"X", "Y", "Z"} and (got["X"]["inside"], got["X"]["outside"]) == (4, 6)
+    assert got["Y"]["distance"] == pytest.approx(big + math.sqrt(3 / math.pi)) and got["Z"]["distance"] == pytest.approx(big - math.sqrt(5 / math.pi))
+    # The common area of X by counting a fine grid of points.
+    side = np.linspace(-6, 6, 1_500)
+    u, v = np.meshgrid(side, side)
+    d = got["X"]["distance"]
+    both = (u * u + v * v <= big * big) & ((u - d) ** 2 + v * v <= got["X"]["radius"] ** 2)
+    assert both.sum() * (side[1] - side[0]) ** 2 == pytest.approx(4, abs=0.05) and (got["X"]["x"], got["X"]["y"]) == pytest.approx((d, 0))

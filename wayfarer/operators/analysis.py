@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -144,3 +146,40 @@ def significance_curve(spark: SparkSession, mean: float, deviation: float, level
 def confident_posteriors(posteriors: DataFrame, probability: str, level: float = 0.95, bins: int = 75) -> DataFrame:
     """``(bucket, n, density)``: a histogram of the posterior probabilities above ``level``."""
     return statistics.histogram(posteriors.where(F.col(probability) > level), probability, bins)
+
+
+def _lens(d: Column, big: Column, small: Column) -> Column:
+    """The area that circles of two radii have in common, their centres ``d`` apart."""
+    part = lambda r, o: r * r * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (d * d + r * r - o * o) / (2 * d * r))))
+    kite = F.greatest(F.lit(0.0), (big + small - d) * (d + small - big) * (d - small + big) * (d + small + big))
+    return part(small, big) + part(big, small) - F.sqrt(kite) / 2
+
+
+def circles(devices: DataFrame, manufacturers: list[str], name: str, label: str = "dbscan_label", steps: int = 60) -> DataFrame:
+    """``(manufacturer, inside, outside, radius, distance, x, y)``: circles of the manufacturers' sets around that of class
+    ``name``, of an area of one for each device, so far from it that the common area is the number of common devices.
+
+    Centres are at even angles around the class, which is at the origin. The distance is found by halving: the common area
+    falls as circles part. Sets apart touch, a set within the class lies at its edge; manufacturers without devices are left out.
+    """
+    total = devices.agg(F.sum((F.col(label) == name).cast("long")).alias("whole"))
+    own = devices.where(F.col("manufacturer").isin(manufacturers)).groupBy("manufacturer").agg(
+        F.sum(F.coalesce((F.col(label) == name).cast("long"), F.lit(0))).alias("inside"), F.count("*").alias("all")
+    )
+    c = own.join(F.broadcast(total)).withColumns({"big": F.sqrt(F.col("whole") / math.pi), "small": F.sqrt(F.col("all") / math.pi)})
+    big, small, wanted = F.col("big"), F.col("small"), F.col("inside").cast("double")
+
+    def halve(s: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        far = _lens(middle, big, small) < wanted
+        return F.struct(F.when(far, s["lo"]).otherwise(middle).alias("lo"), F.when(far, middle).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.abs(big - small).alias("lo"), (big + small).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: halve(s))
+    distance = F.when(F.col("inside") == 0, big + small).when(F.col("inside") == F.least("whole", "all"), F.abs(big - small)).otherwise((found["lo"] + found["hi"]) / 2)
+    turn = 2 * math.pi / len(manufacturers) * F.coalesce(*(F.when(F.col("manufacturer") == m, float(i)) for i, m in enumerate(manufacturers)))
+    c = c.withColumns({"distance": distance, "turn": turn})
+    return c.select(
+        "manufacturer", "inside", (F.col("all") - F.col("inside")).alias("outside"), small.alias("radius"), "distance",
+        (F.col("distance") * F.cos("turn")).alias("x"), (F.col("distance") * F.sin("turn")).alias("y"),
+    )

@@ -388,6 +388,12 @@ def manufacturer_venn(spark, d):
     return analysis.manufacturers_and_class(f, ["FRANCE", "KENYA", "PERU"], "Stationary")
 
 
+@query
+def manufacturer_circles(spark, d):
+    f = joins.add_manufacturer(devices(spark, d), adapter.oui(spark, d))
+    return rounded(analysis.circles(f, ["FRANCE", "KENYA", "PERU", "CHINA"], "Stationary"))
+
+
 @query
 def pair_plot(spark, d):
     return rounded(analysis.pair_plot(devices(spark, d), ["radius_of_gyration", "av_path_length", "av_turning_angle"]))

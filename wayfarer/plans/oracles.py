@@ -275,6 +275,15 @@ SELECT frequency, {_round('sum(c) OVER (ORDER BY frequency DESC) / sum(c) OVER (
     "mall_venn": f"""WITH {_SIGNALS}, m AS (SELECT store_id, CAST(bit_or(CASE location WHEN 'Mall of Mauritius' THEN 1 WHEN 'Phoenix Mall' THEN 2 ELSE 4 END) AS INTEGER) region FROM s WHERE store_id IS NOT NULL GROUP BY 1) SELECT region, count(*) size FROM m GROUP BY ALL""",
     "manufacturer_venn": f"""WITH {_DEVICES}, {_OUI}, m AS (SELECT mac_address, CASE manufacturer WHEN 'FRANCE' THEN 1 WHEN 'KENYA' THEN 2 WHEN 'PERU' THEN 4 ELSE 0 END + CASE WHEN dbscan_label = 'Stationary' THEN 8 ELSE 0 END region
  FROM f LEFT JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6))) SELECT CAST(region AS INTEGER) region, count(*) size FROM m WHERE region > 0 GROUP BY 1""",
+    "manufacturer_circles": f"""WITH RECURSIVE {_DEVICES}, {_OUI}, m AS (SELECT manufacturer, dbscan_label = 'Stationary' own FROM f LEFT JOIN oui ON prefix = upper(substr(replace(mac_address, ':', ''), 1, 6))),
+c AS (SELECT manufacturer, count(*) FILTER (own) inside, count(*) n, sqrt((SELECT count(*) FROM m WHERE own) / pi()) r1, sqrt(count(*) / pi()) r2, (SELECT count(*) FROM m WHERE own) whole FROM m WHERE manufacturer IN ('FRANCE', 'KENYA', 'PERU', 'CHINA') GROUP BY 1),
+b(i, manufacturer, lo, hi) AS (SELECT 0, manufacturer, abs(r1 - r2), r1 + r2 FROM c UNION ALL
+ SELECT i + 1, manufacturer, CASE WHEN a < inside THEN lo ELSE mid END, CASE WHEN a < inside THEN mid ELSE hi END FROM (SELECT i, manufacturer, lo, hi, mid, inside,
+  r2 * r2 * acos(greatest(-1, least(1, (mid * mid + r2 * r2 - r1 * r1) / (2 * mid * r2)))) + r1 * r1 * acos(greatest(-1, least(1, (mid * mid + r1 * r1 - r2 * r2) / (2 * mid * r1))))
+  - sqrt(greatest(0, (r1 + r2 - mid) * (mid + r2 - r1) * (mid - r2 + r1) * (mid + r2 + r1))) / 2 a FROM (SELECT *, (lo + hi) / 2 mid FROM b JOIN c USING (manufacturer) WHERE i < 60))),
+g AS (SELECT manufacturer, inside, n - inside outside, r2, CASE WHEN inside = 0 THEN r1 + r2 WHEN inside = least(whole, n) THEN abs(r1 - r2) ELSE (lo + hi) / 2 END d,
+ pi() / 2 * (list_position(['FRANCE', 'KENYA', 'PERU', 'CHINA'], manufacturer) - 1) w FROM c JOIN b USING (manufacturer) WHERE i = 60)
+SELECT manufacturer, inside, outside, {_round('r2')} radius, {_round('d')} distance, {_round('d * cos(w)')} x, {_round('d * sin(w)')} y FROM g""",
     "pair_plot": f"""WITH {_DEVICES}, q AS (SELECT is_out_of_hours, radius_of_gyration a, av_path_length b, av_turning_angle c FROM f WHERE radius_of_gyration IS NOT NULL AND av_path_length IS NOT NULL AND av_turning_angle IS NOT NULL)
 """
     + " UNION ALL ".join(
