@@ -52,6 +52,16 @@ def test_graph_and_matrix_files(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/adj").count() == 1
 
 
+def test_graphml_keeps_odd_names(spark, tmp_path):
+    names = ["a&b", '<"x">', "tab\there\nline\r", "it's é 日", "bell\x07", "&amp;", ""]
+    v = spark.createDataFrame([(n, "store") for n in names] + [(None, None)], "id string, node_type string")
+    e = spark.createDataFrame([(names[0], names[1], 2)], "src string, dst string, weight int")
+    sinks.write_graphml(v, e, f"{tmp_path}/odd")
+    graph = xml.fromstring("\n".join(open(f, newline="").read() for f in sorted(glob.glob(f"{tmp_path}/odd/part-*"))))[0]
+    assert sorted(n.get("id") for n in graph if n.tag.endswith("node")) == sorted([*(n.replace("\x07", "") for n in names), ""])
+    assert [(n.get("source"), n.get("target"), n.get("weight")) for n in graph if n.tag.endswith("edge")] == [(names[0], names[1], "2")]
+
+
 def test_streams(spark, tmp_path):
     s = adapter.signals(spark, SF).drop("email", "wifi_type")
     s.repartition(1).sortWithinPartitions("date_time").write.parquet(f"{tmp_path}/in")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import quoteattr
+import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,20 @@ def write_adjacency(edges: DataFrame, path: str) -> None:
     edges.select("src", "dst", "weight").write.mode("overwrite").csv(path)
 
 
+#: What stands for a character in an attribute (fixed values).
+ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"}
+
+
+def attribute(value: str) -> Column:
+    """A column in double quotes, as XML wants an attribute; null is empty, characters that XML has no place for go."""
+    plain = F.regexp_replace(F.coalesce(F.col(value).cast("string"), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    return F.concat(F.lit('"'), functools.reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), plain), F.lit('"'))
+
+
 def write_graphml(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     """A folder of GraphML lines: elements are written by tasks, the frame around them by files that sort first and last."""
     head = vertices.sparkSession.createDataFrame([('<?xml version="1.0"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">',)], "value string")
-    escape = F.udf(lambda s: quoteattr(s or ""), "string")  # attribute values of a graph of keywords
-    v = vertices.select(F.format_string("<node id=%s label=%s/>", escape("id"), escape("node_type")).alias("value"))
-    e = edges.select(F.format_string('<edge source=%s target=%s weight="%s"/>', escape("src"), escape("dst"), F.col("weight").cast("string")).alias("value"))
+    v = vertices.select(F.format_string("<node id=%s label=%s/>", attribute("id"), attribute("node_type")).alias("value"))
+    e = edges.select(F.format_string('<edge source=%s target=%s weight="%s"/>', attribute("src"), attribute("dst"), F.col("weight").cast("string")).alias("value"))
     tail = vertices.sparkSession.createDataFrame([("</graph></graphml>",)], "value string")
     head.coalesce(1).union(v).union(e).union(tail.coalesce(1)).write.mode("overwrite").text(path)
