@@ -675,7 +675,7 @@ def markov_stationary(spark, d):
 @query
 def markov_residuals(spark, d):
     s = signals(spark, d)
-    return markov.residuals(markov.initial(s), markov.transitions(s), 4)
+    return rounded(markov.residuals(markov.initial(s), markov.transitions(s), 4), 9)
 
 
 @query

@@ -361,6 +361,15 @@ SELECT CAST(k AS INTEGER) "cluster", {_round('0.25 + n')} alpha, {_round('1.0 +
     "markov_steady_state": f"""WITH {_SIGNALS}, {_TRANS}, """
     + ", ".join(f"m{i} AS (SELECT dst store_id, sum(q.p * ta.p) p FROM {'ini' if i == 1 else f'm{i - 1}'} q JOIN ta ON src = q.store_id GROUP BY ALL)" for i in range(1, 6))
     + f" SELECT store_id, {_round('p')} p FROM m5",
+    "markov_residuals": f"""WITH {_SIGNALS}, {_TRANS}, m0 AS (SELECT store_id, p FROM ini), """
+    + ", ".join(f"m{i} AS (SELECT dst store_id, sum(q.p * ta.p) p FROM m{i - 1} q JOIN ta ON src = q.store_id GROUP BY ALL)" for i in range(1, 5))
+    + " UNION ALL ".join(
+        f"{' ' if i else ' SELECT * FROM ('}SELECT CAST({i} AS INTEGER) step, {_round('sum(pow(coalesce(a.p, 0) - coalesce(b.p, 0), 2))', 9)} residual FROM m{i + 1} a FULL JOIN m{i} b USING (store_id)" for i in range(4)
+    )
+    + ")",
+    "class_statistics": f"""WITH {_DEVICES} SELECT dbscan_label, count(*) n, {_round('avg(radius_of_gyration)')} mean_radius_of_gyration, {_round('stddev_samp(radius_of_gyration)')} std_radius_of_gyration,
+ {_round('avg(av_path_length)')} mean_av_path_length, {_round('stddev_samp(av_path_length)')} std_av_path_length FROM f GROUP BY 1""",
+    "largest_classes": f"""WITH {_DEVICES} SELECT dbscan_label, mac_address FROM f WHERE dbscan_label IN (SELECT dbscan_label FROM f GROUP BY 1 ORDER BY count(*) DESC, dbscan_label LIMIT 2)""",
     "markov_stationary": f"""WITH {_SIGNALS}, {_TRANS}, w0 AS (SELECT src, dst, p FROM ta), """
     + ", ".join(f"w{i} AS MATERIALIZED (SELECT l.src, r.dst, sum(l.p * r.p) p FROM w{i - 1} l JOIN w{i - 1} r ON l.dst = r.src GROUP BY ALL)" for i in range(1, 11))
     + f" SELECT dst store_id, {_round('avg(p)')} p FROM w10 GROUP BY 1",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def window_counts(signals: DataFrame, window: str = "60 minutes", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def approximate_window_counts(signals: DataFrame, window: str = "60 minutes", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """``(window, store_id, devices)``; devices are counted approximately, so state per window is bounded."""
     s = signals.withColumn("ts", F.col("date_time").cast("timestamp")).withWatermark("ts", late).where("store_id is not null")
     return s.groupBy(F.window("ts", window, slide), "store_id").agg(F.approx_count_distinct("mac_address").alias("devices"))
