@@ -4,12 +4,14 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from wayfarer.llm import html, language, licenses, pii, quality, recurrent as R
 
+from . import marked_pages
 from .tables import documents, hard_texts, prose
 
 SF = "/root/testdata/sf0.01"
@@ -263,6 +265,29 @@ def test_pages_that_the_labelling_rule_gets_wrong(spark):
     assert (rule != hand).any() and wrong <= (rule != hand).mean()
 
 
+def test_pages_marked_by_hand(spark):
+    """Precision and recall by characters over pages of many layouts, none of which the labeller is trained on."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html.fit(pages)
+    rows = [(i, "u", marked_pages.page(m)) for i, m in enumerate(marked_pages.PAGES)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    hit = lost = wrong = 0
+    size = lambda lines: sum(len(t) * n for t, n in lines.items())
+    for i, m in enumerate(marked_pages.PAGES):
+        want, found = Counter(marked_pages.article_lines(m)), Counter(got[i].split("\n") if got[i] else [])
+        hit, lost, wrong = hit + size(want & found), lost + size(want - found), wrong + size(found - want)
+        assert bool(found) == bool(want)
+    assert len(rows) >= 30 and hit / (hit + wrong) >= 0.95 and hit / (hit + lost) >= 0.95
+    assert "The value x=5 holds here" in got[6]
+
+
+def test_slashes_and_names():
+    b = html.blocks("<a href=/x/>linked</a><p>plain<div class='ad' />after")
+    assert [(x.text, x.linked) for x in b] == [("linked", 6), ("plain", 0), ("after", 0)] and b[2].element.path() == ()
+    label = lambda name: html.structural_label(html.blocks(f'<article><div class="{name}">x')[0].element)
+    assert [label(n) for n in ("content-related-text", "sideBar", "post-comments", "has-sidebar", "main-menu", "x")] == [1, 0, 0, 1, 0, 1]
+
+
 def test_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     model = html.fit(pages)

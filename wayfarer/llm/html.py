@@ -1,14 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is read into its blocks: the runs of text between block-level tags, each with the path of open elements above it.
-A bidirectional LSTM in numpy reads the page's blocks in order, as hashed vectors of path and words, and labels every
-block as article or not with the whole page in view. It is trained on pages of the corpus whose blocks are labelled by
-the meaning of the elements around them. In training some pages get further parts (sidebars, forms, notices, comments),
-and some paths are hidden, so that a block's words, size and neighbours count as well.
+A bidirectional LSTM in numpy reads the page's blocks in order, as vectors of path and hashed words, and labels every
+block as article or not with the whole page in view. It is trained on pages of the corpus, labelled by the meaning of the
+elements around their blocks, and on pages made of the corpus's texts in layouts drawn at random, where it is known of
+every block what it is: articles in containers of any name or none, with menus, notices, forms, comments and other parts
+around and between. Some pages' paths are hidden, so that words, sizes, links and neighbours count as well.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -26,7 +28,7 @@ from .common import hash_sample
 
 #: Pages that the labeller is trained on, about, and the longest of them in characters.
 SAMPLE, EXCERPT = 400, 60_000
-PATH_SLOTS, WORD_SLOTS, NUMBERS, UNITS = 192, 32, 6, 16
+WORD_SLOTS, NUMBERS, UNITS = 32, 6, 16
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td"
@@ -34,21 +36,56 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg iframe object math canvas textarea title".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea title annotation annotation-xml".split())
 #: Elements that a start tag of the same kind, or of a kind with it, closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id or role that mark what is no article, for the labels of training.
-ASIDE = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|alert|sidebar|side|menu|nav\w*|"
-    r"breadcrumb\w*|header|masthead|footer|comment\w*|replies|respond|share|social|related|recommend\w*|widget|newsletter|"
-    r"subscribe|signup|login|search|popup|modal|pagination|copyright|legal)(?:$|[-_ ])"
+#: Words in class, id or role that mark what is no article, and those that mark an article.
+ASIDE = tuple(
+    "ad ads advert adverts advertisement sponsor sponsored promo promos promoted banner cookie cookies consent notice notices alert"
+    " sidebar side menu nav navigation navbar breadcrumb breadcrumbs header masthead footer comment comments replies reply respond"
+    " share sharing social related recommended recommendations widget newsletter subscribe signup login search popup modal"
+    " pagination pager copyright legal complementary contentinfo disclaimer".split()
 )
-_ARTICLE = re.compile(r"(?:^|[-_ ])(?:article|content|post|story|entry|main|body)(?:$|[-_ ])")
+ARTICLE = tuple("article content post story entry main body".split())
+#: First words of names that speak of a page's layout, as in "has-sidebar".
+_LAYOUT = frozenset("has no with without show hide".split())
 _NO_ARTICLE = frozenset(("nav", "header", "footer", "aside", "form", "menu", "select", "dialog", "head"))
+_ASIDE, _ARTICLE = frozenset(ASIDE), frozenset(ARTICLE)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+_SHUT = re.compile(r"(?:^|[\s\"'])/\Z")  # a slash that ends a tag, and not the value of an attribute without quotes
+
+# Slots of a path: names of elements anywhere, last and last but one; words of marks; a few for all other words.
+_NAMES = {k: i for i, k in enumerate((*sorted(BLOCKS), *"a abbr b code em i small span strong label button math other".split()))}
+_KNOWN = {k: i for i, k in enumerate((*ASIDE, *ARTICLE), 3 * len(_NAMES))}
+OTHER_SLOTS = 24
+PATH_SLOTS = -(-(3 * len(_NAMES) + len(_KNOWN) + OTHER_SLOTS) // 8) * 8
+
+
+def _name_slot(name: str, depth: int = 2) -> int:
+    return depth * len(_NAMES) + _NAMES.get(name, len(_NAMES) - 1)
+
+
+@functools.lru_cache(20_000)
+def _marks(marks: str) -> tuple[int, bool, bool]:
+    """Of a class, id or role: the slots of its words, and whether it speaks of no article, or of one.
+
+    In a name of several words only the first and the last count: "content-related-text" speaks of content.
+    """
+    bits, aside, inside = 0, False, False
+    for name in _HUMP.sub("-", marks).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not words or words[0] in _LAYOUT:
+            continue
+        for word in {words[0], words[-1]}:
+            slot = _KNOWN.get(word)
+            bits |= 1 << (PATH_SLOTS - 1 - zlib.crc32(word.encode()) % OTHER_SLOTS if slot is None else slot)
+            aside |= word in _ASIDE
+            inside |= word in _ARTICLE
+    return bits, aside, inside
 
 
 class Element:
@@ -63,10 +100,13 @@ class Element:
     def __init__(self, parent: Element | None, name: str, marks: str = ""):
         self.parent, self.name, self.marks = parent, name, marks
         self.bits, self.aside, self.inside = parent and (parent.bits, parent.aside, parent.inside) or (0, False, False)
-        for key in [name, *(k for k in re.split(r"[^a-z]+", marks) if k)] if name else ():
-            self.bits |= 1 << _slot(key)
-        self.aside |= name in _NO_ARTICLE or bool(marks and ASIDE.search(marks))
-        self.inside |= name in ("article", "main") or bool(marks and _ARTICLE.search(marks))
+        if not name:
+            return
+        said, aside, inside = _marks(marks) if marks and name not in ("html", "body") else (0, False, False)
+        self.bits |= 1 << _name_slot(name) | said
+        # An article's own header has its headings.
+        self.aside |= aside or name in _NO_ARTICLE and not (name == "header" and self.inside)
+        self.inside |= inside or name in ("article", "main")
 
     def path(self) -> tuple[str, ...]:
         out, at = [], self
@@ -80,7 +120,7 @@ class Element:
         out, at = self.bits, self
         for depth in range(2):
             if at.parent is not None:
-                out |= 1 << _slot(f"{depth}:{at.name}")
+                out |= 1 << _name_slot(at.name, depth)
                 at = at.parent
         return out
 
@@ -166,7 +206,7 @@ def blocks(page: str | None) -> list[Block]:
             shut = CLOSES.get(name, {"p"})
             while len(stack) > 1 and (stack[-1].name not in BLOCKS or stack[-1].name in shut):
                 pop()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or _SHUT.search(m[3]):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -176,7 +216,7 @@ def blocks(page: str | None) -> list[Block]:
         where.setdefault(name, []).append(len(stack))
         if name in BLOCKS:
             outer.append(len(stack))
-        stack.append(Element(stack[-1], name, marks.lower()))
+        stack.append(Element(stack[-1], name, marks))
         links += name == "a"
     end()
     return out
@@ -201,10 +241,6 @@ def _word_slot(word: str) -> int:
     return got
 
 
-def _slot(key: str) -> int:
-    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % PATH_SLOTS
-
-
 _PATHS: dict[int, np.ndarray] = {}
 
 
@@ -251,14 +287,13 @@ class BlockLabeller:
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.01, seed: int = 0) -> None:
         rng, adam = np.random.default_rng(seed), R.Adam(self.p, rate)
         for epoch in range(epochs):
-            order = rng.permutation(len(pages))
+            order = sorted(rng.permutation(len(pages)), key=lambda i: len(pages[i][0]))  # pages of like length go together
             adam.rate = rate * (1 - 0.8 * epoch / epochs)
-            for a in range(0, len(order), 24):
+            for a in 24 * rng.permutation(-(-len(order) // 24)):
                 batch = [pages[i] for i in order[a : a + 24]]
                 x, mask = _stack([v for v, _ in batch])
                 y, _ = _stack([label[:, None] for _, label in batch])
-                hide = rng.random(x.shape[:2]) < 0.1  # a block whose path is not to be seen
-                x[hide, :PATH_SLOTS] = 0
+                x[rng.random(len(x)) < 0.05, :, :PATH_SLOTS] = 0  # pages whose paths are not to be seen
                 keep = ([], [])
                 h, prob = self._forward(x, mask, keep)
                 d = ((prob - y[:, :, 0]) * mask / mask.sum())[:, :, None].astype(np.float32)
@@ -314,53 +349,180 @@ def _stack(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training pages ----------------------------------------------------------------------------------------------------
 
-
-def _further_parts(page: str, words: list[str], rng: np.random.Generator) -> str:
-    """A page with parts put in that many pages have and this one may not."""
-    some = lambda a, b: html.escape(" ".join(rng.choice(words, rng.integers(a, b))))
-    items = lambda n: "".join(f'<li><a href="/{i}">{some(1, 4)}</a></li>' for i in range(n))
-    comment = lambda: f'<div class="comment"><p>{some(1, 3)}</p><p>{some(4, 40)}</p></div>'
-    parts = [
-        lambda: f'<aside class="{rng.choice(["sidebar", "widget", "related"])}"><h3>{some(1, 4)}</h3><ul>{items(4)}</ul><p>{some(5, 30)}</p></aside>',
-        lambda: f'<div id="sidebar"><h2>{some(1, 4)}</h2><p>{some(4, 30)}</p></div>',
-        lambda: f'<form action="/s"><label>{some(1, 4)}</label><input name="q"><button>{some(1, 2)}</button><p>{some(3, 12)}</p></form>',
-        lambda: f'<div class="{rng.choice(["cookie-notice", "notice", "cookie-banner", "consent"])}"><p>{some(6, 30)}</p></div>',
-        lambda: f'<header><div class="masthead">{some(1, 5)}</div><p>{some(3, 10)}</p></header>',
-        lambda: f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["class", "id"])}="comments"><h2>{some(1, 3)}</h2>{"".join(comment() for _ in range(rng.integers(1, 6)))}</{t}>',
-        lambda: f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo"])}"><p>{some(3, 25)}</p></div>',
-        lambda: f'<div class="{rng.choice(["menu", "breadcrumbs", "share", "newsletter", "pagination"])}"><ul>{items(5)}</ul>{some(2, 12)}</div>',
-    ]
-    article = re.search(r"<(?:article|main)\b", page)
-    close = [m.start() for m in re.finditer(r"</(?:article|main)>", page)]
-    inner = [m.start() for m in re.finditer(r"<p>|<h2>", page[: close[-1]] if close else page) if article and m.start() > article.end() + 40]
-    for _ in range(rng.integers(1, 4)):
-        part = parts[rng.integers(len(parts))]()
-        spots = [s for s in (article.start() if article else None, close[-1] + len("</article>") if close else None) if s is not None]
-        if inner and rng.random() < 0.3:
-            spots = [inner[rng.integers(len(inner))]]
-        if spots:
-            at = int(rng.choice(spots))
-            page = page[:at] + part + page[at:]
-            article, inner, close = re.search(r"<(?:article|main)\b", page), [], [m.start() for m in re.finditer(r"</(?:article|main)>", page)]
-    # Article elements go by other names on other sites.
-    if rng.random() < 0.35:
-        name = str(rng.choice(["main", 'div class="content"', 'div id="post"', 'section class="article"', 'div class="entry"']))
-        page = page.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")
-    if rng.random() < 0.2:  # lists, quotes and tables belong to articles too
-        page = re.sub(r"<p>([^<]*)</p>", lambda m: m[0] if rng.random() < 0.7 else f"<{(t := rng.choice(['blockquote', 'li', 'td', 'h2', 'pre']))}>{m[1]}</{t}>", page)
-    return page
-
-
-def train_labeller(pages: list[str], seed: int = 0) -> BlockLabeller:
-    """A labeller trained on these pages, as they are and with further parts."""
+#: Stands ahead of each article block of a made page; taken out again when the page is read.
+KEEP = "\ue000"
+_NEUTRAL = "col-8 col-md-12 row container wrapper wrap inner outer grid flex page left center block box region zone app root layout".split()
+
+
+class _Layout:
+    """Makes pages around articles: the containers and the parts around and between are drawn at random."""
+
+    def __init__(self, words: list[str], rng: np.random.Generator):
+        self.words, self.rng = words, rng
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def one(self, of):
+        return of[int(self.rng.integers(len(of)))]
+
+    def some(self, low: int, high: int) -> str:
+        return html.escape(" ".join(self.one(self.words) for _ in range(self.rng.integers(low, high))))
+
+    def neutral(self) -> str:
+        """An attribute that says nothing, or none."""
+        name = self.one(_NEUTRAL) if self.chance(0.6) else "".join(self.rng.choice(list("abcdefghijklmnoprstuvwxyz"), 5))
+        return "" if self.chance(0.2) else f' {self.one(["class", "class", "id"])}="{name}"'
+
+    def links(self, low: int, high: int) -> str:
+        return "".join(f'<li><a href="/{i}">{self.some(1, 4)}</a></li>' for i in range(self.rng.integers(low, high)))
+
+    def mark(self, names: str) -> str:
+        """A name out of these, plain or with a word before or after it."""
+        name = self.one(names.split())
+        more = self.one(["site", "page", "top", "block", "list", "box", "wrap", "inner", "content", "body"])
+        name = self.one([name, name, name, f"{name}-{more}", f"{more}-{name}"])
+        return f' {self.one(["class", "class", "id"])}="{name}"'
+
+    # Parts that are no article.
+
+    def menu(self) -> str:
+        items = self.links(3, 9)
+        inner = f"<ul>{items}</ul>" if self.chance(0.7) else re.sub(r"</?li>", " ", items)
+        tag = self.one(["nav", "nav", "div", "ul", "div"])
+        return f"<{tag}{self.neutral() if tag != 'div' or self.chance(0.4) else self.mark('menu nav navbar navigation breadcrumbs')}>{inner}</{tag}>"
+
+    def header(self) -> str:
+        tag = self.one(["header", "header", "div"])
+        name = self.mark("header masthead banner") if tag == "div" else self.neutral()
+        title = f"<{(t := self.one(['h1', 'div', 'p', 'span']))}>{self.some(1, 6)}</{t}>"
+        return f"<{tag}{name}>{title}{self.menu() if self.chance(0.5) else ''}<p>{self.some(2, 10)}</p></{tag}>"
+
+    def side(self) -> str:
+        tag = self.one(["aside", "aside", "div", "section"])
+        name = self.neutral() if tag == "aside" and self.chance(0.5) else self.mark("sidebar related widget side recommended")
+        body = "".join(self.one([f"<h3>{self.some(1, 5)}</h3>", f"<ul>{self.links(2, 6)}</ul>", f"<p>{self.some(4, 40)}</p>", f"<ul><li>{self.some(2, 9)}<li>{self.some(2, 9)}</ul>"]) for _ in range(self.rng.integers(1, 5)))
+        return f"<{tag}{name}>{body}</{tag}>"
+
+    def form(self) -> str:
+        name = self.neutral() if self.chance(0.5) else self.mark("search newsletter subscribe login signup")
+        return f'<form{name} action="/s"><label>{self.some(1, 4)}</label><input name="q"><p>{self.some(3, 14)}</p><select><option>{self.some(1, 3)}<option>{self.some(1, 3)}</select><button>{self.some(1, 3)}</button></form>'
+
+    def small(self) -> str:
+        name = self.mark("ad ads advert sponsored promo cookie consent notice notices alert share social newsletter popup pagination legal disclaimer")
+        text = self.some(2, 35)
+        return f"<div{name}>{text if self.chance(0.5) else f'<p>{text}</p><p>{self.some(1, 12)}</p>'}{f'<ul>{self.links(2, 5)}</ul>' if self.chance(0.3) else ''}</div>"
+
+    def comments(self) -> str:
+        one = lambda: f"<{(t := self.one(['div', 'li', 'article']))}{self.mark('comment reply')}><p>{self.some(1, 4)}</p><p>{self.some(3, 60)}</p></{t}>"
+        tag = self.one(["section", "div", "ol"])
+        return f"<{tag}{self.mark('comments replies respond')}><h2>{self.some(1, 4)}</h2>{''.join(one() for _ in range(self.rng.integers(1, 7)))}</{tag}>"
+
+    def footer(self) -> str:
+        tag = self.one(["footer", "footer", "div"])
+        name = self.mark("footer copyright contentinfo") if tag == "div" and self.chance(0.8) else self.neutral()
+        text = f"{self.one(['&copy; ', '(c) ', 'Copyright '])}{self.some(1, 14)}"
+        return f"<{tag}{name}>{self.one([text, f'<p>{text}</p>', f'<ul>{self.links(2, 7)}</ul><p>{text}</p>'])}</{tag}>"
+
+    # Parts of an article.
+
+    def inline(self, text: str) -> str:
+        words = text.split(" ")
+        if len(words) > 6 and self.chance(0.3):
+            i = int(self.rng.integers(0, len(words) - 2))
+            tag = self.one(['a href="/x"', "b", "em", "code", "math"])
+            words[i : i + 2] = [f"<{tag}>{words[i]} {words[i + 1]}</{tag.split()[0]}>"]
+        return " ".join(words)
+
+    def piece(self, text: str) -> str:
+        words = text.split()
+        few = lambda low, high: KEEP + html.escape(" ".join(words[(i := int(self.rng.integers(len(words)))) : i + int(self.rng.integers(low, high))]))
+        whole = KEEP + self.inline(html.escape(text))
+        n = int(self.rng.integers(1, 6))
+        kind = self.rng.random()
+        if kind < 0.6:
+            return f"<p>{whole if self.chance(0.85) else few(1, 12)}</p>" if self.chance(0.9) else f"<div{self.neutral()}>{whole}</div>"
+        if kind < 0.7:
+            return f"<{(t := self.one(['h2', 'h3', 'h4']))}>{few(1, 9)}</{t}>"
+        if kind < 0.82:
+            linked = lambda t: f'<a href="/r">{t}</a>' if self.chance(0.15) else t
+            return f"<{(t := self.one(['ul', 'ol']))}>{''.join(f'<li>{linked(few(1, 15))}</li>' for _ in range(n))}</{t}>"
+        if kind < 0.88:
+            return f"<table>{''.join(f'<tr><th>{few(1, 3)}</th><td>{few(1, 6)}</td></tr>' for _ in range(n))}</table>"
+        if kind < 0.92:
+            return f"<dl>{''.join(f'<dt>{few(1, 3)}</dt><dd>{few(2, 14)}</dd>' for _ in range(n))}</dl>"
+        if kind < 0.96:
+            return f"<figure><img src='i'><figcaption>{few(2, 15)}</figcaption></figure>"
+        return f"<{(t := self.one(['blockquote', 'pre']))}>{whole}</{t}>"
+
+    def article(self, texts: list[str], parts: bool) -> str:
+        title = KEEP + html.escape(" ".join(texts[0].split()[:8]))
+        head = "" if self.chance(0.25) else f"<{(t := self.one(['h1', 'h1', 'h2']))}>{title}</{t}>"
+        body = [self.piece(t) for t in texts]
+        for _ in range(self.rng.integers(0, 3) if parts else 0):
+            body.insert(int(self.rng.integers(0, len(body) + 1)), self.one([self.small, self.small, self.side, self.menu, self.form])())
+        if parts and self.chance(0.1):
+            body.append(self.footer() if self.chance(0.5) else self.comments())
+        kind = self.rng.random()
+        if kind < 0.3:
+            if head and self.chance(0.3):
+                head = f"<header{self.neutral()}>{head}</header>"
+            return f"<{(t := self.one(['article', 'main', 'article']))}{self.neutral()}>{head}{''.join(body)}</{t}>"
+        if kind < 0.5:
+            name = self.one(["content", "post", "entry", "story", "article", "post-content", "main-text", "entry-body", "content-related-text", "article-text"])
+            return f'<{(t := self.one(["div", "section"]))} {self.one(["class", "id"])}="{name}">{head}{"".join(body)}</{t}>'
+        if kind < 0.8:
+            return f"<{(t := self.one(['div', 'section', 'div']))}{self.neutral()}>{head}{''.join(body)}</{t}>"
+        if kind < 0.85:
+            return f"<table><tr><td>{head}{''.join(body)}</td></tr></table>"
+        return head + "".join(body)
+
+    def page(self, texts: list[str]) -> str:
+        if self.chance(0.12):  # an article and nothing else
+            middle = self.article(texts, parts=False)
+        else:
+            before = [self.one([self.menu, self.menu, self.header, self.small, self.side, self.form])() for _ in range(self.rng.integers(0, 4))]
+            after = [self.one([self.menu, self.small, self.side, self.form, self.comments])() for _ in range(self.rng.integers(0, 4))]
+            foot = [self.footer()] if self.chance(0.7) else []
+            article = self.article(texts, parts=True) if self.chance(0.97) else ""
+            if self.chance(0.2):  # what follows an article may stand in one element with it
+                article, after = f"<main{self.neutral()}>{article}{''.join(after)}</main>", []
+            middle = "".join([*before, article, *after, *foot])
+        for _ in range(self.rng.integers(0, 4)):
+            middle = f"<div{self.neutral()}>{middle}</div>"
+        if self.chance(0.3):  # pages that leave out what may be left out
+            return middle
+        name = self.one(["", "", ' class="home has-sidebar"', ' class="post"', ' class="no-header single"'])
+        return f"<html><head><title>t</title></head><body{name}>{middle}</body></html>"
+
+
+def made_blocks(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a made page without their signs, and which of them are article text."""
+    found = [b for b in blocks(page) if b.text != KEEP]
+    on = np.array([b.text.startswith(KEEP) for b in found], np.float32)
+    for b in found:
+        b.text = b.text.replace(KEEP, "")
+    return found, on
+
+
+def train_labeller(pages: list[str], seed: int = 0, layouts: int = 4) -> BlockLabeller:
+    """A labeller trained on every other page as it is, and on ``layouts`` made pages around the article of each."""
     rng, model = np.random.default_rng(seed), BlockLabeller(seed)
-    words = sorted({w for p in pages[:50] for b in blocks(p) for w in b.text.split()[:60]}) or ["text"]
-    made = []
-    for page in pages:
-        for text in (page, _further_parts(page, words, rng)):
-            found = blocks(text)[:400]
+    read = [[b for b in blocks(p.replace(KEEP, "")) if b.text][:400] for p in pages]
+    words = sorted({w for p in read[:50] for b in p for w in b.text.split()[:60]}) or ["text"]
+    layout, made = _Layout(words, rng), []
+    for k, page in enumerate(read):
+        if not page:
+            continue
+        label = np.array([structural_label(b.element) for b in page], np.float32)
+        if k % 2 == 0:
+            made.append((vectors(page), label))
+        texts = [b.text for b, on in zip(page, label, strict=True) if on and len(b.text.split()) > 3]
+        for _ in range(layouts if texts else 0):
+            chosen = [texts[i] for i in sorted(rng.choice(len(texts), min(len(texts), int(rng.integers(1, 12))), replace=False))]
+            found, on = made_blocks(layout.page(chosen))
             if found:
-                made.append((vectors(found), np.array([structural_label(b.element) for b in found], np.float32)))
+                made.append((vectors(found[:400]), on[:400]))
     if made:
         model.train(made)
     return model
