@@ -374,6 +374,18 @@ def model_spans(model: SpanTagger, texts: list[str]) -> list[list[tuple[int, int
     return out
 
 
+#: An at sign, as such or spelled out.
+_AT = re.compile(r"[@\uff20]|\bat\b", re.I)
+
+
+def _may_be(kind: str, value: str) -> bool:
+    """Whether a tagged value has what its kind can't do without."""
+    if kind == "card":
+        digits = re.sub("[^0-9]", "", value)
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    return kind != "email" or bool(_AT.search(value))
+
+
 #: The rest of a word, from one of its characters on.
 _TAIL = re.compile(r"[^\W_]+|.", re.S)
 
@@ -381,7 +393,7 @@ _TAIL = re.compile(r"[^\W_]+|.", re.S)
 def all_spans(text: str, base: list[tuple[int, int, str]], tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The base spans, and those of the model that overlap none of them, widened to whole words.
 
-    A card number has to pass its own check sum.
+    A card has to have 12 to 19 digits that pass its check sum, an email an at sign.
     """
     out, k, reach, starts = list(base), 0, 0, sorted(base)
     for a, b, kind in tagged:
@@ -395,7 +407,7 @@ def all_spans(text: str, base: list[tuple[int, int, str]], tagged: list[tuple[in
                 a -= 1
         while k < len(starts) and starts[k][0] < b:  # both lists go by start: what begins before the span ends
             reach, k = max(reach, starts[k][1]), k + 1
-        if b > a >= reach and (kind != "card" or _luhn(re.sub("[^0-9]", "", text[a:b]))):
+        if b > a >= reach and _may_be(kind, text[a:b]):
             out.append((a, b, kind))
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
