@@ -200,3 +200,29 @@ def test_circles_share_the_common_devices(spark):
     d = got["X"]["distance"]
     both = (u * u + v * v <= big * big) & ((u - d) ** 2 + v * v <= got["X"]["radius"] ** 2)
     assert both.sum() * (side[1] - side[0]) ** 2 == pytest.approx(4, abs=0.05) and (got["X"]["x"], got["X"]["y"]) == pytest.approx((d, 0))
+
+
+def test_devices_near_by_hausdorff_distance(spark):
+    from wayfarer.operators import trajectories
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(40):
+        spread, cx, cy = rng.choice([3.0, 30.0]), rng.uniform(0, 100), rng.uniform(0, 100)
+        rows += [(f"d{n:02}", rng.gauss(cx, spread), rng.gauss(cy, spread)) for _ in range(rng.randint(1, 12))]
+    rows += rows[:9] + [("lone", 5000.0, -700.0), ("copy", *rows[0][1:]), ("bare", None, 1.0), (None, 1.0, 1.0)]
+    path = {}
+    for m, x, y in rows:
+        if m and x is not None:
+            path.setdefault(m, set()).add((x, y))
+    way = lambda a, b: max(min(math.dist(p, q) for q in path[b]) for p in path[a])
+    h = {(a, b): max(way(a, b), way(b, a)) for a in path for b in path if a != b}
+    df = spark.createDataFrame(rows, "mac_address string, x double, y double").repartition(3).withColumn("a", F.lit(1)).withColumn("distance", F.lit("x"))
+    got = {(r["a"], r["b"]): r["distance"] for r in trajectories.within(df, 40.0).collect()}
+    assert got == pytest.approx({(a, b): d for (a, b), d in h.items() if a < b and d <= 40.0}) and len(got) > 20
+    got = {(r["a"], r["rank"]): (r["b"], r["distance"]) for r in trajectories.nearest(df, 2).collect()}
+    for a in path:
+        for rank, (d, b) in enumerate(sorted((d, b) for (x, b), d in h.items() if x == a)[:2], 1):
+            assert got.pop((a, rank)) == (b, pytest.approx(d))
+    assert not got
+    assert trajectories.within(df.limit(0), 5.0).count() == trajectories.nearest(df.limit(0)).count() == 0

@@ -781,6 +781,16 @@ def hausdorff_undirected(spark, d):
     return rounded(trajectories.normalised(trajectories.hausdorff(_mall_paths(spark, d))))
 
 
+@query
+def hausdorff_within(spark, d):
+    return rounded(trajectories.within(signals(spark, d), 30.0))
+
+
+@query
+def hausdorff_nearest(spark, d):
+    return rounded(trajectories.nearest(signals(spark, d), 3))
+
+
 @query
 def hausdorff_core_points(spark, d):
     return clusters.vector_core_points(trajectories.standardised_rows(trajectories.hausdorff(_mall_paths(spark, d))), 3.0, 3)

@@ -144,6 +144,9 @@ _CLASSES = (
 )
 _Z = """z AS (SELECT mac_address id, (radius_of_gyration - avg(radius_of_gyration) OVER ()) / stddev_pop(radius_of_gyration) OVER () u,
  (av_path_length - avg(av_path_length) OVER ()) / stddev_pop(av_path_length) OVER () v FROM f)"""
+_DEVICE_PATHS = """dp AS (SELECT DISTINCT mac_address, x, y FROM s WHERE x IS NOT NULL AND y IS NOT NULL),
+dn AS (SELECT p.mac_address a, q.mac_address b, p.x, p.y, min(sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2))) d FROM dp p JOIN dp q ON p.mac_address <> q.mac_address GROUP BY ALL),
+dd AS (SELECT a, b, max(d) d FROM dn GROUP BY ALL), u AS (SELECT x.a, x.b, greatest(x.d, y.d) distance FROM dd x JOIN dd y ON x.a = y.b AND x.b = y.a)"""
 _PATHS = """dp AS (SELECT store_id, CAST(date_time AS DATE) AS dd, round(avg(x), 6) x, round(avg(y), 6) y FROM s WHERE store_id IS NOT NULL GROUP BY ALL),
 near AS (SELECT a.store_id a, b.store_id b, a.dd, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) m FROM dp a JOIN dp b ON a.store_id <> b.store_id GROUP BY ALL),
 hd AS (SELECT a, b, max(m) distance FROM near GROUP BY ALL)"""
@@ -399,6 +402,8 @@ SELECT manufacturer, {_bin('date_time', 60)} bin, count(*) signals, count(DISTIN
     "trajectory_paths": f"""WITH {_SIGNALS} SELECT mac_address, CAST(count(*) AS INTEGER) n, arg_min(x, (date_time, event_id)) x0, arg_min(y, (date_time, event_id)) y0, arg_max(x, (date_time, event_id)) x1, arg_max(y, (date_time, event_id)) y1 FROM s GROUP BY ALL""",
     "hausdorff_directed": f"WITH {_SIGNALS}, {_PATHS} SELECT a, b, {_round('distance')} distance FROM hd",
     "hausdorff_undirected": f"WITH {_SIGNALS}, {_PATHS}, u AS (SELECT x.a, x.b, greatest(x.distance, y.distance) d FROM hd x JOIN hd y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b) SELECT a, b, {_round('d / max(d) OVER ()')} distance FROM u",
+    "hausdorff_within": f"WITH {_SIGNALS}, {_DEVICE_PATHS} SELECT a, b, {_round('distance')} distance FROM u WHERE a < b AND u.distance <= 30.0",
+    "hausdorff_nearest": f"WITH {_SIGNALS}, {_DEVICE_PATHS} SELECT a, CAST(row_number() OVER w AS INTEGER) rank, b, {_round('distance')} distance FROM u WINDOW w AS (PARTITION BY a ORDER BY u.distance, b) QUALIFY row_number() OVER w <= 3",
     "hausdorff_core_points": f"""WITH {_SIGNALS}, {_PATHS}, u AS (SELECT x.a, x.b, greatest(x.distance, y.distance) d FROM hd x JOIN hd y ON x.a = y.b AND x.b = y.a UNION ALL SELECT DISTINCT a, a, 0.0 FROM hd),
 m AS (SELECT a, b, coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0) z FROM u WINDOW w AS (PARTITION BY b)),
 n AS (SELECT i.a id, j.a other FROM m i JOIN m j USING (b) GROUP BY ALL HAVING sqrt(sum(pow(i.z - j.z, 2))) <= 3.0)
