@@ -84,3 +84,16 @@ def test_clean_rows_stay(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "4", "4", "None"]
     assert D.drop_leaks(documents(spark, []), bench).count() == 0
     assert D.find_leaks(documents(spark, texts), bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1, 3_000, D.HELD])
+def test_many_passes_are_one_python_stage(spark, monkeypatch, held):
+    monkeypatch.setattr(D, "ITEMS_A_PASS", 4)
+    items = [prose(200 + i, 20 + i) for i in range(30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [None, "", *(prose(i, 50) + (" " + items[i % 30] + " " if i % 3 else " ") + prose(900 + i, 30) for i in range(80))]
+    docs = documents(spark, [*texts, texts[2], texts[3]]).repartition(3)
+    left = D.drop_leaks(docs, bench, held=held)
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [*(i for i in range(82) if i < 2 or (i - 2) % 3 == 0), 82]
+    assert sorted(r["doc_id"] for r in left.collect()) == want

@@ -35,6 +35,8 @@ REPEATS, EARLY, LATE, FIRST, NEAR = 9, 3, 3, 5, 16
 GROWTH = 1.15
 #: Items that one pass over the documents looks for; a larger benchmark takes several passes.
 ITEMS_A_PASS = 10_000
+#: Bytes of rows that a task takes through several passes together, so that a pass's tables are built once for so many.
+HELD = 64_000_000
 #: Bits of a lookup table for each key in it, so that few windows go on by chance.
 _BITS = 64
 _EDGE = np.array([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -367,24 +369,51 @@ def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator
             yield pairs
 
 
+def _runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of ``size`` bytes or little more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def drop_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    held: int = HELD,
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no passage of a benchmark item, judged where they are read, without a shuffle."""
-
-    def clean(items: list):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(items)
-            for b in batches:
-                hit = {r for r, _ in finder(b.column(text_col).to_pylist())}
-                yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
+    """The rows of ``docs`` that hold no passage of a benchmark item, judged where they are read, without a shuffle.
 
-        return run
+    A row with a null or empty text stays, and so do repeated rows, each for itself; null ids don't matter. Without items all
+    rows stay; an empty table stays empty. Other columns, whatever their names, travel along.
 
-    for items in _passes(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(clean(items), docs.schema)
-    return docs
+    The documents are read once, by one worker a task, however many passes the items take: it holds about ``held`` bytes of rows
+    and takes them through the passes one by one, with the tables of one pass at a time. What grows with the benchmark is
+    the list of its hashed words, 8 bytes each, in every worker.
+    """
+    passes = list(_passes(benchmark, item_col, item_text_col))
+    if not passes:
+        return docs
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Finder(passes[0]) if len(passes) == 1 else None
+        for run in _runs(batches, 0 if only else held):
+            stays = [np.ones(b.num_rows, bool) for b in run]
+            for items in passes:
+                finder = only or Finder(items)
+                for b, stay in zip(run, stays, strict=True):
+                    rows = np.flatnonzero(stay)
+                    hit = {r for r, _ in finder(b.column(text_col).take(pa.array(rows)).to_pylist())}
+                    stay[rows[sorted(hit)]] = False
+            for b, stay in zip(run, stays, strict=True):
+                yield b.filter(pa.array(stay))
+
+    return docs.mapInArrow(clean, docs.schema)
