@@ -97,3 +97,6 @@ def test_many_passes_are_one_python_stage(spark, monkeypatch, held):
     assert left._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     want = [*(i for i in range(82) if i < 2 or (i - 2) % 3 == 0), 82]
     assert sorted(r["doc_id"] for r in left.collect()) == want
+    leaks = D.find_leaks(docs, bench, held=held)
+    assert leaks._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"] for r in leaks.collect()} == set(range(84)) - set(want)

@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,37 +321,36 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    held: int = HELD,
 ) -> DataFrame:
     """``(doc_id, item_id, edits, last_word, item_words)``: a row for each document and item that it holds a passage of.
 
     ``edits`` is the least number of words to insert, remove or replace between the item and a passage found, at most a
     fifth of ``item_words``; ``last_word`` is where that passage ends (words from 0). Items without words and null items
-    are found nowhere; a null or empty text holds nothing. Repeated rows each give rows. Null ids stay null. Items are
-    taken in passes of a bounded number, so what a task holds of them doesn't grow with the benchmark.
+    are found nowhere; a null or empty text holds nothing. Repeated rows each give rows. Null ids stay null. The documents
+    are read once, and about ``held`` bytes of rows go through the passes of items together, as in :func:`drop_leaks`.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    passes = list(_passes(benchmark, item_col, item_text_col))
 
-    def rows(items: list):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            finder = Finder(items)
-            for b in batches:
-                found = sorted(finder(b["text"].tolist()).items())
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b["doc_id"].astype("Int64").iloc[[r for (r, _), _ in found]].to_numpy(),
-                        "item_id": pd.array([finder.ids[k] for (_, k), _ in found], "Int64"),
-                        "edits": [e for _, (e, _) in found],
-                        "last_word": [w for _, (_, w) in found],
-                        "item_words": [len(finder.words[k]) for (_, k), _ in found],
-                    }
-                )
-
-        return run
-
-    out = texts.sparkSession.createDataFrame([], SCHEMA)
-    for items in _passes(benchmark, item_col, item_text_col):
-        out = out.union(texts.mapInPandas(rows(items), SCHEMA))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Finder(passes[0]) if len(passes) == 1 else None
+        for held_rows in _runs(batches, 0 if only else held):
+            for items in passes:
+                finder = only or Finder(items)
+                for b in held_rows:
+                    found = sorted(finder(b.column("text").to_pylist()).items())
+                    yield pa.record_batch(
+                        {
+                            "doc_id": b.column("doc_id").take(pa.array([r for (r, _), _ in found], pa.int64())),
+                            "item_id": pa.array([finder.ids[k] for (_, k), _ in found], pa.int64()),
+                            "edits": pa.array([e for _, (e, _) in found], pa.int64()),
+                            "last_word": pa.array([w for _, (_, w) in found], pa.int64()),
+                            "item_words": pa.array([len(finder.words[k]) for (_, k), _ in found], pa.int64()),
+                        }
+                    )
+
+    return texts.mapInArrow(run, SCHEMA)
 
 
 def _passes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list]:
