@@ -88,6 +88,32 @@ def test_similarity(spark):
     assert col == pytest.approx(own | {("a", "b"): 1 / 3, ("b", "a"): 1 / 2}) and row == pytest.approx(own | {("a", "b"): 1 / 2, ("b", "a"): 1 / 3})
 
 
+def _many_visits(spark):
+    """Devices of 70 stores in most of which most devices were, so that a set takes more than one word of bits."""
+    rows = [(f"m{d}", f"B{s:02d}", 1 + (d * s) % 3) for d in range(40) for s in range(70) if (d * 31 + s * 17) % 11 > 2]
+    return spark.createDataFrame([*rows, ("far", "B99", 2), ("again", "B99", 5)], "mac_address string, store_id string, n long")
+
+
+def test_pairs_that_meet_all_at_once_are_those_that_meet_by_store(spark, monkeypatch):
+    p = _many_visits(spark)
+    asks = [graphs.common_stores, lambda p: graphs.similarity(p, "row"), lambda p: graphs.similarity(p, "col"), graphs.list_overlap]
+    got = [sorted(map(str, f(p).collect())) for f in asks]
+    monkeypatch.setattr(graphs, "ROWS_FOR_PAIR", 0)
+    assert got == [sorted(map(str, f(p).collect())) for f in asks]
+    some = p.select(F.col("mac_address").alias("name")).where("mac_address like '%1'")
+    names = {r["name"] for r in some.collect()}
+    want = sorted(str(r) for r in graphs.similarity(p).collect() if r["a"] in names and r["b"] in names)
+    assert want == sorted(map(str, graphs.similarity(p, "col", some).collect()))
+
+
+def test_pairs_are_not_shuffled_again(spark):
+    """Where most stores are common, no aggregation follows the join that makes the pairs."""
+    p = _many_visits(spark)
+    for pairs in (graphs.common_stores(p), graphs.similarity(p), graphs.list_overlap(p)):
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_markov_chain(f1):
     a = {(r["src"], r["dst"]): r["p"] for r in markov.transitions(f1).collect()}
     assert a == {("B1", "B1"): 0.5, ("B1", "B2"): 0.5, ("B2", "B1"): 1.0}
