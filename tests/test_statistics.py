@@ -226,3 +226,22 @@ def test_devices_near_by_hausdorff_distance(spark):
             assert got.pop((a, rank)) == (b, pytest.approx(d))
     assert not got
     assert trajectories.within(df.limit(0), 5.0).count() == trajectories.nearest(df.limit(0)).count() == 0
+
+
+def test_blocks_cells_and_all_pairs_give_the_same_devices(spark, monkeypatch):
+    """One block or many, few distances held at once, and devices too long for a row: the same pairs, without a round of cells unless asked for."""
+    from wayfarer.operators import trajectories
+
+    rng = random.Random(5)
+    rows = [(f"d{n % 50:02}", rng.gauss(n % 7 * 9, 6), rng.gauss(n % 5 * 9, 6 + n % 3)) for n in range(900)]
+    df = spark.createDataFrame(rows, "mac_address string, x double, y double")
+    ask = lambda: [sorted((r["a"], r["b"], round(r["distance"], 9)) for r in f.collect()) for f in (trajectories.within(df, 14.0), trajectories.nearest(df, 3))]
+    with monkeypatch.context() as m:
+        m.setattr(trajectories, "_within", None)
+        want = ask()
+        m.setattr(trajectories, "FEW_PLACES", 200)
+        m.setattr(trajectories, "HELD", 64)
+        assert ask() == want
+    assert len(want[0]) > 20 and len(want[1]) == 150
+    monkeypatch.setattr(trajectories, "PLACES_IN_ROW", 18)
+    assert ask() == want
