@@ -76,3 +76,35 @@ def test_one_of_a_group_without_ids_stays(spark):
     texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["other", *base[1:]])]
     kept = simhash.keep_one(documents(spark, texts, [None] * 3)).collect()
     assert len(kept) == 1 and kept[0]["text"] in texts
+
+
+def test_sketches_bound_differences():
+    """Sketches differ in no more bits than the sets do in shingles, and tell unlike sets of a few hundred shingles apart."""
+    rng, kept = random.Random(2), 0
+    words = prose(5, 300).split()
+    base = jaccard.shingles(" ".join(words))
+    for _ in range(60):
+        w = list(words)
+        for _ in range(rng.randint(0, 40)):
+            w[rng.randrange(len(w))] = f"q{rng.random()}"
+        other = jaccard.shingles(" ".join(w))
+        apart = sum(bin(x & (1 << 64) - 1).count("1") for x in (jaccard.sketch(base) ^ jaccard.sketch(other)).tolist())
+        assert apart <= len(set(base.tolist()) ^ set(other.tolist()))
+        assert 9 * apart <= len(base) + len(other) or not jaccard.similar(base, other)
+        kept += 9 * apart <= len(base) + len(other) and not jaccard.similar(base, other)
+    assert kept <= 6
+
+
+def test_the_stage_asks_fingerprints_first(spark, monkeypatch):
+    """The stage verifies what the grid over fingerprints links; no row of a list meets another that sketches tell apart."""
+    asked, made, near, verified = [], [], simhash.near_pairs, jaccard._verified
+    monkeypatch.setattr(simhash, "near_pairs", lambda fps: asked.append(fps.count()) or near(fps))
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: made.append({tuple(r) for r in pairs.collect()}) or verified(pairs, *rest))
+    texts = near_copies()
+    kept = corpus_pipeline.simhash_stage(spark, documents(spark, texts), "").count()
+    assert kept == len(set(brute_groups(list(range(len(texts))), texts)))
+    assert len(asked) == 1 and asked[0] > 20 and made[0]
+    sets = {jaccard.set_key(s): s for s in map(jaccard.shingles, texts)}
+    for u, v in set().union(*made[1:]):
+        apart = sum(bin(x & (1 << 64) - 1).count("1") for x in (jaccard.sketch(sets[u]) ^ jaccard.sketch(sets[v])).tolist())
+        assert 9 * apart <= len(sets[u]) + len(sets[v])

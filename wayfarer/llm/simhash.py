@@ -124,10 +124,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept: that of the smallest id.
 
-    Groups are those of :func:`jaccard.groups`: sets of five-word shingles with a similarity of 0.8 or more. If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
+    Fingerprints that :func:`near_pairs` links give candidates, each of which is verified on its sets of five-word shingles: a
+    similarity of 0.8 or more. What fingerprints miss at that similarity :func:`jaccard.groups` finds, so no link is lost. If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
     then one of them does.
     """
-    found = spool(jaccard.groups(docs, id_col, text_col))
+    found = spool(jaccard.groups(docs, id_col, text_col, fingerprint=fingerprint, near=near_pairs))
     kept = (
         found.where("doc_id is not null and doc_id = component_id")
         .groupBy(F.col("doc_id").alias("kept_id"))
