@@ -245,3 +245,25 @@ def test_blocks_cells_and_all_pairs_give_the_same_devices(spark, monkeypatch):
     assert len(want[0]) > 20 and len(want[1]) == 150
     monkeypatch.setattr(trajectories, "PLACES_IN_ROW", 18)
     assert ask() == want
+
+
+@pytest.mark.parametrize("few", [0, 20_000_000])
+def test_density_clusters_without_pairs_of_points(spark, monkeypatch, few):
+    """Dense, thin and copied points, some apart by just the reach: the same clusters as by all pairs, which are not made."""
+    from wayfarer.operators import clusters
+
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(0, 0.12, (250, 2)), rng.uniform(-4, 4, (150, 2)), rng.normal((2, 2), 0.3, (120, 2)), np.repeat([[6.0, 6.0], [6.45, 6.0], [-6, 3], [1e9, 0]], [5, 3, 6, 1], 0)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(9_998, math.inf, 1.0), (9_999, None, 1.0)], "id long, u double, v double").repartition(3)
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 0.45 * 0.45
+    core = near.sum(1) >= 6
+    root = {i: i for i in range(len(x)) if core[i]}
+    while (new := {i: min(root[j] for j in np.flatnonzero(near[i] & core)) for i in root}) != root:
+        root = new
+    number = {r: k for k, r in enumerate(sorted(set(root.values())))}
+    want = {i: number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(len(x))} | {9_998: -1, 9_999: -1}
+    assert len(number) > 2 and any(v >= 0 and not core[i] for i, v in want.items() if i < len(x))
+    monkeypatch.setattr(clusters, "eps_pairs", None)
+    monkeypatch.setattr(clusters, "FEW_PAIRS", few, raising=False)
+    assert {r["id"]: r["label"] for r in clusters.dbscan(df, ["u", "v"], 0.45, 6).collect()} == want
+    assert clusters.dbscan(df.limit(0), ["u", "v"], 0.45, 6).count() == 0
