@@ -249,3 +249,12 @@ def test_store_cleaning(spark):
     s = track(spark, [(i, 0.1 * i, 0, "B1") for i in range(5)] + [(9, 50, 50, "B1"), (10, 0, 0, None), (11, 0, 0, "B2")])
     assert sorted(r["event_id"] for r in cleaning.clean_stores(s).collect()) == [0, 1, 2, 3, 4, 6]
     assert sorted(r["event_id"] for r in cleaning.clean_stores(s, shops_only=True).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_simulated_agents_are_held_a_few_at_a_time():
+    import pandas as pd
+
+    from wayfarer.operators import simulation
+
+    parts = list(simulation.some_agents(iter([pd.DataFrame({"id": range(300)}), pd.DataFrame({"id": range(300, 310)})])))
+    assert max(map(len, parts)) <= simulation.AGENTS < 100 and [i for p in parts for i in p] == list(range(310))
