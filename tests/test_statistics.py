@@ -267,3 +267,22 @@ def test_density_clusters_without_pairs_of_points(spark, monkeypatch, few):
     monkeypatch.setattr(clusters, "FEW_PAIRS", few, raising=False)
     assert {r["id"]: r["label"] for r in clusters.dbscan(df, ["u", "v"], 0.45, 6).collect()} == want
     assert clusters.dbscan(df.limit(0), ["u", "v"], 0.45, 6).count() == 0
+
+
+def test_devices_against_a_normal_sample_in_rows(spark, monkeypatch):
+    """A device is one row, or a group of the test in the plane if it is large: the same figures, ties and no numbers included."""
+    from wayfarer.operators import statistics
+
+    rng = random.Random(11)
+    rows = [(f"d{i % 5}", rng.choice([rng.gauss(0, 1), 0.5, float(i % 3)]), rng.gauss(1, 2) if i % 4 else 1.0) for i in range(300)]
+    rows += [("one", 1.0, 2.0), ("two", 1.0, 2.0), ("two", 1.0, 2.0), ("bad", math.nan, 1.0), ("bad", 2.0, 1.0), ("none", None, 1.0), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "mac_address string, x double, y double").where("mac_address is not null").repartition(3)
+    ask = lambda: {r["mac_address"]: (r["d"], r["p"]) for r in statistics.ks_normal(df, 200).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(statistics, "PLACES_IN_ROW", 0, raising=False)
+        want = ask()
+    monkeypatch.setattr(statistics, "ks_2d", None)
+    got = ask()
+    assert set(got) == set(want) == {"d0", "d1", "d2", "d3", "d4", "one", "two", "bad"} and want["d0"][0] > 0 and got["bad"][0] is None
+    for k, pair in want.items():
+        assert [v is None for v in got[k]] == [v is None for v in pair] and [v for v in got[k] if v is not None] == pytest.approx([v for v in pair if v is not None], rel=1e-12)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +95,11 @@ def ks_probability(z: Column) -> Column:
     return F.when(z < 0.05, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """The correlation of two columns that are null in the same rows; null, not an error, where one of them is constant."""
+    return S.ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def ks_2d(df: DataFrame, x: str, y: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """``(d, p)``, after the columns ``by``: the two-sample statistic in the plane, the mean over both samples' points as
     origins, and its approximate probability.
@@ -106,7 +112,7 @@ def ks_2d(df: DataFrame, x: str, y: str, group: str, by: Sequence[str] = ()) ->
     by = list(by)
     v = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(group).alias("g")).where("not isnan(x) and not isnan(y) and g in (0, 1)")
     side = lambda g, c: F.when(F.col("g") == g, F.col(c))
-    n = v.groupBy(*by).agg(*(F.count(side(g, "x")).alias(f"n{g}") for g in (0, 1)), *(F.corr(side(g, "x"), side(g, "y")).alias(f"r{g}") for g in (0, 1)))
+    n = v.groupBy(*by).agg(*(F.count(side(g, "x")).alias(f"n{g}") for g in (0, 1)), *(correlation(side(g, "x"), side(g, "y")).alias(f"r{g}") for g in (0, 1)))
     c = spool(v.groupBy(*by, "x", "y").agg(*(F.count(side(g, "x")).alias(f"w{g}") for g in (0, 1))))
     line = lambda a: spool(running(c.groupBy(*by, a).agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")), [a], {f"{a}0": "w0", f"{a}1": "w1"}, by).drop("w0", "w1"))
     p = spool(below_left(c, "x", "y", ["w0", "w1"], by)).join(line("x"), [*by, "x"]).join(line("y"), [*by, "y"])
@@ -126,6 +132,12 @@ def ks_2d(df: DataFrame, x: str, y: str, group: str, by: Sequence[str] = ()) ->
         return F.when((F.col(f"w{own}") > 0) & (m > 0), F.greatest(*every))
 
     best = p.groupBy(*by).agg(F.max(apart(0)).alias("d0"), F.max(apart(1)).alias("d1"), *(F.max(k).alias(k) for k in ("n0", "n1", "r0", "r1")))
+    return _plane_test(best, by)
+
+
+def _plane_test(best: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(d, p)``, after the columns ``by``, from the greatest differences ``d0`` and ``d1`` at the samples' points, their numbers and
+    correlations."""
     size = F.sqrt(F.col("n0") * F.col("n1") / (F.col("n0") + F.col("n1")))
     spread = F.sqrt(1 - (F.col("r0") * F.col("r0") + F.col("r1") * F.col("r1")) / 2)
     best = best.select(*by, ((F.col("d0") + F.col("d1")) / 2).alias("d"), size.alias("size"), spread.alias("spread"))
@@ -140,13 +152,62 @@ def normal_points(n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((radius(k) * F.cos(angle(k))).alias("x"), (radius(k) * F.sin(angle(k))).alias("y")))
 
 
+#: Places of a device in one row, at most.
+PLACES_IN_ROW = 1_024
+
+
 def ks_normal(signals: DataFrame, points: int = 1_000) -> DataFrame:
-    """``(mac_address, d, p)``: each device's places, less their mean, against a fixed normal sample of ``points``."""
+    """``(mac_address, d, p)``: each device's places, less their mean, against a fixed normal sample of ``points``.
+
+    A device of up to ``PLACES_IN_ROW`` places is a row that meets the normal sample where it lies; one of more is tested by
+    :func:`ks_2d`, where the sample adds less than a row for each of its own.
+    """
     s = signals.select("mac_address", "x", "y").where("x is not null and y is not null")
-    mean = s.groupBy("mac_address").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    own = s.join(mean, "mac_address").select("mac_address", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), F.lit(0).alias("g"))
-    normal = mean.select("mac_address", F.explode(normal_points(points)).alias("p")).select("mac_address", "p.x", "p.y", F.lit(1).alias("g"))
-    return ks_2d(own.union(normal), "x", "y", "g", ["mac_address"])
+    mean = spool(s.groupBy("mac_address").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("many")))
+    own = s.join(mean, "mac_address").select("mac_address", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"), "many")
+    fixed = signals.sparkSession.range(1).select(F.explode(normal_points(points)).alias("p")).select("p.x", "p.y")
+    qx, qy = np.array([tuple(r) for r in fixed.collect()], float).reshape(-1, 2).T
+    r1 = fixed.agg(correlation(F.col("x"), F.col("y"))).first()[0]
+
+    def counted(x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray) -> list[np.ndarray]:
+        """How many points ``x, y`` lie in the quadrants of the origins, lower left last."""
+        left, low = np.searchsorted(np.sort(x), ox, "right"), np.searchsorted(np.sort(y), oy, "right")
+        both = ((x <= ox[:, None]) & (y <= oy[:, None])).sum(1)
+        return [len(x) - left - low + both, left - both, low - both, both]
+
+    def apart(mine: list[np.ndarray], theirs: list[np.ndarray], n: int, m: int) -> float:
+        every = []
+        for i, (a, b) in enumerate(zip(mine, theirs, strict=True)):
+            a, b = (a - (1 if i == 3 else 0)) / n, b / m
+            every += [(a + 1 / n - b).max(), (b - a).max()]
+        return float(max(every))
+
+    normal = counted(qx, qy, qx, qy)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = b.column("xs"), b.column("ys")
+            at, x, y = xs.offsets.to_numpy() - xs.offsets[0].as_py(), xs.flatten().to_numpy(), ys.flatten().to_numpy()
+            d0, d1 = [], []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                px, py = x[i:j], y[i:j]
+                d0.append(apart(counted(px, py, px, py), counted(qx, qy, px, py), j - i, points) if i < j else None)
+                d1.append(apart(normal, counted(px, py, qx, qy), points, j - i) if i < j else None)
+            columns = [b.column("mac_address"), b.column("n0"), b.column("r0"), pa.array(d0, pa.float64()), pa.array(d1, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["mac_address", "n0", "r0", "d0", "d1"])
+
+    number = ~F.isnan("x") & ~F.isnan("y")
+    x, y = F.when(number, F.col("x")), F.when(number, F.col("y"))
+    rows = own.where(F.col("many") <= PLACES_IN_ROW).groupBy("mac_address").agg(F.count(x).alias("n0"), correlation(x, y).alias("r0"), F.collect_list(x).alias("xs"), F.collect_list(y).alias("ys"))
+    best = rows.mapInArrow(test, "mac_address string, n0 long, r0 double, d0 double, d1 double")
+    best = best.withColumns({"n1": F.lit(points).cast("long"), "r1": F.lit(r1).cast("double")})
+    found = _plane_test(best, ["mac_address"])
+    large = mean.where(F.col("many") > PLACES_IN_ROW).select("mac_address")
+    if large.isEmpty():
+        return found
+    some = own.where(F.col("many") > PLACES_IN_ROW).select("mac_address", "x", "y", F.lit(0).alias("g"))
+    sample = large.select("mac_address", F.explode(normal_points(points)).alias("p")).select("mac_address", "p.x", "p.y", F.lit(1).alias("g"))
+    return found.union(ks_2d(some.union(sample), "x", "y", "g", ["mac_address"]))
 
 
 #: Points of a block of the energy statistic: two blocks' distances are what a task holds.
