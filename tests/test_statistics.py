@@ -286,3 +286,15 @@ def test_devices_against_a_normal_sample_in_rows(spark, monkeypatch):
     assert set(got) == set(want) == {"d0", "d1", "d2", "d3", "d4", "one", "two", "bad"} and want["d0"][0] > 0 and got["bad"][0] is None
     for k, pair in want.items():
         assert [v is None for v in got[k]] == [v is None for v in pair] and [v for v in got[k] if v is not None] == pytest.approx([v for v in pair if v is not None], rel=1e-12)
+
+
+def test_kth_neighbours_of_even_stores_without_pairs(spark, monkeypatch):
+    """Places that all find their neighbours in the first round make no rows of pairs."""
+    from wayfarer.operators import cleaning
+
+    rows = [(s, 200 * n + 20 * i + 2 * j + t, i + t / 10, float(j)) for n, s in enumerate("ab") for i in range(10) for j in range(10) for t in (0, 1)] + [("a", 999, 3.0, 3.0)]
+    df = spark.createDataFrame(rows, "store_id string, point_id long, x double, y double")
+    monkeypatch.setattr(cleaning, "_kth_by_pairs", None, raising=False)
+    monkeypatch.setattr(cleaning, "Window", None)
+    got = {r["point_id"]: r["distance"] for r in cleaning.kth_neighbour(df, 2).collect()}
+    assert got == pytest.approx({i: sorted(math.hypot(x - p, y - q) for t, _, p, q in rows if t == s)[1] for s, i, x, y in rows}) and len(got) == 401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -108,6 +108,30 @@ def clean_stores(signals: DataFrame, k: int = 5, tolerance: float = 1.0, shops_o
 
 #: Places in a cell where the search for neighbours begins, at most, unless they are too close to be told apart.
 CROWD = 64
+#: Places in a cell and around it that one row holds, at most.
+HELD = 4_096
+
+
+def _kth_of(places: str, k: int) -> Column:
+    """The distance from ``x, y`` within which ``places`` hold ``k`` points; null if they hold fewer."""
+    far = F.transform(places, lambda p: F.struct(S.distance(F.col("x"), F.col("y"), p["x2"], p["y2"]).alias("distance"), p["here"].alias("here")))
+    # The k nearest places hold the k nearest points.
+    near = F.slice(F.array_sort(far), 1, k)
+    start = F.struct(F.lit(0).cast("long").alias("found"), F.lit(None).cast("double").alias("distance"))
+    step = lambda s, p: F.struct(
+        (s["found"] + p["here"]).alias("found"), F.when(s["found"] >= k, s["distance"]).when(s["found"] + p["here"] >= k, p["distance"]).alias("distance")
+    )
+    return F.aggregate(near, start, step)["distance"]
+
+
+def _kth_by_pairs(asked: DataFrame, other: DataFrame, k: int) -> DataFrame:
+    """As :func:`_kth_of`, for each place asked, where cells may hold any number of places."""
+    asked = asked.select("store_id", "x", "y", "unit", "extent", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    near = asked.join(other, ["store_id", "cx", "cy"]).withColumn("distance", S.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
+    order = Window.partitionBy("store_id", "x", "y").orderBy("distance", "x2", "y2")
+    near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    near = near.withColumn("found", F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return near.groupBy("store_id", "x", "y", "unit", "extent").agg(F.min(F.when(F.col("found") >= k, F.col("distance"))).alias("distance"))
 
 
 def kth_neighbour(points: DataFrame, k: int = 5) -> DataFrame:
@@ -117,7 +141,8 @@ def kth_neighbour(points: DataFrame, k: int = 5) -> DataFrame:
     Cells begin so small that few places share one, and double from round to round. A place is done as soon as its k-th
     neighbour among the nine cells around it is no farther than a cell's side, since nothing outside them is nearer. Places
     that a round leaves have fewer than ``k`` neighbours within a side, so few of them are in one cell, and the pairs of a
-    round grow with the places, however dense some of them stand.
+    round grow with the places, however dense some of them stand. Where no more than
+    ``HELD`` places are in a cell and around it, as when all ask, these are one row: nothing is shuffled or sorted for each pair.
     """
     p = points.select("store_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("store_id is not null and x is not null and y is not null")
     p = p.groupBy("store_id", "x", "y").agg(F.count("*").alias("here"))
@@ -136,15 +161,19 @@ def kth_neighbour(points: DataFrame, k: int = 5) -> DataFrame:
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     rest, done = p.select("store_id", "x", "y", "u", "v", "unit", "extent"), []
     while True:
-        asked = rest.withColumns(cells(side)).select("store_id", "x", "y", "unit", "extent", "cx", "cy", F.explode(steps).alias("s"))
-        asked = asked.select("store_id", "x", "y", "unit", "extent", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        asked = rest.withColumns(cells(side)).select("store_id", "x", "y", "unit", "extent", "cx", "cy")
         other = p.withColumns(cells(side)).select("store_id", "cx", "cy", F.col("x").alias("x2"), F.col("y").alias("y2"), "here")
-        near = asked.join(other, ["store_id", "cx", "cy"]).withColumn("distance", S.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
-        # The k nearest places hold the k nearest points.
-        order = Window.partitionBy("store_id", "x", "y").orderBy("distance", "x2", "y2")
-        near = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-        near = near.withColumn("found", F.sum("here").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        best = near.groupBy("store_id", "x", "y", "unit", "extent").agg(F.min(F.when(F.col("found") >= k, F.col("distance"))).alias("distance"))
+        around = asked.select("store_id", "cx", "cy").distinct().select("store_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.explode(steps).alias("s"))
+        around = around.select("store_id", "ax", "ay", (F.col("ax") + F.col("s.i")).alias("cx"), (F.col("ay") + F.col("s.j")).alias("cy"))
+        crowd = other.groupBy("store_id", "cx", "cy").agg(F.count("*").alias("n")).join(around, ["store_id", "cx", "cy"])
+        if (crowd.groupBy("store_id", "ax", "ay").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) <= HELD:
+            # A row of what is in a cell and around it meets the places that ask.
+            held = other.select("store_id", F.explode(steps).alias("s"), "cx", "cy", F.struct("x2", "y2", "here").alias("place"))
+            held = held.select("store_id", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "place")
+            held = held.join(asked.select("store_id", "cx", "cy").distinct(), ["store_id", "cx", "cy"], "left_semi").groupBy("store_id", "cx", "cy").agg(F.collect_list("place").alias("places"))
+            best = asked.join(held, ["store_id", "cx", "cy"]).select("store_id", "x", "y", "unit", "extent", _kth_of("places", k).alias("distance"))
+        else:
+            best = _kth_by_pairs(asked.withColumn("s", F.explode(steps)), other, k)
         whole = F.col("unit") * side >= F.col("extent")
         best = spool(best.withColumn("sure", F.coalesce(F.col("distance") <= F.col("unit") * side, F.lit(False)) | whole))
         done.append(best.where("sure").select("store_id", "x", "y", "distance"))
