@@ -258,3 +258,17 @@ def test_simulated_agents_are_held_a_few_at_a_time():
 
     parts = list(simulation.some_agents(iter([pd.DataFrame({"id": range(300)}), pd.DataFrame({"id": range(300, 310)})])))
     assert max(map(len, parts)) <= simulation.AGENTS < 100 and [i for p in parts for i in p] == list(range(310))
+
+
+def test_keywords_split_and_count_texts_once(spark):
+    """One pass finds phrases, one reads texts for runs of words; phrases and their words' scores share the counts."""
+    rows = [(1, "dog of cat|dog, the cat's 12.5 and dog of bird. dog of cat and the bird; Dog of Cat"), (2, None), (1, "dog of cat. the cat-fish sat on a mat")]
+    d = spark.createDataFrame(rows, "id int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    p = text.phrases(d, "id", "text")
+    assert sorted(r["phrase"] for r in p.collect() if r["phrase"] == "dog") == ["dog"] * 6 and {"bird", "fish sat", "mat"} <= {r["phrase"] for r in p.collect()}
+    assert plan(p).count("Generate") == 1
+    runs = text.adjoined(d, "id", "text")
+    assert {(r["id"], r["phrase"], r["n"]) for r in runs.collect()} == {(1, "dog of cat", 3)} and plan(runs).count("posexplode") == 1
+    k = text.keywords(d, "id", "text")
+    assert {r["phrase"]: r["score"] for r in k.collect()}["dog"] == 1.0 and plan(k).count("Generate") == 2
