@@ -105,3 +105,12 @@ def test_curve_and_bars(spark):
     assert len(curve) == 1_000 and curve[-1]["x"] == pytest.approx(1.2 * values.max())
     assert [r["density"] for r in curve[::50]] == pytest.approx([exact(r["x"], values) for r in curve[::50]], rel=1e-9)
     assert statistics.histogram(df.limit(0), "v", 5).count() == 0
+
+
+def test_a_bootstrap_reads_its_devices_once(spark):
+    from wayfarer.operators import bayes
+
+    rows = [(f"d{i}", 11, float(i % 7), float(i % 5), "Shopper", i % 2) for i in range(40)]
+    out = bayes.bootstrap(spark.createDataFrame(rows, SCHEMA), ["v"], 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan and 0 < out.count() < 40

@@ -191,6 +191,8 @@ def bootstrap(devices: DataFrame, features: list[str], rounds: int = 5, prior: t
     number of partitions, so the number of devices drawn varies a little more.
     """
     keep = 1 - math.exp(-1)
+    # Each round reads the table several times.
+    devices = spool(devices.select("mac_address", "frequency", "is_out_of_hours", *features))
     parts = []
     for i in range(rounds):
         u = F.pmod(F.xxhash64("mac_address", F.lit(i), F.lit(seed)), F.lit(1_000_000).cast("long")) / 1e6
