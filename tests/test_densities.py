@@ -114,3 +114,44 @@ def test_a_bootstrap_reads_its_devices_once(spark):
     out = bayes.bootstrap(spark.createDataFrame(rows, SCHEMA), ["v"], 1)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan and 0 < out.count() < 40
+
+
+def test_values_are_summed_up_before_they_are_spread(spark, monkeypatch):
+    """Parts of cells are spread, not values, so what training spreads doesn't grow with the devices."""
+    kept, real = [], bayes.spool
+
+    def spool(df):
+        out = real(df)
+        kept.append((df._jdf.queryExecution().optimizedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(bayes, "spool", spool)
+    rng = random.Random(3)
+    values = [rng.gauss(0, 1) for _ in range(3_000)]
+    rows = [(f"d{i}", 11, v, 0.0, "Shopper", 0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = {r["mac_address"]: r["l_v_1"] for r in bayes.likelihoods(df, bayes.training(df, ["v"]), ["v"]).collect()}
+    assert all(out[r[0]] == pytest.approx(exact(r[2], np.array(values)), rel=1e-10) for r in rows[::50])
+    assert kept and not any("sequence(" in plan for plan, _ in kept) and max(n for _, n in kept) < len(rows)
+
+
+def test_spread_sums_equal_the_sums_over_values(monkeypatch):
+    """Coefficients from the sums of parts, many chunks of them, are those from the values; negative cells too."""
+    import pandas as pd
+
+    monkeypatch.setattr(bayes, "CHUNK", 7)
+    rng, fine = np.random.default_rng(4), bayes.FINE * bayes.PARTS
+    u = np.concatenate((rng.normal(0, 30, 300), rng.normal(-4000, 3, 50)))
+    part = np.floor(u).astype(np.int64)
+    e = (u - part - 0.5) / fine
+    m = pd.DataFrame({f"m{i}": e**i * np.exp(-e * e / 2) / math.factorial(i) for i in range(bayes.MOMENTS)})
+    m = m.groupby(part).sum().rename_axis("part").reset_index()
+    for i, (name, value) in enumerate((("feature", "v"), ("k", 0), ("h", 0.5), ("n", 350))):
+        m.insert(i, name, value)
+    got = pd.concat(bayes._spread(iter([m, m.iloc[:0]]))).groupby("cell").sum(numeric_only=True)
+    for cell in (-1140, -1000, -900, -140, -20, 0, 3, 60, 150):
+        at, s = (cell + 0.5) / bayes.FINE, 0.1
+        near = u[np.abs(np.floor(u / bayes.PARTS) - cell) <= int(bayes.REACH * bayes.FINE)] / fine
+        want = np.exp(-((s + at - near) ** 2) / 2).sum()
+        found = sum(got.loc[cell, f"t{j}"] * s**j for j in range(bayes.TERMS)) * math.exp(-s * s / 2)
+        assert len(near) and found == pytest.approx(want, rel=1e-9)

@@ -5,15 +5,24 @@ a bandwidth, and a cell keeps ``TERMS`` coefficients of a polynomial that, times
 in the cell. With ``s`` and ``d`` the distances of a place and of a training value from the cell's centre, in bandwidths,
 ``exp(-(s - d)^2 / 2) = exp(-s^2 / 2) * exp(-d^2 / 2) * exp(s * d)``, and the last factor is a power series in ``s``. A value
 adds to the cells up to ``REACH`` bandwidths away, where a double underflows, so ``|s * d| < 4.9`` and what lies beyond the
-last term is below 1e-11 of any kernel's term. Training is one aggregation whose result has the size of the value range, not of
-the table; a likelihood is a look-up.
+last term is below 1e-11 of any kernel's term.
+
+Values don't visit these cells one by one. A value's distance ``e`` from the centre of its own part of a cell (``PARTS`` to a
+cell) is below 1/32 of a bandwidth, and all that a part's values add anywhere follows from its ``MOMENTS`` sums of
+``e^i * exp(-e^2 / 2) / i!``: with ``D`` the distance of the part's centre from the cell's, they add
+``exp(-D^2 / 2) * exp(s * D) * sum(moment_i * (s - D)^i)``, where ``|e * D| < 1.3`` and terms beyond the last are below 1e-16.
+Read as a polynomial in ``s`` that is a product with a matrix which depends on ``D`` alone. Training reads each value once;
+what follows has the size of the value range, not of the table; a likelihood is a look-up.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +34,8 @@ CLASSES = ("Stationary", "Shopper", "Mall Worker")
 UNKNOWN = "Not Classified"
 #: Cells of a bandwidth, bandwidths that a value reaches, and coefficients of a cell.
 FINE, REACH, TERMS = 4, 38.75, 32
+#: Parts of a cell that values are summed up in, sums of a part, and parts that are spread to cells at once and by one task.
+PARTS, MOMENTS, CHUNK, SPREAD = 4, 20, 256, 4_096
 
 
 def _long(rows: DataFrame, features: list[str], *columns: str | Column) -> DataFrame:
@@ -33,6 +44,47 @@ def _long(rows: DataFrame, features: list[str], *columns: str | Column) -> DataF
     return rows.select(*columns, each.alias("e")).select("*", "e.feature", "e.x").drop("e")
 
 
+@functools.cache
+def _shifts() -> np.ndarray:
+    """For each place of a part in its cell the matrix from a part's sums to the coefficients of all cells in its reach."""
+    reach = int(REACH * FINE)
+    d = (((np.arange(PARTS) + 0.5) / PARTS - 0.5)[:, None] - np.arange(-reach, reach + 1)) / FINE
+    powers = lambda x, n: np.cumprod(np.concatenate((np.ones((*x.shape, 1)), np.repeat(x[..., None], n - 1, -1)), -1), -1)
+    back, on = powers(-d, MOMENTS), powers(d, TERMS)
+    out = np.zeros((*d.shape, MOMENTS, TERMS))
+    for i in range(MOMENTS):
+        for b in range(i + 1):
+            for k in range(b, TERMS):
+                out[..., i, k] += math.comb(i, b) / math.factorial(k - b) * back[..., i - b] * on[..., k - b]
+    out *= np.exp(-d * d / 2)[..., None, None]
+    return out.transpose(0, 2, 1, 3).reshape(PARTS, MOMENTS, -1)
+
+
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of parts ``(feature, k, h, n, part, m0, m1, ...)`` as coefficients ``(feature, k, h, n, cell, t0, t1, ...)``."""
+    shifts, reach = _shifts(), int(REACH * FINE)
+    moments, terms = [f"m{i}" for i in range(MOMENTS)], [f"t{j}" for j in range(TERMS)]
+    for batch in batches:
+        for keys, group in batch.groupby(["feature", "k", "h", "n"], sort=False):
+            for at in range(0, len(group), CHUNK):
+                chunk = group.iloc[at : at + CHUNK]
+                part, m = chunk["part"].to_numpy(), chunk[moments].to_numpy()
+                targets = np.floor_divide(part, PARTS)[:, None] + np.arange(-reach, reach + 1)
+                cells, index = np.unique(targets, return_inverse=True)
+                index, sums = index.reshape(targets.shape), np.zeros((len(cells), TERMS))
+                for place in range(PARTS):
+                    mine = part % PARTS == place
+                    added = (m[mine] @ shifts[place]).reshape(-1, 2 * reach + 1, TERMS)
+                    # Parts at the same place of their cells are in different cells.
+                    for j, column in enumerate(index[mine].T):
+                        sums[column] += added[:, j]
+                out = pd.DataFrame(sums, columns=terms)
+                for i, (name, key) in enumerate(zip(("feature", "k", "h", "n"), keys, strict=True)):
+                    out.insert(i, name, key)
+                out.insert(4, "cell", cells)
+                yield out
+
+
 def training(devices: DataFrame, features: list[str], classes: tuple[str, ...] = CLASSES, label: str = "dbscan_label") -> DataFrame:
     """``(feature, k, h, n, cell, terms)``: the expansions of each feature's density in class number ``k``.
 
@@ -43,14 +95,16 @@ def training(devices: DataFrame, features: list[str], classes: tuple[str, ...] =
     v = _long(devices.where("frequency > 10"), features, k.alias("k")).where("k is not null and x is not null")
     width = v.groupBy("feature", "k").agg(F.count("*").alias("n"), (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h")).where("h > 0")
     # One row for each feature and class.
-    u = v.join(F.broadcast(width), ["feature", "k"]).withColumn("u", F.col("x") / F.col("h") * FINE)
-    reach = int(REACH * FINE)
-    u = u.withColumn("cell", F.explode(F.sequence(F.floor("u") - reach, F.floor("u") + reach)))
-    d = (F.col("u") - F.col("cell") - 0.5) / FINE
-    weight = F.exp(-d * d / 2)
-    sums = u.withColumns({"d": d, "weight": weight}).groupBy("feature", "k", "h", "n", "cell").agg(
-        *(F.sum(F.pow("d", F.lit(float(j))) * F.col("weight") / float(math.factorial(j))).alias(f"t{j}") for j in range(TERMS))
-    )
+    u = v.join(F.broadcast(width), ["feature", "k"]).withColumn("u", F.col("x") / F.col("h") * (FINE * PARTS)).withColumn("part", F.floor("u"))
+    u = u.withColumn("e", (F.col("u") - F.col("part") - 0.5) / (FINE * PARTS)).withColumn("weight", F.exp(-F.col("e") * F.col("e") / 2))
+    moments = spool(
+        u.groupBy("feature", "k", "h", "n", "part").agg(
+            *(F.sum(F.pow("e", F.lit(float(i))) * F.col("weight") / float(math.factorial(i))).alias(f"m{i}") for i in range(MOMENTS))
+        )
+    )
+    schema = "feature string, k int, h double, n long, cell long, " + ", ".join(f"t{j} double" for j in range(TERMS))
+    cells = moments.repartition(1 + moments.count() // SPREAD).mapInPandas(_spread, schema)
+    sums = cells.groupBy("feature", "k", "h", "n", "cell").agg(*(F.sum(f"t{j}").alias(f"t{j}") for j in range(TERMS)))
     return spool(sums.select("feature", "k", "h", "n", "cell", F.array(*(f"t{j}" for j in range(TERMS))).alias("terms")))
 
 
