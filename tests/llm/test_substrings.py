@@ -85,3 +85,15 @@ def test_empty_table_and_rest(spark):
     out = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
     assert [out[i]["text"] for i in range(4)] == [" tail é"[1:] if not out[0]["text"].startswith(" ") else " tail é", out[1]["text"], None, "short"]
     assert out[1]["text"].strip() == "end" and out[0]["fp"] == 1 and out[0]["text_2"] == ["q"]
+
+
+def test_rows_tell_the_text_that_is_left(spark):
+    """The text beside the digests is what was hashed, and passages of fewer bytes than a string stay in it."""
+    a, short = prose(12, 300)[:900], prose(13, 60)[:LENGTH - 1]
+    assert len(short.split()) > 50
+    texts = [f"one {a} 1", f"two {a} 2", f"three {short}", f"four {short}", None, "é"]
+    out = {r["doc_id"]: r for r in substrings.digests(documents(spark, texts)).collect()}
+    assert all(hashlib.sha256(out[i]["text"].encode()).hexdigest() == out[i]["kept_sha256"] for i in range(len(texts)))
+    assert all(a[100:800] not in out[i]["text"] and len(out[i]["text"]) == out[i]["n_bytes"] - out[i]["n_removed"] < 20 for i in (0, 1))
+    assert [out[i]["text"] for i in range(2, 6)] == [texts[2], texts[3], "", "é"]
+    assert [out[i]["n_removed"] for i in range(2, 6)] == [0, 0, 0, 0]
