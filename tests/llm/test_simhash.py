@@ -74,3 +74,10 @@ def test_keep_one(spark):
     lone = simhash.keep_one(documents(spark, ["only", "only", "two"], [None, None, 1])).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in lone) == [("1", "two"), ("None", "only")]
     assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
+def test_cells_are_not_broadcast(spark):
+    """A table exploded to 28 cells a row is not sent whole to the driver, small as its files are."""
+    fps = spark.range(300).selectExpr("xxhash64(id) fp")
+    plan = simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is an aggregation and a join on a node. The join's other side has one row for each node; a node that very many
-edges meet is dealt out with several copies of its row, so its edges don't end up in one task. The number of rounds grows
+edges meet is dealt out with several copies of its row, so its edges don't end up in one task. That side has a row for each
+node and is never sent whole to the driver and the tasks, however small Spark takes its files for. The number of rounds grows
 with the logarithm of the longest chain.
 """
 
@@ -25,7 +26,7 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     heavy = F.broadcast(least.where(F.col("degree") > size).select(F.col("z").alias("x"), copies.alias("copies")))
     dealt = edges.join(heavy, "x", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("y"), F.col("copies")), F.lit(0)))
     each = least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("degree") > size, copies - 1).otherwise(0))))
-    return dealt.join(each, (F.col("x") == F.col("z")) & (dealt["part"] == each["part"])).select("x", "y", "m")
+    return dealt.join(each.hint("merge"), (F.col("x") == F.col("z")) & (dealt["part"] == each["part"])).select("x", "y", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

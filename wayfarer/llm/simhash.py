@@ -96,8 +96,9 @@ def near_pairs(fps: DataFrame) -> DataFrame:
         & (F.bit_count(F.col("cu").bitwiseXOR(F.col("cv"))) <= DISTANCE)
         & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE)
     )
+    # Spark takes a table for as small as its files, even after an explode, and would send all 28 cells of each to the driver.
     joined = a.alias("a").join(
-        b.alias("b"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & near
+        b.alias("b").hint("merge"), (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & near
     )
     return joined.select("u", "v")
 
@@ -113,12 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = spool(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_pairs(classes))
     groups = (
-        classes.join(linked, classes["fp"] == linked["node"], "left")
+        classes.join(linked.hint("merge"), classes["fp"] == linked["node"], "left")
         .select(classes["fp"], "least", F.coalesce("component", classes["fp"]).alias("root"))
     )
     roots = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = groups.join(roots, "root").select(F.col("fp").alias("key"), "component_id")
-    return fps.join(of_fp, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
+    of_fp = groups.join(roots.hint("merge"), "root").select(F.col("fp").alias("key"), "component_id")
+    return fps.join(of_fp.hint("merge"), F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
