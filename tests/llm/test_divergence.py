@@ -83,3 +83,11 @@ def test_large_counts_stay_exact(spark):
     df = spark.createDataFrame([(10**13, 3 * 10**13, 7), (0, 0, 1), (5, 5, 0)], "c long, n long, v long")
     got = [r[0] for r in df.select(divergence._share(F.col("c"), F.col("n"), F.col("v"))).collect()]
     assert got == [1 + 10**9 * (10**13 + 5) // (3 * 10**13 + 35), 1 + 10**9, None]
+
+
+def test_terms_are_not_broadcast(spark, monkeypatch):
+    """No table of terms or chunks is sent whole to the driver, however small its files are."""
+    plans, spool, plan = [], divergence.spool, lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(divergence, "spool", lambda df: plans.append(plan(df)) or spool(df))
+    plans.append(plan(divergence.counts(table(spark, corpus(5, 100)), least=2)))
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 2 and not any("Broadcast" in p for p in plans)

@@ -175,8 +175,9 @@ def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sour
     each = blocks.select(F.explode(F.arrays_zip("chunks", "holders")).alias("x")).select(F.col("x.chunks").alias("chunk"), F.col("x.holders").alias("docs"))
     cut = spool(each.groupBy("chunk").agg(F.sum("docs").alias("docs")).withColumn("terms", terms(F.col("chunk"))).where(F.size("terms") > 0))
     most = cut.select(F.explode(F.array_distinct("terms")).alias("term"), "docs").groupBy("term").agg(F.sum("docs").alias("most"))
-    known = spool(cut.select("chunk", F.explode("terms").alias("term")).join(spool(most.where(F.col("most") >= least).select("term")), "term", "left_semi"))
-    back = _held(blocks, known).join(known, "chunk").select("block", "at", "term")
+    # Terms compress well: a table of them whose files are small enough to broadcast takes many times that in the driver.
+    known = spool(cut.select("chunk", F.explode("terms").alias("term")).join(spool(most.where(F.col("most") >= least).select("term")).hint("merge"), "term", "left_semi"))
+    back = _held(blocks, known).join(known.hint("merge"), "chunk").select("block", "at", "term")
     arrays = blocks.drop("chunks", "holders").withColumnRenamed("block", "of")
     found = back.groupBy("block").cogroup(arrays.groupBy("of")).applyInArrow(_count, "lang string, source string, term string, docs long, times long")
     # By language and term: a term's sources stay side by side, where they compress, and what asks for a term's sums finds them.
@@ -230,7 +231,7 @@ def audit(
     buckets = -(-most // BUCKET) or 1
     dealt = kept.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     frame = each.withColumn("bucket", F.explode(F.sequence(zero, F.lit(buckets - 1).cast("long"))))
-    shares = frame.join(dealt, ["lang", "source", "bucket"], "left").select(
+    shares = frame.join(dealt.hint("merge"), ["lang", "source", "bucket"], "left").select(
         "lang", "source", "bucket", "none", "term", _share(F.col("times"), F.col("n"), F.col("v")).alias("p"), _share(F.col("lang_times"), F.col("lang_n"), F.col("v")).alias("q")
     )
     rank = lambda: F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
