@@ -272,3 +272,28 @@ def test_keywords_split_and_count_texts_once(spark):
     assert {(r["id"], r["phrase"], r["n"]) for r in runs.collect()} == {(1, "dog of cat", 3)} and plan(runs).count("posexplode") == 1
     k = text.keywords(d, "id", "text")
     assert {r["phrase"]: r["score"] for r in k.collect()}["dog"] == 1.0 and plan(k).count("Generate") == 2
+
+
+def test_simulated_stays_are_drawn_from_all_devices(spark):
+    """The densities' devices are all there, however many, and agents that share none of their draws arrive at their own times."""
+    import numpy as np
+
+    from wayfarer.operators import simulation
+
+    day = F.timestamp_seconds(F.lit(1482400000) + F.col("id") % 20_000).cast("timestamp_ntz")
+    few = spark.range(6_500).select(F.col("id").alias("event_id"), F.format_string("%012x", "id").alias("mac_address"), day.alias("date_time"))
+    later = few.withColumn("date_time", F.expr("date_time + interval 1 second * (event_id % 900 + 1)"))
+    model = simulation.stay_model(few.union(later))
+    assert model.count() == 6_500 and model.agg(F.min("at"), F.max("at"), F.count_distinct("at")).first() == (0, 6_499, 6_500)
+    want = {r[0] for r in few.select(S.second_of_day("date_time")).collect()}
+    assert {r["arrival"] for r in model.collect()} == want and {r["stay"] for r in model.collect()} == set(map(float, range(1, 901)))
+    drawn = {r["id"]: r for r in simulation._drawn(model, 6_500, 300, 7).collect()}
+    at = {r["at"]: r for r in model.collect()}
+    for agent in range(300):
+        a, _, s, _ = simulation._draw(np.random.default_rng([7, agent]), 6_500)
+        assert (drawn[agent]["arrival"], drawn[agent]["stay"]) == (at[a]["arrival"], at[s]["stay"])
+    stores = spark.createDataFrame([("B1", 0.0, 0.0), ("B2", 1.0, 1.0)], "store_id string, x double, y double")
+    chain = spark.createDataFrame([("B1", "B2", 1.0), ("B2", "B1", 1.0)], "src string, dst string, p double")
+    first = spark.createDataFrame([("B1", 1.0)], "store_id string, p double")
+    assert simulation.simulate_network(chain, first, stores, model, 100, 240).select("mac_address").distinct().count() > 50
+    assert simulation.simulate_network(chain, first, stores, model.limit(0), 100, 240).count() == 0
