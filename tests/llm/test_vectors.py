@@ -70,3 +70,16 @@ def test_planted_links_in_64_dimensions(spark):
         label = np.minimum(label, np.where((link >= 0.9) & far, label[None], 999).min(1))
     sure_row = np.array([len({found[i + 1]["component_id"], label[i]}) == 1 for i in range(len(x))])
     assert sure_row.mean() > 0.85
+
+
+def test_chunks_meet_without_a_shuffle(spark, monkeypatch):
+    """Vectors are shuffled once, into chunks; what meets is read from there. An id's different vectors count their own links, and a batch may hold none."""
+    plans, spool = [], vectors.spool
+    monkeypatch.setattr(vectors, "spool", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or spool(df))
+    monkeypatch.setattr(vectors, "CHUNK", 4)
+    rows = [(i, [float(i % 5 == k) for k in range(5)]) for i in range(5, 30)] + [(5, [1.0, -1.0, 1.0, -1.0, 1.0]), (40, [1.0, -1.0, 1.0, -1.0, 1.1])] + [(50 + i, None) for i in range(9)]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartitionByRange(6, "vec_id")).collect()}
+    want = {(i, 4, 5 + i % 5) for i in range(6, 30)} | {(5, 5, 5), (40, 1, 5)} | {(50 + i, 0, 50 + i) for i in range(9)}
+    assert got == want
+    met = [p for p in plans if "meet(" in p]
+    assert len(met) == 1 and "CartesianProduct" in met[0] and "Join" not in met[0]
