@@ -81,3 +81,9 @@ def test_cells_are_not_broadcast(spark):
     fps = spark.range(300).selectExpr("xxhash64(id) fp")
     plan = simhash.near_pairs(fps)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_groups_that_share_an_id_keep_a_row_each(spark):
+    a, b, c = prose(4, 200), prose(5, 200), prose(6, 200)
+    kept = simhash.keep_one(documents(spark, [a, b, a, c, c, None, "", b], [2, 2, 1, 2, 2, 3, 2, 7]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, a), (2, b), (2, c), (2, "")])

@@ -126,24 +126,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept: that of the smallest id.
 
     Fingerprints that :func:`near_pairs` links give candidates, each of which is verified on its sets of five-word shingles: a
-    similarity of 0.8 or more. What fingerprints miss at that similarity :func:`jaccard.groups` finds, so no link is lost. If several rows have that id, one of them stays. Rows without an id stay only if no row of their group has an id, and
-    then one of them does.
+    similarity of 0.8 or more. What fingerprints miss at that similarity :func:`jaccard.groups` finds, so no link is lost. Of several rows of a group with
+    that id one stays; where rows of different groups share an id, each group keeps its own. Rows without an id stay only if no row of
+    their group has an id, and then one of them does.
     """
     found = spool(jaccard.groups(docs, id_col, text_col, fingerprint=fingerprint, near=near_pairs))
-    kept = (
-        found.where("doc_id is not null and doc_id = component_id")
-        .groupBy(F.col("doc_id").alias("kept_id"))
-        .agg(F.count("*").alias("kept_rows"))
-    )
+    # A group's row is named by its id, and by its set of shingles where rows of other texts have that id too.
+    kept = found.where("doc_id = component_id").groupBy("root").agg(F.first("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp"))
+    often = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"))
+    once, named = kept.join(often, "kept_id", "left_anti").select("kept_id"), spool(kept.join(often, "kept_id", "left_semi").select("kept_id", "kept_fp"))
     # The row travels as one column, so no name of it meets a name used here.
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("row_text"))
-    rows = boxed.join(kept, F.col("row_id") == F.col("kept_id"))
-    again = rows.where("kept_rows > 1").dropDuplicates(["row_id"])
+    rows = boxed.join(once, F.col("row_id") == F.col("kept_id"))
+    again = boxed.withColumn("row_text", F.coalesce("row_text", F.lit(""))).join(named.select("kept_id").distinct(), F.col("row_id") == F.col("kept_id"), "left_semi")
+    told = fingerprints_with_text(again, "row_text").distinct()
+    again = again.join(told, F.col("row_text") == F.col("text")).join(named, (F.col("row_id") == F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")))
+    again = again.dropDuplicates(["row_id", "kept_fp"])
     no_id = boxed.where("row_id is null").withColumn("row_text", F.coalesce("row_text", F.lit("")))
     lone = found.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
     texts = fingerprints_with_text(no_id, "row_text").join(lone, "fp").groupBy("fp").agg(F.min("text").alias("kept_text")).select("kept_text")
     extra = no_id.join(texts, F.col("row_text") == F.col("kept_text"), "left_semi").dropDuplicates(["row_text"])
-    out = rows.where("kept_rows = 1").select("row").union(again.select("row")).union(extra.select("row"))
+    out = rows.select("row").union(again.select("row")).union(extra.select("row"))
     return out.select("row.*")
 
 
