@@ -108,3 +108,20 @@ def test_the_stage_asks_fingerprints_first(spark, monkeypatch):
     for u, v in set().union(*made[1:]):
         apart = sum(bin(x & (1 << 64) - 1).count("1") for x in (jaccard.sketch(sets[u]) ^ jaccard.sketch(sets[v])).tolist())
         assert 9 * apart <= len(sets[u]) + len(sets[v])
+
+
+def test_what_is_used_up_is_deleted(spark):
+    """Shuffles go with the table written from them, and no table of prefixes, sketches or texts stays in the shared folder."""
+    import os
+
+    from wayfarer.plans.session import shared_folder, spool
+
+    shuffled = lambda: {f for _, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_")}
+    before = shuffled()
+    rows = spool(spark.range(1000).repartition(3, "id"))
+    assert shuffled() <= before and rows.count() == 1000
+    folder = shared_folder(spark).removeprefix("file:")
+    old = set(os.listdir(folder))
+    assert jaccard.groups(documents(spark, near_copies())).count() == len(near_copies())
+    left = [set(spark.read.parquet(f"{folder}/{x}").columns) for x in set(os.listdir(folder)) - old]
+    assert left and not any(c & {"prefix", "sketch", "text", "place", "s0"} for c in left)
